@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import langid, packing, simhash, toxicity, urlrules, warc, winnow
+from quire.llm import langid, packing, simhash, toxicity, urlrules, warc, webp, winnow
 from quire.llm.common import id_fold
 
 
@@ -34,6 +34,12 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", (fold == 2).alias("held_out"), found.alias("found")).select("doc_id", "held_out", F.col("found.lang").alias("lang_pred"), "found.score")
 
 
+def op3_webp(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    read = webp.store(docs).select("doc_id", "image.n_bytes", webp.described(F.col("image.media")).alias("r"))
+    return read.select("doc_id", "n_bytes", "r.*")
+
+
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -94,6 +100,7 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_language_id": op2_language_id,
+    "op3_webp": op3_webp,
     "op4_packing": op4_packing,
     "op5_decontamination": op5_decontamination,
     "op6_url_filters": op6_url_filters,
