@@ -20,7 +20,7 @@ packed as often as they come; ids may be null; an empty table gives an empty res
 
 from __future__ import annotations
 
-import unicodedata
+import re
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -37,62 +37,49 @@ ROUNDS = 120  # configurations that the weights method asks for
 EPSILON = 0.25
 SALTS = 64
 TOGETHER = 256  # texts whose unseen words are asked for in one call
-CACHED = 1_000_000  # words whose ids one worker keeps
+CACHED = 1_000_000  # parts whose ids one worker keeps
 MARK = "\u241e"  # stands between words that are asked for together
 _ODD = frozenset("\x1c\x1d\x1e\x1f\u180eΣİ" + MARK)  # white space to Python only, or lower-cased by other rules
 
 
-class WordTokens(dict):
-    """Ids of white-space-separated words as bytes, asked from the tokenizer once each.
+#: Letters and digits among the characters up to U+00FF, in lower case; other texts are left to the tokenizer as a whole.
+_L, _N = "a-zªµºß-öø-ÿ", "0-9²³¹¼-¾"
+_PARTS = re.compile(f"'(?:s|t|re|ve|m|ll|d)|[{_L}]+|[{_N}]|[^\\s{_L}{_N}]+")
+_BEYOND = re.compile("[\x1c-\x1f\u0100-\U0010ffff]")
+
 
-    The tokenizer splits at white space first, so a text's ids are its words' ids in a row.
-    """
+def _byte_characters() -> list[str]:
+    """The character that stands for each byte in a byte-level vocabulary: itself if it is printable, else the next free one from U+0100."""
+    printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    free = iter(range(256, 512))
+    return [chr(b) if b in printable else chr(next(free)) for b in range(256)]
+
+
+class WordTokens(dict):
+    """Ids of the parts (words, digits, runs of signs) that the tokenizer cuts a text into, as bytes, asked from its model once each."""
 
     def __init__(self, path: str):
         super().__init__()
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.mark = self.tokenizer.encode(MARK, add_special_tokens=False).ids
-
-    def _whole(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-
-    def learn(self, words: list[str]) -> None:
-        """Put in the ids of words, all in one call."""
-        if len(self) + len(words) > CACHED:
-            self.clear()
-        lines = [f" {MARK} ".join(words[i : i + 1000]) for i in range(0, len(words), 1000)]
-        each = self.tokenizer.encode_batch_fast(lines, add_special_tokens=False)
-        for at, one in zip(range(0, len(words), 1000), each, strict=True):
-            ids = np.array(one.ids, "<u4")
-            n = len(self.mark)
-            hit = np.ones(max(0, len(ids) - n + 1), bool)
-            for k, x in enumerate(self.mark):
-                hit &= ids[k : len(ids) - n + 1 + k] == x
-            ends = np.append(np.flatnonzero(hit), len(ids)).tolist()
-            data, begin = ids.tobytes(), 0
-            for w, e in zip(words[at : at + 1000], ends, strict=True):
-                self[w] = data[4 * begin : 4 * e]
-                begin = e + n
-
-    def ids(self, texts: list[str]) -> Iterator[bytes]:
-        """All ids of each text, four bytes each, little-endian."""
-        for i in range(0, len(texts), TOGETHER):
-            some = texts[i : i + TOGETHER]
-            split = [t.lower().split() if self._plain(t) else None for t in some]
-            new = set().union(*(w for w in split if w)) - self.keys()
-            if new:
-                self.learn(sorted(new))
-            for t, words in zip(some, split, strict=True):
-                yield self._whole(t) if words is None else b"".join(map(self.__getitem__, words))
-
-    @staticmethod
-    def _plain(text: str) -> bool:
-        """Is a text tokenized word by word, and its lower case the tokenizer's?"""
-        if "<|" in text or not _ODD.isdisjoint(text):
-            return False
-        return text.isascii() or unicodedata.is_normalized("NFC", text)
+        self.model = self.tokenizer.model
+        self.characters = _byte_characters()
+
+    def __missing__(self, part: str) -> bytes:
+        name = part if part.isascii() and part.isprintable() else "".join(self.characters[b] for b in part.encode())
+        ids = np.array([t.id for t in self.model.tokenize(name)], "<u4").tobytes()
+        if len(part) <= 64:
+            if len(self) >= CACHED:
+                self.clear()
+            self[part] = ids
+        return ids
+
+    def ids(self, text: str) -> bytes:
+        """All ids of a text, four bytes each, little-endian."""
+        if "<|" in text or _BEYOND.search(text):
+            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        return b"".join(map(self.__getitem__, _PARTS.findall(text.lower())))
 
 
 _worker: dict[str, WordTokens] = {}
@@ -114,8 +101,8 @@ def pieces(docs: DataFrame, tokenizer: str, size: int = SIZE, end: int = 0) -> D
         tokens = _tokens(tokenizer)
         for batch in batches:
             row, part, start, length, crc = [], [], [], [], []
-            for i, data in enumerate(tokens.ids([t or "" for t in batch.column(1).to_pylist()])):
-                data += closing
+            for i, t in enumerate(batch.column(1)):
+                data = tokens.ids(t.as_py() or "") + closing
                 for p, at in enumerate(range(0, len(data), 4 * size)):
                     piece = data[at : at + 4 * size]
                     row.append(i)
