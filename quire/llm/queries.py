@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import langid, packing, simhash, toxicity, urlrules, warc, webp, winnow
+from quire.llm import langid, packing, simhash, suffixtree, toxicity, urlrules, warc, webp, winnow
 from quire.llm.common import id_fold
 
 
@@ -93,6 +93,12 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read(archives, payloads=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op7_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = suffixtree.score(docs, id_fold("doc_id", 7) != 2)
+    return scored.select("doc_id", (~F.col("train")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.classes(_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -104,6 +110,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_packing": op4_packing,
     "op5_decontamination": op5_decontamination,
     "op6_url_filters": op6_url_filters,
+    "op7_suffix_tree": op7_suffix_tree,
     "op8_simhash": op8_simhash,
     "op9_warc": op9_warc,
 }
