@@ -24,6 +24,7 @@ import math
 from collections import Counter
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -34,12 +35,13 @@ from pyspark.sql import functions as F
 WINDOW, STEP = 40, 20
 SEARCH = dict(window_log=16, hash_log=14, chain_log=14, search_log=6, min_match=4, target_length=32, strategy=5)
 SHARED_BYTES, OWN_BYTES = 4_096, 4_096
-FIT_ROWS = 3_000  # labelled rows of each class that fitting reads at most
+FIT_ROWS = 2_500  # labelled rows of each class that fitting reads at most
 FIT_BYTES = 8_000  # and bytes of each of them, from a place that its id chooses
 GRAM = 6
+TRAIN_STEP = 20  # one window in so many trains the shared content
 FOLDS = 3
 FALSE_WINDOWS = 0.0005  # share of ordinary windows above the threshold
-EVIDENCE, ODDS = 4.0, 6.0  # how much oftener one side holds a distinctive gram: in standard errors, and times
+EVIDENCE, ODDS = 6.0, 6.0  # how much oftener one side holds a distinctive gram: in standard errors, and times
 PIECE = 1 << 22
 
 
@@ -62,11 +64,13 @@ class _Lengths:
         )
 
     def __call__(self, data: bytes, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-        if not len(starts):
-            return np.zeros(0, np.int16)
-        segments = np.stack([starts.astype(np.uint64), sizes.astype(np.uint64)], 1).tobytes()
-        out = self.compressor.multi_compress_to_buffer(zstandard.BufferWithSegments(data, segments), threads=1)
-        return np.fromiter((len(out[i]) for i in range(len(out))), np.int16, len(out))
+        view, one = memoryview(data), self.compressor.compress
+        return np.fromiter((len(one(view[a : a + n])) for a, n in zip(starts.tolist(), sizes.tolist(), strict=True)), np.int16, len(starts))
+
+
+@lru_cache(4)
+def _lengths(dictionary: bytes) -> _Lengths:
+    return _Lengths(dictionary)
 
 
 @dataclass(frozen=True)
@@ -138,9 +142,10 @@ def _cover(strings: list[bytes], size: int) -> bytes:
     out: list[bytes] = []
     for s in sorted(counts, key=lambda x: (-counts[x], x)):
         own = set(_grams(s).tolist())
-        if 2 * len(own - have) > len(own) and sum(map(len, out)) + len(s) <= size:
+        if 2 * len(own - have) > len(own) and len(s) <= size:
             have |= own
             out.append(s)
+            size -= len(s)
     return b"".join(reversed(out))
 
 
@@ -157,18 +162,18 @@ def _grams(text: bytes) -> np.ndarray:
 
 def _shares(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Each gram and the number of different surroundings it is found in, so that copies of a passage count once."""
-    pairs = []
+    keys = []
     for t in texts:
         g = _grams(b" " * GRAM + t + b" " * GRAM)
         if len(g) > 2 * GRAM:
-            around = g[: -2 * GRAM] * np.uint64(0x9E3779B97F4A7C15) ^ g[2 * GRAM :]
-            pairs.append(np.stack([g[GRAM:-GRAM], around], 1))
-    if not pairs:
+            around = (g[: -2 * GRAM] * np.uint64(0x9E3779B97F4A7C15) ^ g[2 * GRAM :]) * np.uint64(0xBF58476D1CE4E5B9)
+            keys.append(g[GRAM:-GRAM] << np.uint64(16) | around >> np.uint64(48))
+    if not keys:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    both = np.concatenate(pairs)
-    both = both[np.lexsort((both[:, 1], both[:, 0]))]
-    new = np.append(True, (both[1:] != both[:-1]).any(1))
-    return np.unique(both[new, 0], return_counts=True)
+    every = np.sort(np.concatenate(keys))
+    every = every[np.append(True, every[1:] != every[:-1])] >> np.uint64(16)
+    begin = np.flatnonzero(np.append(True, every[1:] != every[:-1]))
+    return every[begin], np.diff(np.append(begin, len(every)))
 
 
 def _distinctive(toxic: list[bytes], ordinary: list[bytes]) -> list[bytes]:
@@ -211,7 +216,7 @@ def _different(texts: list[bytes]) -> list[bytes]:
 
 
 def _dictionaries(toxic: list[bytes], ordinary: list[bytes]) -> tuple[bytes, bytes]:
-    shared = _train([t[int(s) : int(s) + WINDOW] for t in ordinary for s in window_offsets(len(t))[::2]], SHARED_BYTES)
+    shared = _train([t[int(s) : int(s) + WINDOW] for t in ordinary for s in window_offsets(len(t))[::TRAIN_STEP]], SHARED_BYTES)
     return shared + _cover(_distinctive(toxic, ordinary), OWN_BYTES), shared + _cover(_distinctive(ordinary, toxic), OWN_BYTES)
 
 
@@ -281,7 +286,7 @@ def scorer(spark: SparkSession, model: ToxicityModel | None) -> Callable[[Column
         m = shared.value
         if m is None:
             return pa.array(np.zeros(len(texts)))
-        toxic, ordinary, w = _Lengths(m.toxic), _Lengths(m.ordinary), np.array(m.weights)
+        toxic, ordinary, w = _lengths(m.toxic), _lengths(m.ordinary), np.array(m.weights)
         out = np.empty(len(texts))
         for i, t in enumerate(texts):
             x = np.array(_features(_gains(toxic, ordinary, (t.as_py() or "").encode("utf-8", "replace")), m.threshold))
