@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import langid, packing, simhash, suffixtree, toxicity, urlrules, warc, webp, winnow
+from quire.llm import langid, packing, quality, simhash, suffixtree, toxicity, urlrules, warc, webp, winnow
 from quire.llm.common import id_fold
 
 
@@ -103,6 +103,13 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.classes(_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = (_table(spark, sf_dir, t) for t in ("documents", "labels"))
+    scored = quality.score(docs.select("doc_id", "text", "source"), labels.select("doc_id", "quality"), id_fold("doc_id", 5) != 0)
+    good = (F.col("score") >= 0.5).cast("int").alias("predicted")
+    return scored.select("doc_id", (~F.col("train")).alias("held_out"), "score", good, "doc_score", "host_share", "path_share")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_language_id": op2_language_id,
@@ -113,5 +120,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_suffix_tree": op7_suffix_tree,
     "op8_simhash": op8_simhash,
     "op9_warc": op9_warc,
+    "op10_quality": op10_quality,
 }
 ORACLE_SQL: dict[str, str] = {"op6_url_filters": OP6_SQL}

@@ -25,6 +25,7 @@ never a class's smallest id unless it is alone; repeated rows stay as many rows;
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -40,6 +41,24 @@ FINGERPRINTS = 1 << 15  # hashes that are counted at a time
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
 
+def one_of_each(docs: DataFrame, words: int = 5, radius: int = 6) -> DataFrame:
+    """docs with one document of each class, the one with the smallest doc_id; all columns as they are.
+
+    Ids name documents: of rows with the same id one stays. Rows without an id are only compared with each other, by their whole text.
+    """
+    named = docs.where(F.col("doc_id").isNotNull())
+    found = written(classes(named.select("doc_id", "text"), words, radius), "classes")
+    kept = found.where(F.col("doc_id") == F.col("component_id")).groupBy("doc_id").agg(F.count("*").alias("rows"))
+    kept = written(kept, "kept")
+    out = named.join(kept.select("doc_id"), "doc_id", "left_semi")
+    if not kept.where(F.col("rows") > 1).isEmpty():
+        out = out.dropDuplicates(["doc_id"])
+    nameless = docs.where(F.col("doc_id").isNull())
+    if not nameless.isEmpty():
+        out = out.unionByName(nameless.dropDuplicates(["text"]))
+    return out.select([F.col(f"`{c}`") for c in docs.columns])
+
+
 def fingerprint(text: str | None, words: int = 4) -> int:
     """The SimHash of a text's word shingles, A-Z lower-cased, words between ASCII white space."""
     w = (text or "").encode("utf-8", "replace").translate(_LOWER).split()
@@ -111,7 +130,7 @@ def forest(prints: np.ndarray, other: np.ndarray | None = None, radius: int = RA
     return edges
 
 
-def _search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _search(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa.RecordBatch]:
     """Forest edges of the buckets of one partition, whose rows come sorted by bucket; the last bucket of a batch waits for the next."""
     kept: pa.Table | None = None
 
@@ -128,11 +147,11 @@ def _search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if s.any() and not s.all():
                 order = np.argsort(s, kind="stable")
                 p, cut = p[order], int((s == 0).sum())
-                found = forest(p[:cut], p[cut:])
+                found = forest(p[:cut], p[cut:], radius)
             elif s.any():
                 continue
             else:
-                found = forest(p)
+                found = forest(p, None, radius)
             a.extend(p[x] for x, _ in found)
             b.extend(p[y] for _, y in found)
         if a:
@@ -178,7 +197,7 @@ def links(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
             "mask_no", "bucket", "p.part", "p.side", "print"
         )
     by = ["mask_no", "bucket", "part"]
-    found = dealt.repartition(*by).sortWithinPartitions(*by).mapInArrow(_search, "a bigint, b bigint")
+    found = dealt.repartition(*by).sortWithinPartitions(*by).mapInArrow(partial(_search, radius=radius), "a bigint, b bigint")
     return found.distinct()
 
 
@@ -208,12 +227,12 @@ def components(edges: DataFrame) -> DataFrame:
     return star.select(F.col("b").alias("node"), F.col("a").alias("root"))
 
 
-def classes(docs: DataFrame, words: int = 4) -> DataFrame:
+def classes(docs: DataFrame, words: int = 4, radius: int = RADIUS) -> DataFrame:
     """(doc_id, fingerprint, component_id) for every row of docs (doc_id, text)."""
     prints = written(docs.select("doc_id", fingerprints(words)(F.col("text")).alias("print")), "fingerprints")
     nodes = prints.groupBy("print").agg(F.min("doc_id").alias("least"))
     nodes = written(nodes, "distinct-fingerprints")
-    tree = components(links(nodes.select("print")))
+    tree = components(links(nodes.select("print"), radius))
     # the smallest id of each component, by its root; a component's nodes are counted before they meet
     rooted = tree.join(nodes, tree["node"] == nodes["print"]).select("node", "root", "least")
     own = tree.select(F.col("root").alias("node"), "root").distinct().join(nodes, F.col("node") == F.col("print")).select("node", "root", "least")
