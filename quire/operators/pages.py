@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.functions import text as T
+from quire.operators.udf import dealt
 
 LINES_A_PAGE, CHAR_WIDTH, LINE_PITCH, LINE_HEIGHT = 40, 6, 12, 10
 
@@ -21,22 +22,14 @@ def lines(docs: DataFrame, text: str = "text") -> DataFrame:
 
 def words(lines: DataFrame) -> DataFrame:
     """Words of lines set in a fixed pitch: doc_id, page_number, line_no, word_no, x0, y0, x1, y1, text."""
-    parts = F.filter(
-        F.transform(F.split("line", " "), lambda w, i: F.struct(w.alias("text"), i.alias("word_no"))),
-        lambda w: w["text"] != "",
-    )
-    begin = F.aggregate(
-        F.split("line", " "),
-        F.struct(F.array().cast("array<int>").alias("at"), F.lit(0).alias("next")),
-        lambda s, w: F.struct(F.concat(s["at"], F.array(s["next"])).alias("at"), (s["next"] + F.char_length(w) + 1).alias("next")),
-        lambda s: s["at"],
-    )
-    rows = lines.select("doc_id", "page_number", "line_no", begin.alias("begins"), F.explode(parts).alias("w"))
-    x0 = CHAR_WIDTH * F.col("begins")[F.col("w.word_no")].cast("double")
+    parts = lines.select("doc_id", "page_number", "line_no", F.posexplode(F.split("line", " ")).alias("word_no", "text"))
+    before = Window.partitionBy("doc_id", "page_number", "line_no").orderBy("word_no").rowsBetween(Window.unboundedPreceding, -1)
+    x0 = CHAR_WIDTH * F.coalesce(F.sum(F.char_length("text") + 1).over(before), F.lit(0)).cast("double")
     y0 = LINE_PITCH * (F.col("line_no") % LINES_A_PAGE).cast("double")
+    rows = parts.withColumn("x0", x0).where("text <> ''")
     return rows.select(
-        "doc_id", "page_number", "line_no", F.col("w.word_no").alias("word_no"), x0.alias("x0"), y0.alias("y0"),
-        (x0 + CHAR_WIDTH * F.char_length("w.text")).alias("x1"), (y0 + LINE_HEIGHT).alias("y1"), F.col("w.text").alias("text"),
+        "doc_id", "page_number", "line_no", "word_no", "x0", y0.alias("y0"),
+        (F.col("x0") + CHAR_WIDTH * F.char_length("text")).alias("x1"), (y0 + LINE_HEIGHT).alias("y1"), "text",
     )
 
 
@@ -129,7 +122,7 @@ def image_signals(pages: DataFrame, blocks: str = "blocks") -> DataFrame:
 
 def page_words(words: DataFrame) -> DataFrame:
     """doc_id, page_number and the array of a page's words, as the row functions take it."""
-    return words.groupBy("doc_id", "page_number").agg(F.sort_array(F.collect_list(F.struct("y0", "x0", "y1", "x1", "text"))).alias("own")).select(
+    return dealt(words, "doc_id", "page_number").groupBy("doc_id", "page_number").agg(F.sort_array(F.collect_list(F.struct("y0", "x0", "y1", "x1", "text"))).alias("own")).select(
         "doc_id", "page_number", F.transform("own", lambda w: F.struct(w["x0"].alias("x0"), w["y0"].alias("y0"), w["x1"].alias("x1"), w["y1"].alias("y1"), w["text"].alias("text"))).alias("words")
     )
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import pyarrow as pa
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import _parse_datatype_string
@@ -34,6 +34,11 @@ def rowwise(fn: Callable, ddl: str) -> Callable[..., Column]:
     return call
 
 
+def dealt(rows: DataFrame, *keys: str) -> DataFrame:
+    """rows dealt by keys over as many partitions as shuffles have: row functions take far longer than their bytes tell."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def word_rows(words) -> list[tuple]:
     """An array of words as tuples in reading order, without empty ones."""
     rows = sorted((w["y0"], w["x0"], w["y1"], w["x1"], w["text"]) for w in words or () if w["text"])

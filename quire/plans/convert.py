@@ -10,6 +10,7 @@ from quire.functions import markup as M
 from quire.functions import text as T
 from quire.operators import pages as P
 from quire.operators import transcripts as X
+from quire.operators.udf import dealt
 
 
 def read_pass(pages: DataFrame, config: EngineConfig) -> DataFrame:
@@ -17,13 +18,10 @@ def read_pass(pages: DataFrame, config: EngineConfig) -> DataFrame:
 
     Adds open_table, merged_text and merged_quality. A second transcription only goes into pages whose tables don't end.
     """
-    rows = pages.withColumn("open_table", M.has_open_table(F.col("ocr_text")))
-    broken = rows.where("open_table").withColumn("ocr_text", X.repaired(F.col("ocr_text"), F.col("second_text") if config.secondary_table_repair else F.lit(None).cast("string")))
-    rows = X.merge_with_fallback(rows.where("NOT open_table").unionByName(broken), config.merge_policy)
-    piped = F.col("merged_text").rlike(r"(?m)^.*\|.*$") & (F.size("words") > 0)
-    tables = rows.where(piped).withColumn("t", X.merged_table(F.col("merged_text"), F.col("words")))
-    tables = tables.withColumn("merged_text", F.when(F.col("t.applied"), F.col("t.markdown")).otherwise(F.col("merged_text"))).drop("t")
-    rows = rows.where(~F.coalesce(piped, F.lit(False))).unionByName(tables)
+    second = F.col("second_text") if config.secondary_table_repair else F.lit(None).cast("string")
+    rows = pages.withColumn("open_table", M.has_open_table(F.col("ocr_text"))).withColumn("ocr_text", X.repaired(F.col("ocr_text"), second))
+    rows = X.merge_with_fallback(rows, config.merge_policy)
+    rows = rows.withColumn("merged_text", X.table_corrected(F.col("merged_text"), F.col("words")))
     return rows.withColumn("merged_quality", T.quality(F.col("merged_text"))["score"])
 
 
@@ -34,7 +32,7 @@ def convert_pages(pages: DataFrame, words: DataFrame, config: EngineConfig, retr
     """
     page = ["doc_id", "page_number"]
     likely = P.table_likelihood(words).select(*page, "n_words", "likelihood")
-    own = pages.join(P.page_words(words), page, "left").join(likely, page, "left")
+    own = dealt(pages.join(P.page_words(words), page, "left").join(likely, page, "left"), *page)
     own = own.withColumn("words", F.coalesce("words", F.array().cast(own.schema["words"].dataType))).withColumn("likelihood", F.coalesce("likelihood", F.lit(0.0)))
     first = read_pass(own, config)
     if retry is not None:
