@@ -51,6 +51,8 @@ def _is_letter() -> np.ndarray:
 
 def grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """The n-grams of all texts as numbers, and the place where each text's begin (one more at the end)."""
+    if not texts:
+        return np.zeros(0, np.uint64), np.zeros(1, np.int64)
     lowered = [f" {t.lower()} " for t in texts]
     code = np.frombuffer("".join(lowered).encode("utf-32-le", "surrogatepass"), np.uint32)
     ends = np.cumsum([len(t) for t in lowered])
