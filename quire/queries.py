@@ -589,8 +589,8 @@ def event_sessions(spark, sf_dir):
 
 @query()
 def merged_texts(spark, sf_dir):
-    docs = _t(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("layer"), _corrupted(F.col("text")).alias("ocr"))
-    return docs.select("doc_id", X.merged(F.col("ocr"), F.col("layer"), "aggressive").alias("m")).select("doc_id", "m.text", "m.changed_chars", "m.changed_tokens", "m.blocks")
+    own = _transcripts(spark, sf_dir).select("doc_id", "page_number", X.merged(F.translate("layer_text", "lO", "10"), F.col("layer_text"), "aggressive").alias("m"))
+    return own.select("doc_id", "page_number", "m.text", "m.changed_chars", "m.changed_tokens", "m.blocks")
 
 
 @query()
