@@ -27,7 +27,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """df, written once as a table in the shared folder and read back: later uses and lost executors don't compute it again."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     if not _own:
         atexit.register(_forget)
     _own.append((spark, path))

@@ -66,7 +66,7 @@ class _Vocabulary(dict):
         return n
 
 
-_CHUNK = "chunk string, ids array<{id}>, train array<boolean>, sizes array<int>, tokens binary, word binary, place int, count bigint"
+_CHUNK = "chunk bigint, ids array<{id}>, train array<boolean>, sizes array<int>, tokens binary, word binary, place int, count bigint"
 
 
 def _chunked(docs: DataFrame, train: Column) -> DataFrame:
@@ -79,11 +79,11 @@ def _chunked(docs: DataFrame, train: Column) -> DataFrame:
         total = 0
 
         def close() -> Iterator[pa.RecordBatch]:
-            name = uuid.uuid4().hex
+            name = uuid.uuid4().int >> 65  # 63 random bits
             tokens = np.concatenate(parts)
             sizes = np.array([len(p) for p in parts])
             counts = np.bincount(tokens[np.repeat(np.array(trains, bool), sizes)], minlength=len(vocabulary))
-            one = [pa.array([name]), pa.array([ids], schema[1]), pa.array([trains], pa.list_(pa.bool_())), pa.array([sizes.tolist()], pa.list_(pa.int32())), pa.array([_packed(tokens)], pa.binary())]
+            one = [pa.array([name], pa.int64()), pa.array([ids], schema[1]), pa.array([trains], pa.list_(pa.bool_())), pa.array([sizes.tolist()], pa.list_(pa.int32())), pa.array([_packed(tokens)], pa.binary())]
             yield pa.RecordBatch.from_arrays([*one, pa.nulls(1, pa.binary()), pa.nulls(1, pa.int32()), pa.nulls(1, pa.int64())], names)
             known = list(vocabulary)
             for a in range(0, len(known), 100_000):
@@ -91,7 +91,7 @@ def _chunked(docs: DataFrame, train: Column) -> DataFrame:
                 n = len(part)
                 none = [pa.nulls(n, t) for t in (schema[1], pa.list_(pa.bool_()), pa.list_(pa.int32()), pa.binary())]
                 own = [pa.array(part, pa.binary()), pa.array(np.arange(a, a + n, dtype=np.int32)), pa.array(counts[a : a + n].astype(np.int64))]
-                yield pa.RecordBatch.from_arrays([pa.array([name] * n), *none, *own], names)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, name)), *none, *own], names)
 
         names = ["chunk", "ids", "train", "sizes", "tokens", "word", "place", "count"]
         for batch in batches:
