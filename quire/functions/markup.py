@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.functions.text import SPACE, SPACE_BUT_NEWLINE, newlines, normalize, strip
@@ -273,3 +273,34 @@ def replace_terms(text: Column, terms: Iterable[tuple[str, str]]) -> Column:
 def normalized_lines(text: Column) -> Column:
     """Normalised, stripped, non-empty lines of a text split at newlines."""
     return F.filter(F.transform(F.split(newlines(text), "\n"), lambda x: strip(normalize(x))), lambda x: x != "")
+
+
+def _last_part(name: Column) -> Column:
+    """A path's last part, without line breaks."""
+    return F.substring_index(F.regexp_replace(F.regexp_replace(name, r"[\r\n]", ""), "/+$", ""), "/", -1)
+
+
+def disposition_name(header: Column) -> Column:
+    """The file name of a Content-Disposition header, the coded form first; null without one."""
+    coded = F.regexp_extract(header, r"(?i)filename\*\s*=\s*UTF-8''([^;\s]+)", 1)
+    plain = F.regexp_extract(header, r'(?i)filename\s*=\s*"([^"]*)"', 1)
+    return F.when(coded != "", _last_part(F.try_url_decode(F.replace(coded, F.lit("+"), F.lit("%2B"))))).when(plain != "", _last_part(plain))
+
+
+def saved_name(name: Column, fallback: str, suffix: str | None = None) -> Column:
+    """A name to save a file by: the last part, or fallback without one, with the suffix if one is asked for."""
+    own = _last_part(strip(F.coalesce(name, F.lit(""))))
+    own = F.when(own == "", _last_part(F.lit(fallback))).otherwise(own)
+    if not suffix or not suffix.strip().lstrip("."):
+        return own
+    end = "." + suffix.strip().lstrip(".").lower()
+    stem = F.when(own.rlike(r"^.+\.[^.]+$"), F.regexp_replace(own, r"\.[^.]+$", "")).otherwise(own)
+    return F.when(F.lower(own).endswith(end), own).otherwise(F.concat(stem, F.lit(end)))
+
+
+def numbered_names(rows: DataFrame, folder: str = "folder", name: str = "name", into: str = "unique_name") -> DataFrame:
+    """rows with names that differ within their folder: the second of a name is `stem (1).suffix`, and so on."""
+    place = F.row_number().over(Window.partitionBy(folder, name).orderBy(F.monotonically_increasing_id())) - 1
+    stem, end = F.regexp_replace(name, r"(?<=.)\.[^.]+$", ""), F.regexp_extract(name, r"(?<=.)(\.[^.]+)$", 1)
+    number = F.concat(stem, F.lit(" ("), F.col("_place").cast("string"), F.lit(")"), end)
+    return rows.withColumn("_place", place).withColumn(into, F.when(F.col("_place") == 0, F.col(name)).otherwise(number)).drop("_place")

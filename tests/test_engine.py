@@ -197,3 +197,19 @@ def test_sinks(spark, tmp_path):
     assert {p for p in os.listdir(f"{tmp_path}/h") if p.startswith("doc_id")} == {"doc_id=1", "doc_id=2"}
     spark.createDataFrame([(1, 1, "t")], stored.PAGES).write.parquet(f"{tmp_path}/p")
     assert stored.pages(spark, f"{tmp_path}/p").count() == 1
+
+
+def test_file_names(spark):
+    s = F.lit
+    assert one(spark, K.disposition_name(s("attachment; filename=\"x.html\"; filename*=UTF-8''%E5%A0%B1%20a.html"))) == "報 a.html"
+    assert one(spark, K.disposition_name(s('attachment; filename="a/b.html"'))) == "b.html" and one(spark, K.disposition_name(s("inline"))) is None
+    assert one(spark, K.saved_name(s(" a/b.txt "), "f", "html")) == "b.html" and one(spark, K.saved_name(s(""), "f.html")) == "f.html"
+    rows = spark.createDataFrame([("d", "a.html"), ("d", "a.html"), ("e", "a.html"), ("d", "b")], "folder string, name string")
+    assert sorted(r["unique_name"] for r in K.numbered_names(rows).collect()) == ["a (1).html", "a.html", "a.html", "b"]
+
+
+def test_images_without_a_library(spark):
+    from quire.sources import images
+
+    assert images.below("bm90IGFuIGltYWdl") is None and images.smaller(None, 10) is None
+    assert one(spark, images.downscaled(F.lit("YQ=="), 10)) == "YQ=="
