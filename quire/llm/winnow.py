@@ -256,7 +256,7 @@ def _blocks(benchmark: DataFrame) -> Iterator[list[tuple[object, str | None]]]:
     yield block
 
 
-def matcher(spark: SparkSession, items: list[tuple[object, str | None]], count_items: bool = True) -> Callable:
+def matcher(spark: SparkSession, items: list[tuple[object, str | None]]) -> Callable:
     """A column function from text to struct<n_words, n_hit, items, spans> for one block of items."""
     shared = spark.sparkContext.broadcast(index(items))  # of at most BLOCK characters of items
 
