@@ -3,9 +3,9 @@
 Two zstandard dictionaries are trained, one on toxic and one on ordinary text. A text
 is cut into short overlapping byte windows; every window is compressed against both
 dictionaries, and its gain is the number of bytes that the toxic dictionary saves over
-the ordinary one. Windows whose gain passes a threshold, calibrated on ordinary training
-text, count as evidence, and a logistic curve over the largest gains and the number of
-such windows gives the document's score.
+the ordinary one. Windows above thresholds count by how much they exceed the rates that are calibrated on
+ordinary training text, and a logistic curve over these, the largest gains and the length
+gives the document's score.
 
 Labels belong to whole documents, so most toxic training text is ordinary. Both dictionaries
 therefore begin with the same content, trained on ordinary text, and end with strings that
@@ -40,7 +40,7 @@ FIT_BYTES = 8_000  # and bytes of each of them, from a place that its id chooses
 GRAM = 6
 TRAIN_STEP = 20  # one window in so many trains the shared content
 FOLDS = 3
-FALSE_WINDOWS = 0.0005  # share of ordinary windows above the threshold
+LEVELS = (3, 5, 7)  # gains whose windows are counted
 EVIDENCE, ODDS = 6.0, 6.0  # how much oftener one side holds a distinctive gram: in standard errors, and times
 PIECE = 1 << 22
 
@@ -77,7 +77,7 @@ def _lengths(dictionary: bytes) -> _Lengths:
 class ToxicityModel:
     toxic: bytes
     ordinary: bytes
-    threshold: float
+    rates: tuple[float, ...]
     weights: tuple[float, ...]
 
     def gains(self, data: bytes) -> np.ndarray:
@@ -99,13 +99,15 @@ def _gains(toxic: _Lengths, ordinary: _Lengths, data: bytes) -> np.ndarray:
     return np.concatenate(parts) if parts else np.zeros(0, np.int16)
 
 
-def _features(gains: np.ndarray, threshold: float) -> list[float]:
+def _features(gains: np.ndarray, rates: tuple[float, ...]) -> list[float]:
+    """What the curve sees: the largest gains, by how much the windows above each of LEVELS exceed the ordinary rates, and the length."""
     if not len(gains):
-        return [1.0, 0.0, 0.0, 0.0, 0.0]
+        return [1.0] + [0.0] * (3 + len(LEVELS))
+    n = len(gains)
     top = np.sort(gains)[-3:][::-1].astype(float)
     top = np.maximum(0, np.pad(top, (0, 3 - len(top))))
-    hits = float((gains >= threshold).sum())
-    return [1.0, top[0] / 4, top[1:].mean() / 4, math.log1p(hits), hits / math.sqrt(len(gains))]
+    surplus = [math.asinh((float((gains >= t).sum()) - n * r) / math.sqrt(n * r + 0.25)) for t, r in zip(LEVELS, rates, strict=True)]
+    return [1.0, top[0] / 4, top[1:].mean() / 4, *surplus, math.log1p(n) / 2]
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 30) -> np.ndarray:
@@ -221,9 +223,9 @@ def _dictionaries(toxic: list[bytes], ordinary: list[bytes]) -> tuple[bytes, byt
 
 
 def fit(toxic: list[bytes], ordinary: list[bytes], prior: float) -> ToxicityModel:
-    """Dictionaries, threshold and curve from labelled texts; prior is the share of toxic rows.
+    """Dictionaries, rates and curve from labelled texts; prior is the share of toxic rows.
 
-    Threshold and curve come from texts that the dictionaries at hand were not trained on,
+    Rates and curve come from texts that the dictionaries at hand were not trained on,
     FOLDS times over; the final dictionaries are trained on all.
     """
     toxic, ordinary = _different(toxic), _different(ordinary)
@@ -233,12 +235,13 @@ def fit(toxic: list[bytes], ordinary: list[bytes], prior: float) -> ToxicityMode
         a, b = map(_Lengths, _dictionaries(*rest))
         for into, side in zip(held, (toxic, ordinary), strict=True):
             into.extend(_gains(a, b, t) for t in side[k::FOLDS])
-    threshold = float(np.quantile(np.concatenate(held[1] + [np.zeros(1)]), 1 - FALSE_WINDOWS))
-    x = np.array([_features(g, threshold) for side in held for g in side])
+    ordinary_gains = np.concatenate(held[1] + [np.zeros(1)])
+    rates = tuple(float((ordinary_gains >= t).mean()) for t in LEVELS)
+    x = np.array([_features(g, rates) for side in held for g in side])
     y = np.array([1.0] * len(held[0]) + [0.0] * len(held[1]))
     w = _logistic(x, y)
     w[0] += math.log(prior / (1 - prior)) - math.log(y.mean() / (1 - y.mean()))
-    return ToxicityModel(*_dictionaries(toxic, ordinary), threshold, tuple(map(float, w)))
+    return ToxicityModel(*_dictionaries(toxic, ordinary), rates, tuple(map(float, w)))
 
 
 def fit_from_labels(docs: DataFrame, labels: DataFrame, keep: Column | None = None) -> ToxicityModel | None:
@@ -289,7 +292,7 @@ def scorer(spark: SparkSession, model: ToxicityModel | None) -> Callable[[Column
         toxic, ordinary, w = _lengths(m.toxic), _lengths(m.ordinary), np.array(m.weights)
         out = np.empty(len(texts))
         for i, t in enumerate(texts):
-            x = np.array(_features(_gains(toxic, ordinary, (t.as_py() or "").encode("utf-8", "replace")), m.threshold))
+            x = np.array(_features(_gains(toxic, ordinary, (t.as_py() or "").encode("utf-8", "replace")), m.rates))
             out[i] = 1 / (1 + math.exp(-max(-30.0, min(30.0, float(x @ w)))))
         return pa.array(out)
 
