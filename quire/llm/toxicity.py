@@ -41,7 +41,8 @@ GRAM = 6
 TRAIN_STEP = 20  # one window in so many trains the shared content
 FOLDS = 3
 LEVELS = (3, 5, 7)  # gains whose windows are counted
-EVIDENCE, ODDS = 6.0, 6.0  # how much oftener one side holds a distinctive gram: in standard errors, and times
+EVIDENCE, ODDS = 4.0, 6.0  # how much oftener one side holds a distinctive gram: in standard errors, and times
+PER_TEXTS = 400  # with each doubling of the texts beyond so many, one standard error more is asked: more grams are tried
 PIECE = 1 << 22
 
 
@@ -189,7 +190,8 @@ def _distinctive(toxic: list[bytes], ordinary: list[bytes]) -> list[bytes]:
     in_ordinary[found] = m[at[found]]
     expected = in_ordinary * size_t / size_o
     surplus = 2 * (np.sqrt(n + 0.375) - np.sqrt(expected + 0.375))  # in standard errors of a Poisson count
-    marked = np.sort(grams[(surplus >= EVIDENCE) & (n >= ODDS * expected)])
+    needed = EVIDENCE + math.log2(1 + min(len(toxic), len(ordinary)) / PER_TEXTS)
+    marked = np.sort(grams[(surplus >= needed) & (n >= ODDS * expected)])
     out = []
     for t in toxic:
         g = _grams(t)
