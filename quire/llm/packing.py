@@ -37,7 +37,7 @@ ROUNDS = 120  # configurations that the weights method asks for
 EPSILON = 0.25
 SALTS = 64
 TOGETHER = 256  # texts whose unseen words are asked for in one call
-CACHED = 1_000_000  # parts whose ids one worker keeps
+CACHED = 400_000  # parts whose ids one worker keeps
 MARK = "\u241e"  # stands between words that are asked for together
 _ODD = frozenset("\x1c\x1d\x1e\x1f\u180eΣİ" + MARK)  # white space to Python only, or lower-cased by other rules
 
