@@ -37,6 +37,7 @@ from quire.llm.common import written
 
 RADIUS, BITS, SEED = 4, 64, 42
 BLOCK = 4096
+CELL = 512  # keys that fall into a cell on average when large buckets are looked for
 FINGERPRINTS = 1 << 15  # hashes that are counted at a time
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
@@ -180,8 +181,13 @@ def links(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
     keyed = prints.select("print", F.explode(family).alias("m")).select(
         F.col("m.mask_no").alias("mask_no"), F.col("print").bitwiseAND(F.col("m.mask")).alias("bucket"), "print"
     )
-    sized = keyed.groupBy("mask_no", "bucket").agg(F.count("*").alias("n")).where(F.col("n") > BLOCK)
-    large = written(sized, "large-buckets")
+    # a bucket can only be large if its cell is: cells are few, so they are counted almost without moving rows
+    cells = max(1 << 12, prints.count() * len(signed) // CELL)
+    cell = F.pmod(F.xxhash64("mask_no", "bucket"), F.lit(cells)).alias("cell")
+    heavy = written(keyed.groupBy(cell).agg(F.count("*").alias("n")).where(F.col("n") > BLOCK).select("cell"), "heavy-cells")
+    inside = keyed.select("mask_no", "bucket", cell).join(heavy, "cell", "left_semi")
+    sized = inside.groupBy("mask_no", "bucket").agg(F.count("*").alias("n")).where(F.col("n") > BLOCK)
+    large = written(sized if not heavy.isEmpty() else sized.limit(0), "large-buckets")
     none = F.lit(0)
     if large.isEmpty():
         dealt = keyed.select("mask_no", "bucket", none.alias("part"), none.alias("side"), "print")
