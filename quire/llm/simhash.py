@@ -20,6 +20,9 @@ to the smallest neighbour, with each round written to the shared folder.
 Cases: null and wordless texts have fingerprint zero and are linked like any other; a text
 shorter than a shingle has one shingle of all its words; a null id is its own document and
 never a class's smallest id unless it is alone; repeated rows stay as many rows; extra columns are left out.
+
+one_of_each, the pipeline's stage, doesn't link by fingerprints: at shingle similarity 0.8 they differ in ten bits and more,
+which no covering family of bearable size reaches. It takes candidates and exact similarities from minhash.
 """
 
 from __future__ import annotations
@@ -33,33 +36,98 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quire.llm import minhash
 from quire.llm.common import written
 
 RADIUS, BITS, SEED = 4, 64, 42
 BLOCK = 4096
+BLOCK_BYTES, BLOCK_TEXTS = 4 << 20, 1024  # of the texts that one_of_each compares at a time
 CELL = 512  # keys that fall into a cell on average when large buckets are looked for
 FINGERPRINTS = 1 << 15  # hashes that are counted at a time
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
 
-def one_of_each(docs: DataFrame, words: int = 5, radius: int = 6) -> DataFrame:
-    """docs with one document of each class, the one with the smallest doc_id; all columns as they are.
+def one_of_each(docs: DataFrame, words: int = 5) -> DataFrame:
+    """docs with one row of each class of near copies, the one with the smallest doc_id and then text; all columns as they are.
 
-    Ids name documents: of rows with the same id one stays. Rows without an id are only compared with each other, by their whole text.
+    Classes are the components of links of shingle similarity minhash.LEAST or more, whatever the ids: rows of one id may be in
+    several classes, and a row without an id stays only if its class has no other.
     """
-    named = docs.where(F.col("doc_id").isNotNull())
-    found = written(classes(named.select("doc_id", "text"), words, radius), "classes")
-    kept = found.where(F.col("doc_id") == F.col("component_id")).groupBy("doc_id").agg(F.count("*").alias("rows"))
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    # a text's class depends on the text alone, which its digest stands for
+    digest = [F.xxhash64(text).alias("t1"), F.xxhash64(text, F.lit(1)).alias("t2")]
+    marks = docs.select("doc_id", *digest, F.octet_length(text).alias("bytes"), sketches(words)(F.col("text")).alias("s"))
+    marks = written(marks.select("doc_id", "t1", "t2", "bytes", "s.node", "s.keys"), "sketches")
+    nodes = written(marks.select("node", "keys").dropDuplicates(["node"]), "nodes")
+    keyed = nodes.select(F.explode("keys").alias("key"), "node")
+    heads = keyed.groupBy("key").agg(F.min("node").alias("head"), F.max("node").alias("last")).where(F.col("head") < F.col("last")).select("key", "head")
+    candidates = _rooted(components(keyed.join(heads, "key").select(F.col("head").alias("a"), F.col("node").alias("b"))))
+    candidates = written(candidates, "candidates")
+    # one text of each node goes to its candidates; those of many are cut into blocks, and every pair of blocks is searched
+    chosen = marks.join(candidates, "node").groupBy("node", "root").agg(F.min(F.struct("t1", "t2", "bytes")).alias("t"))
+    chosen = written(chosen.select("node", "root", "t.*"), "chosen")
+    sizes = chosen.groupBy("root").agg(F.greatest(F.ceil(F.sum("bytes") / BLOCK_BYTES), F.ceil(F.count("*") / BLOCK_TEXTS)).cast("int").alias("blocks"))
+    block, blocks = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"), F.col("blocks")
+    others = F.filter(F.sequence(F.lit(0), blocks - 1), lambda j: (j != block) | (blocks == 1))
+    parts = F.transform(others, lambda j: F.least(block, j) * blocks + F.greatest(block, j))
+    dealt = chosen.join(sizes, "root").select("t1", "t2", "node", "root", parts.alias("parts"))
+    texts = docs.select(text.alias("text"), *digest).join(dealt, ["t1", "t2"]).dropDuplicates(["node"])
+    dealt = texts.select("root", F.explode("parts").alias("part"), "node", "text")
+    found = dealt.repartition("root", "part").sortWithinPartitions("root", "part").mapInArrow(partial(_search_texts, words=words), "a bigint, b bigint")
+    linked = _rooted(components(found)).withColumnRenamed("root", "class")
+    classed = marks.join(linked, "node", "left").select("doc_id", "t1", "t2", F.coalesce("class", "node").alias("class"))
+    order = F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "t1", "t2")
+    kept = classed.groupBy("class").agg(F.min(order).alias("k")).select("k.doc_id", "k.t1", "k.t2")
     kept = written(kept, "kept")
-    out = named.join(kept.select("doc_id"), "doc_id", "left_semi")
-    if not kept.where(F.col("rows") > 1).isEmpty():
-        out = out.dropDuplicates(["doc_id"])
-    nameless = docs.where(F.col("doc_id").isNull())
-    if not nameless.isEmpty():
-        out = out.unionByName(nameless.dropDuplicates(["text"]))
+    inner = docs.withColumns({"__t1": digest[0], "__t2": digest[1]})
+    same = inner["doc_id"].eqNullSafe(kept["doc_id"]) & (inner["__t1"] == kept["t1"]) & (inner["__t2"] == kept["t2"])
+    out = inner.join(kept, same, "left_semi")
+    rows = marks.alias("m").join(kept.alias("k"), F.expr("m.doc_id <=> k.doc_id and m.t1 = k.t1 and m.t2 = k.t2")).groupBy("m.doc_id", "m.t1", "m.t2").count()
+    if not rows.where("count > 1").isEmpty():
+        out = out.dropDuplicates(["doc_id", "__t1", "__t2"])
     return out.select([F.col(f"`{c}`") for c in docs.columns])
 
 
+def sketches(words: int):
+    """A column function from text to its node and sketch keys (minhash)."""
+
+    @F.arrow_udf("struct<node: bigint, keys: array<bigint>>")
+    def run(texts: pa.Array) -> pa.Array:
+        own = [minhash.shingles(t.as_py(), words) for t in texts]
+        keys = [minhash.keys(s).view(np.int64) for s in own]
+        nodes = np.array([minhash.node(s) for s in own], np.uint64).view(np.int64)
+        ends = np.cumsum([0, *map(len, keys)]).astype(np.int32)
+        lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, np.int64), *keys])))
+        return pa.StructArray.from_arrays([pa.array(nodes), lists], ["node", "keys"])
+
+    return lambda text: run(text.cast("string"))
+
+
+def _search_texts(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBatch]:
+    """Forest edges among the texts of each root and part, which come sorted by them."""
+    at, nodes, sets = None, [], []
+
+    def edges() -> Iterator[pa.RecordBatch]:
+        found = minhash.search(sets)
+        if found:
+            a, b = (pa.array([nodes[x] for x in side], pa.int64()) for side in zip(*found, strict=True))
+            yield pa.RecordBatch.from_arrays([a, b], ["a", "b"])
+
+    for batch in batches:
+        for root, part, node, text in zip(*(batch[c].to_pylist() for c in ("root", "part", "node", "text")), strict=True):
+            if at != (root, part):
+                yield from edges()
+                at, nodes, sets = (root, part), [], []
+            nodes.append(node)
+            sets.append(minhash.shingles(text, words))
+    yield from edges()
+
+
+def _rooted(tree: DataFrame) -> DataFrame:
+    """components() with a row for the roots as well."""
+    return tree.unionByName(tree.select(F.col("root").alias("node"), "root").distinct())
+
+
 def fingerprint(text: str | None, words: int = 4) -> int:
     """The SimHash of a text's word shingles, A-Z lower-cased, words between ASCII white space."""
     w = (text or "").encode("utf-8", "replace").translate(_LOWER).split()
