@@ -4,13 +4,14 @@ Documents become token ids with a closing id, and longer ones than a sequence ar
 whole sequences and a rest. Only the histogram of piece lengths, at most `size` numbers,
 reaches the driver. There a configuration is a multiset of lengths that fits a sequence; the
 program asks for the fewest configurations that cover all pieces. Multiplicative weights
-solve it: every length has a price that falls as it gets covered, and the configuration worth
-most is found by knapsack dynamic programming over the capacity. The configurations found are
-rounded: they are used, best filled first, as often as the pieces that are left allow, and what
-then remains is packed best-fit decreasing, in the histogram again.
+solve it: every length has a price that falls as it gets covered, and the configurations worth
+most, one with each length, are found by knapsack dynamic programming over the capacity. Rounds go on until the
+cover is within GAP of the bound that the prices prove, or for as many rounds as there are lengths. The configurations found are
+rounded: they are used, best filled first, as often as the program says and the pieces that are left allow, and what
+then remains is packed best-fit decreasing, in the histogram again. The last of them are given up where that takes fewer sequences.
 
 The plan is a table of runs: pieces of length l with ranks r .. r + n - 1 go to sequences
-s .. s + n - 1 at a fixed offset. It has at most some ten thousand rows whatever the input's size. A
+s .. s + n - 1 at a fixed offset. Its rows are bounded by the number of lengths whatever the input's size. A
 piece's rank among those of its length is its rank among those of its length and salt plus the count
 of smaller salts, so no length gathers in one task.
 
@@ -33,8 +34,13 @@ from pyspark.sql import functions as F
 from quire.llm.common import written
 
 SIZE = 2048
-ROUNDS = 120  # configurations that the weights method asks for
+ROUNDS = 120  # of the weights method at most, or as many as there are lengths
 EPSILON = 0.25
+GAP = 0.1  # the program's cover has so many more sequences than the least at most
+WORTHLESS = 8.0  # a length that far ahead of the last, in EPSILON, has no price
+DAMPED = 12
+CONFIGURATIONS = 8  # for each length, in a plan
+KEPT = (1, 0.95, 0.9, 0.75, 0.5, 0.25, 0)  # shares of the rounded configurations to choose from
 SALTS = 64
 TOGETHER = 256  # texts whose unseen words are asked for in one call
 CACHED = 400_000  # parts whose ids one worker keeps
@@ -118,23 +124,98 @@ def pieces(docs: DataFrame, tokenizer: str, size: int = SIZE, end: int = 0) -> D
     return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(run, schema)
 
 
-def _knapsack(price: np.ndarray, size: int) -> Counter:
-    """The configuration of lengths 1..size (price[l - 1] each) worth most."""
-    lengths = np.flatnonzero(price > 0) + 1
-    value = price[lengths - 1]
-    worth = np.zeros(size + 1)
-    last = np.zeros(size + 1, np.int64)
+def _knapsack(price: np.ndarray, lengths: np.ndarray, need: np.ndarray, size: int) -> np.ndarray:
+    """For each length, how often (columns) a configuration with that length that is worth most has each length; none oftener than it is needed."""
+    m = len(lengths)
+    worth, used, column = np.zeros(size + 1), np.zeros((size + 1, m), np.int16), np.arange(m)
     for c in range(1, size + 1):
+        worth[c], used[c] = worth[c - 1], used[c - 1]
         n = int(np.searchsorted(lengths, c, "right"))
         if n:
-            got = worth[c - lengths[:n]] + value[:n]
+            before = c - lengths[:n]
+            got = np.where(used[before, column[:n]] < need[:n], worth[before] + price[:n], -1.0)
             k = int(got.argmax())
-            worth[c], last[c] = got[k], lengths[k]
-    out: Counter = Counter()
-    c = size
-    while c and last[c]:
-        out[int(last[c])] += 1
-        c -= int(last[c])
+            if got[k] > worth[c]:
+                worth[c], used[c] = got[k], used[before[k]]
+                used[c, k] += 1
+    rows = used[size - lengths]
+    rows[column, column] += rows[column, column] < need
+    return rows
+
+
+def _bound(price: np.ndarray, lengths: np.ndarray, need: np.ndarray, size: int) -> float:
+    """Sequences that any cover needs at these prices: what all is worth by what the best configuration is worth."""
+    worth = np.zeros(size + 1)
+    for c in range(1, size + 1):
+        n = int(np.searchsorted(lengths, c, "right"))
+        worth[c] = max(worth[c - 1], (worth[c - lengths[:n]] + price[:n]).max()) if n else worth[c - 1]
+    return float(need @ price) / worth[size]
+
+
+def program(lengths: np.ndarray, need: np.ndarray, size: int, rounds: int) -> tuple[list[tuple], float]:
+    """A fractional cover of need by configurations, and its sequences by the least that any cover has.
+
+    The cover comes as (columns, counts, ends of rows, times) for each round. A price falls with the share of its length that is covered. A round
+    takes the best configuration with each length, and damps those that ask for a length together too often. It
+    goes on until the gap is at most GAP, for `rounds` or as many rounds as there are lengths.
+    """
+    m = len(lengths)
+    cover, total, least, gap = np.zeros(m), 0.0, float(need @ lengths) / size, np.inf
+    found = []
+    for t in range(1, max(rounds, m) + 1):
+        behind = (cover / need - (cover / need).min()) / EPSILON
+        price = np.where(behind > WORTHLESS, 0.0, lengths * np.exp(-behind))
+        rows = _knapsack(price, lengths, need, size)
+        value = rows @ price
+        rows = rows[value >= 0.9 * value.max()]
+        row, column = np.nonzero(rows)
+        count = rows[row, column]
+        begin = np.searchsorted(row, np.arange(len(rows)))
+        step = np.minimum.reduceat(need[column] / count, begin)
+        for _ in range(DAMPED):
+            over = np.maximum(np.bincount(column, step[row] * count, m) / need / EPSILON, 1)
+            step /= np.sqrt(np.maximum.reduceat(over[column], begin))
+        got = np.bincount(column, step[row] * count, m)
+        shrink = min(1.0, EPSILON / (got / need).max())
+        cover += shrink * got
+        total += shrink * step.sum()
+        found.append((column.astype(np.int16), count, np.append(begin[1:], len(row)), shrink * step))
+        if t % 10 == 0 or t == max(rounds, m):
+            least = max(least, _bound(price, lengths, need, size))
+            share = (cover / need).min()
+            gap = total / share / least if share > 0 else np.inf
+            if gap <= 1 + GAP:
+                break
+    share = max((cover / need).min(), 1e-12)
+    return [(*f[:3], f[3] / share) for f in found], gap
+
+
+def rounded(left: dict[int, int], size: int, rounds: int) -> list[tuple[Counter, int]]:
+    """The program's configurations in whole sequences, fullest first; takes their pieces from left.
+
+    At most CONFIGURATIONS a length are used: where the program has more, each stands for as many as there are to one of these.
+    """
+    lengths = np.array(sorted(left), np.int64)
+    found, _ = program(lengths, np.array([left[k] for k in lengths.tolist()], float), size, rounds)
+    rest = np.array([left[k] for k in lengths.tolist()], np.int64)
+    full = [np.add.reduceat(lengths[c] * n, np.append(0, e[:-1])) for c, n, e, _ in found]
+    number, at = (np.concatenate(x) for x in zip(*((np.full(len(f), i), np.arange(len(f))) for i, f in enumerate(full)), strict=True))
+    times = np.concatenate([f[3] for f in found])
+    most = CONFIGURATIONS * len(lengths)
+    times = np.ceil(times * max(1.0, len(times) / most)).astype(np.int64)
+    out: list[tuple[Counter, int]] = []
+    for k in np.lexsort((-times, -np.concatenate(full))).tolist():
+        column, count, ends, _ = found[number[k]]
+        i = int(at[k])
+        own = slice(int(ends[i - 1]) if i else 0, int(ends[i]))
+        c, n = column[own], count[own].astype(np.int64)
+        uses = min(int((rest[c] // n).min()), int(times[k]))
+        if uses > 0:
+            rest[c] -= uses * n
+            out.append((Counter(dict(zip(lengths[c].tolist(), n.tolist(), strict=True))), uses))
+            if len(out) == most:
+                break
+    left.update(zip(lengths.tolist(), rest.tolist(), strict=True))
     return out
 
 
@@ -169,34 +250,15 @@ def solve(histogram: dict[int, int], size: int = SIZE, rounds: int = ROUNDS) ->
         out.append((Counter({size: 1}), left.pop(size)))
     if not left:
         return out
-    need = np.zeros(size)
-    for k, n in left.items():
-        need[k - 1] = n
-    # Fractional cover by multiplicative weights: the price of a piece falls with the share of its length that is covered
-    cover = np.zeros(size)
-    found: dict[tuple, float] = {}
-    demand = need > 0
-    for _ in range(rounds):
-        share = np.where(demand, cover / np.where(demand, need, 1), 0)
-        price = np.where(demand, np.exp(-(share - share[demand].min()) / EPSILON) / np.where(demand, need, 1), 0)
-        # lengths that are needed as much are worth their room: prices are per token at first
-        price *= np.arange(1, size + 1) if not found else 1
-        config = _knapsack(price, size)
-        key = tuple(sorted(config.items()))
-        step = EPSILON * min(need[k - 1] / n for k, n in config.items())
-        for k, n in config.items():
-            cover[k - 1] += step * n
-        found[key] = found.get(key, 0.0) + step
-    scale = 1 / max(1e-12, float((cover[demand] / need[demand]).max()))
-    # rounding: fullest configurations first, as often as the program says and the pieces allow
-    for key, times in sorted(found.items(), key=lambda x: (-sum(k * n for k, n in x[0]), -x[1], x[0])):
-        room = min(left.get(k, 0) // n for k, n in key)
-        times = min(room, int(times * scale) + 1)
-        if times > 0:
-            out.append((Counter(dict(key)), times))
-            for k, n in key:
-                left[k] -= n * times
-    return out + _best_fit({k: n for k, n in left.items() if n}, size)
+    placed = rounded(left, size, rounds)
+    plans = []
+    for kept in KEPT:  # few pieces leave rounding little choice: the last configurations may strand pieces that best fit places
+        n = round(len(placed) * kept)
+        rest = Counter(left)
+        for config, times in placed[n:]:
+            rest.update({k: c * times for k, c in config.items()})
+        plans.append(placed[:n] + _best_fit({k: n for k, n in rest.items() if n}, size))
+    return out + min(plans, key=lambda plan: sum(times for _, times in plan))
 
 
 def runs(plan: list[tuple[Counter, int]]) -> np.ndarray:
