@@ -1,4 +1,4 @@
-"""What several operators share: the shared folder, and splits by id."""
+"""What several operators share: tables in the shared folder, unused column names, and splits by id."""
 
 from __future__ import annotations
 
@@ -10,41 +10,77 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_own: list[tuple[SparkSession, str]] = []
+#: The tables of this driver: by the identity of a DataFrame, its session, path and name in the catalog.
+_own: dict[str, tuple[SparkSession, str | None]] = {}
+_PATH = "quire_path"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, from spark.checkpoint.dir; a local one of our own where that is unset."""
+    """The folder that driver and executors share, from spark.checkpoint.dir. Only a local session gets one of its own where that is unset."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         path = "file://" + tempfile.mkdtemp(prefix="quire-")
         atexit.register(shutil.rmtree, path[7:], True)
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
 
 
+def _note(df: DataFrame, path: str, table: str | None) -> DataFrame:
+    if not _own:
+        atexit.register(_forget)
+    _own[path] = (df.sparkSession, table)
+    setattr(df, _PATH, path)
+    return df
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """df, written once as a table in the shared folder and read back: later uses and lost executors don't compute it again."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    if not _own:
-        atexit.register(_forget)
-    _own.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+    return _note(spark.read.schema(df.schema).parquet(path), path, None)
+
+
+def bucketed(df: DataFrame, name: str, key: str, buckets: int) -> DataFrame:
+    """written(), but dealt into buckets by key, so that grouping by key doesn't move the rows again."""
+    spark = df.sparkSession
+    number = uuid.uuid4().hex
+    path, table = f"{shared_dir(spark)}/{name}-{number}", f"quire_{name}_{number}"
+    df.write.format("parquet").option("compression", "zstd").option("path", path).bucketBy(buckets, key).saveAsTable(table)
+    return _note(spark.table(table), path, table)
+
+
+def release(df: DataFrame) -> None:
+    """Remove the table behind a result of written() or bucketed(), which nothing reads any more."""
+    path = getattr(df, _PATH)
+    spark, table = _own.pop(path)
+    if table:
+        spark.sql(f"DROP TABLE IF EXISTS {table}")
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def _forget() -> None:
     """Remove this session's tables as the driver ends."""
-    for spark, path in _own:
+    for path in list(_own):
+        spark, _ = _own.pop(path)
         try:
-            jvm = spark.sparkContext._jvm
-            at = jvm.org.apache.hadoop.fs.Path(path)
+            at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
             at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
         except Exception:  # the session is gone; the folder's owner clears it
             return
 
 
+def unused(wanted: str, taken: list[str]) -> str:
+    """wanted, or it with underscores until no column has that name; Spark compares names without case."""
+    names = {c.lower() for c in taken}
+    while wanted.lower() in names:
+        wanted += "_"
+    return wanted
+
+
 def id_fold(column: str, of: int) -> Column:
     """crc32 of an id's text modulo of; a null id counts as the empty text."""
     return F.pmod(F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")), F.lit(of))

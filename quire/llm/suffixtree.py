@@ -1,63 +1,101 @@
 """Language-model scores from a probabilistic suffix tree over words.
 
-Symbols. A word whose share of the training tokens is at least SHARE is its own class; other
-words share a class with those of the same last two letters if that class has such a share, and
-one rest class otherwise. The tree predicts the next class from the classes before it; a
-word's share of its class does the rest. Words never seen in training are one more word of their
-class, with the weight of the words seen once.
-
-Tree. A context is kept if its share of the training tokens is at least the bound of its depth, and if
-its next-class distribution diverges from that of its longest proper suffix by more than
-chance: the log-likelihood ratio must pass its expectation by DEVIATIONS standard deviations. A kept
-context's distribution is smoothed with its suffix's by the number of its distinct successors
-(Witten and Bell); successors too rare to be stored leave their weight to the suffix. A word is scored
-in the state of the longest kept suffix of what precedes it.
-
-Sizes. Shares bound everything that is sent to tasks: at most 2 / SHARE classes, 1 / PAIR_SHARE stored
-pairs and triples, and 1 / CONTEXT_SHARE deeper contexts, whatever the corpus' size. What does grow with it, the
-words and their counts, stays in tables: documents are coded in chunks with a vocabulary each, chunk
-vocabularies are joined with the counts, and each chunk's counts return to it.
-
-Cases: null and empty texts are the end symbol alone; with no training rows all classes are even;
-null ids count as the empty text for the fold; repeated rows count and come back as often.
+Tree. Contexts are runs of words before a symbol, of any length up to DEEPEST. A context is looked at if it occurs LEAST times or
+more in training rows, its longest proper suffix is kept and its longest proper prefix was looked at; it is kept if its next-word distribution
+diverges from that suffix's by more than chance: twice the log-likelihood ratio must pass its expectation by DEVIATIONS
+standard deviations. Both bounds are absolute, so a larger corpus keeps more and longer contexts; the
+depth grows until no context is left to look at. A kept context's distribution is smoothed
+with its suffix's by the number of its distinct successors (Witten and Bell), and the empty
+context gives known words their share and one unknown word the share of the words seen once. So the distribution
+after any context sums to one over the training words and the unknown one. A token is scored in the state of its longest kept context.
+
+Distribution. Nothing of the corpus is sent to all tasks but what is said below. Documents become chunks of at most CHUNK word numbers, bucketed
+by chunk. For each depth a chunk asks once for each distinct (context, word) that it holds, with its
+training count. Questions are dealt by the hash of the context, those of a context with HOT
+occurrences or more by the word's as well; a shard adds up, tests and answers, and the answers, which are counts in the
+order of the questions, go back to the chunk. Numbers travel as compressed arrays. Chunks stay where they are; tokens whose
+context can't grow leave the state with their probability. The sums of the hot contexts are all that is broadcast: as contexts of one
+depth share the training tokens and HOT is a 2**20th of these at least, there are 2**20 at most.
+
+Words are told apart by 64 bits of a hash, contexts too, successors of a context by 40.
+
+Cases: null and empty texts are the end symbol alone; with no training rows all is unknown with probability one half;
+null ids count as the empty text for the fold; repeated rows count and come back as often; a text
+beyond a chunk is cut into parts that begin with DEEPEST words of the part before, which only serve as context; an
+empty table gives no rows; extra columns are left out.
 """
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
-from dataclasses import dataclass
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import written
+from quire.llm.common import bucketed, release, written
 
-SHARE = 2e-4  # of a class
-CONTEXT_SHARE = 5e-5  # of a context of two classes
-PAIR_SHARE = 2e-6  # of a stored context with its successor
+LEAST = 8  # occurrences of a context
 DEVIATIONS = 4.0
-CHUNK = 2_000_000  # tokens
+DEEPEST = 16  # words of a context
+CHUNK = 1 << 20  # tokens
+PER_SHARD = 2 << 20  # questions that a shard answers on average
+HOT = 1 << 20
 END = b" "  # the end symbol, which is no word
+SEED = 42
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
+_START = np.uint64(0x9E3779B97F4A7C15)  # the key of the context before a text
+_ODD = np.uint64(0xD6E8FEB86659FD93)
+_PIECE = 4 << 20  # bytes of a text that are split at a time
 
 
-def words(text: str | None) -> list[bytes]:
-    """A-Z lower-cased words between ASCII white space, then the end symbol."""
-    out = (text or "").encode("utf-8", "replace").translate(_LOWER).split()
-    out.append(END)
-    return out
+def words(text: str | None) -> Iterator[list[bytes]]:
+    """A-Z lower-cased words between ASCII white space, piece by piece, then the end symbol."""
+    data = (text or "").encode("utf-8", "replace").translate(_LOWER)
+    at = 0
+    while len(data) - at > _PIECE:
+        end = at + _PIECE
+        while end < len(data) and data[end] not in b" \t\n\v\f\r":
+            end += 1
+        yield data[at:end].split()
+        at = end
+    yield [*data[at:].split(), END]
 
 
 def _packed(a: np.ndarray) -> bytes:
-    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(a, np.int32).tobytes())
+    """An array as compressed planes of bytes."""
+    a = np.ascontiguousarray(a)
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(a.view(np.uint8).reshape(len(a), a.itemsize).T).tobytes())
+
+
+def _unpacked(data: bytes, kind: type) -> np.ndarray:
+    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8)
+    size = np.dtype(kind).itemsize
+    return np.ascontiguousarray(raw.reshape(size, -1).T).view(kind).reshape(-1)
+
+
+def _steps(keys: np.ndarray) -> bytes:
+    """Sorted keys by their differences."""
+    return _packed(np.diff(keys, prepend=np.uint64(0)))
+
+
+def _summed(data: bytes) -> np.ndarray:
+    return np.cumsum(_unpacked(data, np.uint64), dtype=np.uint64)
+
 
+def _mixed(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+    return h ^ (h >> np.uint64(29))
 
-def _unpacked(data: bytes) -> np.ndarray:
-    return np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.int32)
+
+def _shard(keys: np.ndarray, shards: int) -> np.ndarray:
+    """Shards are ranges of keys."""
+    return ((keys >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32)).astype(np.int64)
 
 
 class _Vocabulary(dict):
@@ -66,260 +104,399 @@ class _Vocabulary(dict):
         return n
 
 
-_CHUNK = "chunk bigint, ids array<{id}>, train array<boolean>, sizes array<int>, tokens binary, word binary, place int, count bigint"
+_CHUNK = "chunk bigint, ids array<{id}>, rows array<bigint>, train array<boolean>, parts array<boolean>, sizes binary, lead binary, tokens binary, keys binary, words bigint, size bigint"
+
 
+def _chunked(docs: DataFrame, train: Column, chunk: int) -> DataFrame:
+    """Documents as chunks of word numbers; keys: the sorted hashes of a chunk's words, which tokens number.
 
-def _chunked(docs: DataFrame, train: Column) -> DataFrame:
-    """Documents as chunks of word numbers (rows with tokens), and each chunk's vocabulary with its training counts (rows with word)."""
+    lead: how many of a part's first tokens belong to the part before; parts: whether a row is one of several of its text.
+    """
     id_type = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = None
-        vocabulary, ids, trains, parts = _Vocabulary(), [], [], []
-        total = 0
-
-        def close() -> Iterator[pa.RecordBatch]:
-            name = uuid.uuid4().int >> 65  # 63 random bits
-            tokens = np.concatenate(parts)
-            sizes = np.array([len(p) for p in parts])
-            counts = np.bincount(tokens[np.repeat(np.array(trains, bool), sizes)], minlength=len(vocabulary))
-            one = [pa.array([name], pa.int64()), pa.array([ids], schema[1]), pa.array([trains], pa.list_(pa.bool_())), pa.array([sizes.tolist()], pa.list_(pa.int32())), pa.array([_packed(tokens)], pa.binary())]
-            yield pa.RecordBatch.from_arrays([*one, pa.nulls(1, pa.binary()), pa.nulls(1, pa.int32()), pa.nulls(1, pa.int64())], names)
-            known = list(vocabulary)
-            for a in range(0, len(known), 100_000):
-                part = known[a : a + 100_000]
-                n = len(part)
-                none = [pa.nulls(n, t) for t in (schema[1], pa.list_(pa.bool_()), pa.list_(pa.int32()), pa.binary())]
-                own = [pa.array(part, pa.binary()), pa.array(np.arange(a, a + n, dtype=np.int32)), pa.array(counts[a : a + n].astype(np.int64))]
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, name)), *none, *own], names)
-
-        names = ["chunk", "ids", "train", "sizes", "tokens", "word", "place", "count"]
-        for batch in batches:
-            schema = schema or (None, pa.list_(batch.schema.field(0).type))
-            for doc_id, text, is_train in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                own = words(text)
-                parts.append(np.fromiter(map(vocabulary.__getitem__, own), np.int32, len(own)))
-                ids.append(doc_id)
-                trains.append(bool(is_train))
-                total += len(own)
-                if total >= CHUNK:
-                    yield from close()
-                    vocabulary, ids, trains, parts, total = _Vocabulary(), [], [], [], 0
-        if parts:
-            yield from close()
-
-    return docs.select("doc_id", F.col("text").cast("string").alias("text"), train.alias("train")).mapInArrow(run, _CHUNK.format(id=id_type))
+        task = TaskContext.get().partitionId()
+        vocabulary, meta, tokens = _Vocabulary(), [], []
+        count = row = total = 0
+        id_arrow = None
 
-
-def _sorted_counts(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    codes = np.sort(codes)
-    begin = np.flatnonzero(np.append(True, codes[1:] != codes[:-1])) if len(codes) else np.zeros(0, np.int64)
-    return codes[begin], np.diff(np.append(begin, len(codes)))
-
-
-def _at(values: np.ndarray, table: np.ndarray) -> np.ndarray:
-    """The place of each value in a sorted table, -1 where it isn't in."""
-    if not len(table):
-        return np.full(len(values), -1)
-    at = np.minimum(np.searchsorted(table, values), len(table) - 1)
-    return np.where(table[at] == values, at, -1)
-
-
-@dataclass
-class Tree:
-    """The kept contexts: shares of classes, then by depth the sorted contexts, their sums, and their stored successors."""
-
-    classes: int
-    root: np.ndarray
-    contexts: list[np.ndarray]
-    total: list[np.ndarray]  # occurrences and distinct successors together
-    rest: list[np.ndarray]  # the weight that goes to the suffix
-    successors: list[np.ndarray]  # sorted context * classes + class
-    counts: list[np.ndarray]
-
-    def log10(self, before: list[np.ndarray], symbol: np.ndarray) -> np.ndarray:
-        """log10 of each symbol's probability; before[d]: the code of the d + 1 classes before it."""
-        p = self.root[symbol]
-        for depth, code in enumerate(before[: len(self.contexts)]):
-            at = _at(code, self.contexts[depth])
-            here = np.flatnonzero(at >= 0)
-            if not len(here):
-                continue
-            own, k = code[here] * self.classes + symbol[here], at[here]
-            found = _at(own, self.successors[depth])
-            n = np.where(found >= 0, self.counts[depth][found], 0) if len(self.counts[depth]) else 0
-            p = p.copy()
-            p[here] = (n + self.rest[depth][k] * p[here]) / self.total[depth][k]
-        return np.log10(p)
-
-
-def _contexts(sequences: list[np.ndarray], classes: int) -> tuple[list[np.ndarray], np.ndarray]:
-    """The codes of the one and two classes before each symbol of all sequences (class `classes - 1` stands before the first), and the symbols."""
-    start = classes - 1
-    if not sequences:
-        return [np.zeros(0, np.int64)] * 2, np.zeros(0, np.int64)
-    symbol = np.concatenate(sequences).astype(np.int64)
-    first = np.cumsum([0] + [len(s) for s in sequences[:-1]])
-    one = np.append(start, symbol[:-1])
-    one[first] = start
-    two = np.append(start, one[:-1])
-    two[first] = start
-    return [one, two * classes + one], symbol
-
-
-def _counted(coded: DataFrame, depth: int, classes: int, allowed=None) -> DataFrame:
-    """(code, n): how often a class follows a context of that depth in training rows; code: context * classes + class."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keep = allowed.value if allowed is not None else None
-        waiting, size = [], 0
+        def add(own: list[bytes]) -> None:
+            nonlocal total
+            tokens.append(np.fromiter(map(vocabulary.__getitem__, own), np.int32, len(own)))
+            total += len(own)
 
         def close() -> pa.RecordBatch:
-            before, symbol = _contexts(waiting, classes)
-            code = before[depth - 1]
-            if keep is not None:
-                here = _at(code, keep) >= 0
-                code, symbol = code[here], symbol[here]
-            codes, n = _sorted_counts(code * classes + symbol)
-            return pa.RecordBatch.from_arrays([pa.array(codes), pa.array(n)], ["code", "n"])
+            nonlocal vocabulary, meta, tokens, count, total
+            keys = np.fromiter((xxhash.xxh64_intdigest(w, SEED) for w in vocabulary), np.uint64, len(vocabulary))
+            order = np.argsort(keys)
+            rank = np.empty(len(order), np.int32)
+            rank[order] = np.arange(len(order), dtype=np.int32)
+            ids, rows, trains, parts, sizes, lead = zip(*meta, strict=True)
+            out = [
+                pa.array([task << 32 | count], pa.int64()),
+                pa.array([list(ids)], pa.list_(id_arrow)),
+                pa.array([list(rows)], pa.list_(pa.int64())),
+                pa.array([list(trains)], pa.list_(pa.bool_())),
+                pa.array([list(parts)], pa.list_(pa.bool_())),
+                pa.array([_packed(np.array(sizes, np.int32))], pa.binary()),
+                pa.array([_packed(np.array(lead, np.int32))], pa.binary()),
+                pa.array([_packed(rank[np.concatenate(tokens)])], pa.binary()),
+                pa.array([_steps(keys[order])], pa.binary()),
+                pa.array([len(keys)], pa.int64()),
+                pa.array([total], pa.int64()),
+            ]
+            vocabulary, meta, tokens, total = _Vocabulary(), [], [], 0
+            count += 1
+            return pa.RecordBatch.from_arrays(out, [f.split(" ")[0] for f in _CHUNK.split(", ")])
 
         for batch in batches:
-            for data in batch.column(0):
-                waiting.append(_unpacked(data.as_py()))
-                size += len(waiting[-1])
-                if size >= 2 * CHUNK:
+            id_arrow = batch.schema.field(0).type
+            for doc_id, text, is_train in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                row += 1
+                n = lead = 0  # of this text, in the chunk at hand
+                tail: list[bytes] = []
+                several = False
+                for piece in words(text):
+                    for at in range(0, len(piece), max(1, chunk - DEEPEST)):
+                        own = piece[at : at + max(1, chunk - DEEPEST)]
+                        if n + len(own) > chunk and n > lead:  # the text goes on in a part of its own
+                            several = True
+                            meta.append((doc_id, task << 32 | row, bool(is_train), True, n, lead))
+                            yield close()
+                            add(tail)
+                            n = lead = len(tail)
+                        add(own)
+                        n += len(own)
+                        tail = [*tail, *own][-DEEPEST:]
+                meta.append((doc_id, task << 32 | row, bool(is_train), several, n, lead))
+                if total >= chunk:
                     yield close()
-                    waiting, size = [], 0
-        if waiting:
+        if meta:
             yield close()
 
-    return coded.where("train").select("classes").mapInArrow(run, "code bigint, n bigint").groupBy("code").agg(F.sum("n").alias("n"))
+    return docs.select("doc_id", F.col("text").cast("string").alias("text"), train.alias("train")).mapInArrow(run, _CHUNK.format(id=id_type))
+
 
+_QUESTION = "shard int, chunk bigint, contexts binary, kinds binary, theirs binary, words binary, counts binary"
+_ANSWER = "chunk bigint, depth int, shard int, kinds binary, counts binary, key bigint, n bigint, sorts bigint, own double, theirs double"
+
+
+def _batch(rows: list[tuple], schema: str) -> pa.RecordBatch:
+    kinds = {"bigint": pa.int64(), "int": pa.int32(), "binary": pa.binary(), "double": pa.float64()}
+    fields = [f.split(" ") for f in schema.split(", ")]
+    columns = zip(*rows, strict=True) if rows else [[] for _ in fields]
+    return pa.RecordBatch.from_arrays([pa.array(list(c), kinds[k]) for c, (_, k) in zip(columns, fields, strict=True)], [n for n, _ in fields])
+
+
+class _Texts:
+    """What a chunk's row says of its texts; `own`: tokens that count, not those that a part repeats; `learnt`: those of training rows."""
+
+    def __init__(self, row: dict):
+        self.sizes, self.lead = _unpacked(row["sizes"], np.int32).astype(np.int64), _unpacked(row["lead"], np.int32).astype(np.int64)
+        self.ends = np.cumsum(self.sizes)
+        self.begins = self.ends - self.sizes
+        self.train = np.array(row["train"], bool)
+
+    def own(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        text = np.searchsorted(self.ends, at, "right")
+        return text, at - self.begins[text] >= self.lead[text]
+
+
+def _ask_words(batches: Iterator[pa.RecordBatch], shards: int) -> Iterator[pa.RecordBatch]:
+    """Each chunk's words with their training counts."""
+    for batch in batches:
+        for row in batch.to_pylist():
+            texts, keys, tokens = _Texts(row), _summed(row["keys"]), _unpacked(row["tokens"], np.int32)
+            text, own = texts.own(np.arange(len(tokens)))
+            n = np.bincount(tokens[own & texts.train[text]], minlength=len(keys))
+            cut = np.searchsorted(_shard(keys, shards), np.arange(shards + 1))
+            yield _batch([(s, row["chunk"], _steps(keys[a:b]), b"", b"", b"", _packed(n[a:b])) for s, (a, b) in enumerate(zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)) if b > a], _QUESTION)
+
+
+def _by_shard(batches: Iterator[pa.RecordBatch], answer) -> Iterator[pa.RecordBatch]:
+    """Rows come sorted by shard; answer gets those of one."""
+    at, waiting = None, []
+    for batch in batches:
+        for row in batch.to_pylist():
+            if row["shard"] != at and waiting:
+                yield _batch(answer(waiting), _ANSWER)
+                waiting = []
+            at = row["shard"]
+            waiting.append(row)
+    if waiting:
+        yield _batch(answer(waiting), _ANSWER)
+
+
+def _count_words(rows: list[dict]) -> list[tuple]:
+    """How often a shard's words occur; and, for all of them, tokens, words, words seen once and end symbols."""
+    keys, n = [_summed(r["contexts"]) for r in rows], [_unpacked(r["counts"], np.int64) for r in rows]
+    distinct, inverse = np.unique(np.concatenate(keys), return_inverse=True)
+    total = np.bincount(inverse, np.concatenate(n)).astype(np.int64)
+    cut = np.cumsum([0] + [len(k) for k in keys])
+    out = [(r["chunk"], 0, r["shard"], b"", _packed(total[inverse[a:b]]), None, None, None, None, None) for r, a, b in zip(rows, cut[:-1].tolist(), cut[1:].tolist(), strict=True)]
+    ends = total[distinct == np.uint64(xxhash.xxh64_intdigest(END, SEED))].sum()
+    return [*out, (None, 0, rows[0]["shard"], None, None, None, int(total.sum()), int((total > 0).sum()), float((total == 1).sum()), float(ends))]
+
+
+class _Pairs:
+    """The distinct (context, word) of a chunk's open tokens, in the order in which they are asked."""
+
+    def __init__(self, context: np.ndarray, word: np.ndarray, chance: np.ndarray, learnt: np.ndarray, context_keys: np.ndarray, context_n: np.ndarray, word_keys: np.ndarray, shards: int, hot: int):
+        code, self.of = np.unique(context * len(word_keys) + word, return_inverse=True)
+        c, w = code // max(1, len(word_keys)), code % max(1, len(word_keys))
+        n = np.bincount(self.of[learnt], minlength=len(code))
+        parent = np.zeros(len(code))
+        parent[self.of] = chance
+        short = word_keys[w] >> np.uint64(24)
+        splits = np.maximum(1, context_n[c] // hot)
+        place = np.where(splits > 1, _mixed(context_keys[c] + (short % splits.astype(np.uint64)) * _ODD), context_keys[c])
+        shard = _shard(place, shards)
+        # contexts by the rank of their keys: one number orders pairs within a shard
+        order = np.argsort(context_keys, kind="stable")
+        rank = np.empty(len(order), np.uint64)
+        rank[order] = np.arange(len(order), dtype=np.uint64)
+        order = np.argsort(rank[c] << np.uint64(40) | short, kind="stable")
+        order = order[np.argsort(shard[order], kind="stable")]
+        back = np.empty(len(order), np.int64)
+        back[order] = np.arange(len(order))
+        self.of = back[self.of]
+        self.shard, self.context, self.word, self.short, self.n, self.parent = shard[order], c[order], w[order], short[order], n[order], parent[order]
+        new = np.append(True, (self.context[1:] != self.context[:-1]) | (self.shard[1:] != self.shard[:-1])) if len(order) else np.zeros(0, bool)
+        self.first = np.flatnonzero(new)  # of each run of one context
+        self.run = np.cumsum(new) - 1
+        self.context_keys, self.context_n, self.word_keys, self.hot = context_keys, context_n, word_keys, hot
+
+    def questions(self, chunk: int) -> list[tuple]:
+        sizes = np.diff(np.append(self.first, len(self.n)))
+        theirs = np.bincount(self.run, self.n * np.log(np.maximum(self.parent, 1e-300)), minlength=len(self.first))
+        keys = self.context_keys[self.context[self.first]]
+        split = self.context_n[self.context[self.first]] >= 2 * self.hot
+        step = np.diff(self.short, prepend=np.uint64(0))
+        step[self.first] = self.short[self.first]
+        out = []
+        starts = np.append(np.flatnonzero(np.diff(self.shard[self.first], prepend=-1)), len(self.first))
+        ends = np.append(self.first, len(self.n))
+        for i, j in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True):
+            a, b = int(ends[i]), int(ends[j])
+            # a run's size, and whether its context is split over shards
+            kinds = sizes[i:j] * 2 + split[i:j]
+            out.append((int(self.shard[a]), chunk, _steps(keys[i:j]), _packed(kinds), _packed(theirs[i:j]), _packed(step[a:b]), _packed(self.n[a:b])))
+        return out
+
+
+def _kept(n: np.ndarray, kinds: np.ndarray, own: np.ndarray, theirs: np.ndarray) -> np.ndarray:
+    """The divergence test; own: the sum of n ln n over a context's successors, theirs: that of n ln(the suffix's probability)."""
+    ratio = 2 * (own - n * np.log(np.maximum(n, 1)) - theirs)
+    free = np.maximum(kinds - 1, 1.0)  # the ratio is about chi-squared with a degree of freedom for each further successor
+    return ratio > free + DEVIATIONS * np.sqrt(2 * free)
+
+
+def _count_pairs(rows: list[dict], depth: int) -> list[tuple]:
+    """How often each word follows its context, and each context's number of successors, 0 where it isn't kept."""
+    keys, kinds, theirs = [_summed(r["contexts"]) for r in rows], [_unpacked(r["kinds"], np.int64) for r in rows], [_unpacked(r["theirs"], np.float64) for r in rows]
+    context_cut = np.cumsum([0] + [len(k) for k in keys])
+    kinds = np.concatenate(kinds)
+    sizes, split = kinds >> 1, (kinds & 1).astype(bool)
+    step, n = (np.concatenate([_unpacked(r[c], t) for r in rows]) for c, t in (("words", np.uint64), ("counts", np.int64)))
+    first = np.cumsum(sizes) - sizes
+    total = np.cumsum(step, dtype=np.uint64)
+    short = total - np.repeat(total[first] - step[first], sizes)
+    contexts, inverse = np.unique(np.concatenate(keys), return_inverse=True)
+    of = np.repeat(inverse, sizes)
+    codes, pair = np.unique(of.astype(np.uint64) << np.uint64(40) | short, return_inverse=True)
+    of = (codes >> np.uint64(40)).astype(np.int64)
+    n = np.bincount(pair, n)
+    sums = lambda x: np.bincount(of, x, minlength=len(contexts))
+    all_n, sorts, own = sums(n), sums(n > 0), sums(n * np.log(np.maximum(n, 1)))
+    their = np.bincount(inverse, np.concatenate(theirs), minlength=len(contexts))
+    parted = np.zeros(len(contexts), bool)
+    parted[inverse] = split
+    answer = np.where(_kept(all_n, sorts, own, their) | parted, sorts, 0).astype(np.int64)
+    pair_cut = np.cumsum([0, *sizes])[context_cut]
+    out = [
+        (r["chunk"], depth, r["shard"], _packed(answer[inverse[a:b]]), _packed(n[pair[c:d]].astype(np.int64)), None, None, None, None, None)
+        for r, a, b, c, d in zip(rows, context_cut[:-1].tolist(), context_cut[1:].tolist(), pair_cut[:-1].tolist(), pair_cut[1:].tolist(), strict=True)
+    ]
+    for i in np.flatnonzero(parted).tolist():
+        out.append((None, depth, None, None, None, int(contexts[i].view(np.int64)), int(all_n[i]), int(sorts[i]), float(own[i]), float(their[i])))
+    return out
 
-def _kept(counts: DataFrame, parent: Column, classes: int, total: int, least: float) -> tuple[np.ndarray, ...]:
-    """Contexts that pass the bound and the divergence test, with sums, and their stored successors.
 
-    counts: context, symbol, n and the columns of parent, the suffix's probability of the symbol. Few rows reach the driver: at most
-    1 / least contexts and 1 / PAIR_SHARE successors.
-    """
-    n = F.col("n").cast("double")
-    each = counts.groupBy("context").agg(
-        F.sum("n").alias("sum"),
-        F.count("*").alias("kinds"),
-        F.sum(F.when(F.col("n") >= PAIR_SHARE * total, F.col("n")).otherwise(0)).alias("stored"),
-        F.sum(n * F.ln(n)).alias("own"),
-        F.sum(n * F.ln(parent)).alias("theirs"),
-    )
-    # twice the log-likelihood ratio is about chi-squared with a degree of freedom for each further successor
-    ratio = 2 * (F.col("own") - F.col("sum") * F.ln(F.col("sum").cast("double")) - F.col("theirs"))
-    free = F.greatest(F.col("kinds") - 1, F.lit(1)).cast("double")
-    kept = each.where((F.col("sum") >= least * total) & (ratio > free + DEVIATIONS * F.sqrt(2 * free))).select("context", "sum", "kinds", "stored")
-    kept = written(kept, "contexts")
-    rows = kept.toArrow().sort_by("context")
-    contexts = rows["context"].to_numpy()
-    sums, kinds, stored = (rows[c].to_numpy().astype(float) for c in ("sum", "kinds", "stored"))
-    pairs = counts.where(F.col("n") >= PAIR_SHARE * total).join(kept.select("context"), "context", "left_semi")
-    some = pairs.select((F.col("context") * classes + F.col("symbol")).alias("code"), "n").toArrow().sort_by("code")
-    return contexts, sums + kinds, sums - stored + kinds, some["code"].to_numpy(), some["n"].to_numpy().astype(float)
-
-
-def score(docs: DataFrame, train: Column) -> DataFrame:
+_STATE = "chunk bigint, ids array<{id}>, rows array<bigint>, train array<boolean>, parts array<boolean>, sizes binary, lead binary, tokens binary, known binary, base binary, done binary, at binary, contexts binary, words binary, chance binary, context_keys binary, context_n binary, word_keys binary, open bigint"
+_OPEN = {"at": np.int32, "contexts": np.int32, "words": np.int32, "chance": np.float64, "context_keys": np.uint64, "context_n": np.int64, "word_keys": np.uint64}
+
+
+class _State:
+    """A chunk's open tokens: where they are, their context and word by number, and their probability after the suffixes so far."""
+
+    def __init__(self, texts: _Texts, chunk: int, **open_: np.ndarray):
+        self.texts, self.chunk = texts, chunk
+        self.at, self.contexts, self.words, self.chance, self.context_keys, self.context_n, self.word_keys = (open_[k] for k in _OPEN)
+        self.text, self.own = texts.own(self.at)
+
+    def pairs(self, shards: int, hot: int) -> _Pairs:
+        learnt = self.own & self.texts.train[self.text]
+        return _Pairs(self.contexts, self.words, self.chance, learnt, self.context_keys, self.context_n, self.word_keys, shards, hot)
+
+    def less(self, stay: np.ndarray) -> tuple[_State, np.ndarray]:
+        """The tokens that stay, and for each text the sum of log10 of the other tokens' probabilities."""
+        out = self.own & ~stay
+        done = np.bincount(self.text[out], np.log10(np.maximum(self.chance[out], 1e-300)), minlength=len(self.texts.sizes))
+        contexts, c = np.unique(self.contexts[stay], return_inverse=True)
+        words_, w = np.unique(self.words[stay], return_inverse=True)
+        kept = _State(
+            self.texts, self.chunk, at=self.at[stay], contexts=c, words=w, chance=self.chance[stay],
+            context_keys=self.context_keys[contexts], context_n=self.context_n[contexts], word_keys=self.word_keys[words_],
+        )
+        return kept, done
+
+    def longer(self, answers: list[dict], shards: int, hot: int, sums: tuple[np.ndarray, np.ndarray]) -> tuple[_State, np.ndarray]:
+        """The state one word deeper, by the answers to pairs().questions(); and less()'s sums."""
+        if not len(self.at):
+            return self.less(np.zeros(0, bool))
+        p = self.pairs(shards, hot)
+        answers = sorted(answers, key=lambda r: r["shard"])
+        kinds, n = (np.concatenate([_unpacked(r[c], np.int64) for r in answers]) for c in ("kinds", "counts"))
+        split = np.flatnonzero(p.context_n[p.context[p.first]] >= 2 * hot)
+        kinds[split] = sums[1][np.searchsorted(sums[0], p.context_keys[p.context[p.first[split]]])]
+        k = kinds[p.run]
+        chance = np.where(k > 0, (n + k * p.parent) / np.maximum(p.context_n[p.context] + k, 1), p.parent)
+        before = np.searchsorted(self.at, self.at - 1)
+        there = (self.at[before] == self.at - 1) & (self.at != self.texts.begins[self.text])
+        stay = there & (k[p.of] > 0) & (n[p.of[before]] >= LEAST)
+        keys = _mixed(p.context_keys[p.context] * _ODD + p.word_keys[p.word])
+        return _State(self.texts, self.chunk, at=self.at, contexts=p.of[before], words=self.words, chance=chance[p.of], context_keys=keys, context_n=n, word_keys=self.word_keys).less(stay)
+
+
+def _read(row: dict) -> _State:
+    return _State(_Texts(row), row["chunk"], **{k: _unpacked(row[k], t) for k, t in _OPEN.items()})
+
+
+def _opened(row: dict, answers: list[dict], total: int, once: float, begins: int) -> tuple[_State, np.ndarray, np.ndarray, np.ndarray]:
+    """The state after the empty context; and for each text its known tokens, the sum of log10(c + 1), and less()'s sums."""
+    texts, keys, tokens = _Texts(row), _summed(row["keys"]), _unpacked(row["tokens"], np.int32).astype(np.int64)
+    answers = sorted(answers, key=lambda r: r["shard"])
+    c = np.concatenate([_unpacked(r["counts"], np.int64) for r in answers])
+    text, own = texts.own(np.arange(len(tokens)))
+    sums = lambda per: np.bincount(text[own], per[tokens[own]], minlength=len(texts.sizes))
+    unseen = (once + 0.5) / (total + 1)
+    chance = np.where(c > 0, (1 - unseen) * c / max(1, total), unseen)
+    contexts = np.append(len(keys), tokens[:-1])
+    contexts[texts.begins] = len(keys)
+    every = _State(
+        texts, row["chunk"], at=np.arange(len(tokens)), contexts=contexts, words=tokens, chance=chance[tokens],
+        context_keys=np.append(keys, _START), context_n=np.append(c, begins), word_keys=keys,
+    )
+    state, done = every.less(every.context_n[contexts] >= LEAST)
+    return state, sums(c > 0), sums(np.log10(c + 1.0)), done
+
+
+def _row(state: _State, left: pa.Table, known: np.ndarray, base: np.ndarray, done: np.ndarray) -> pa.Table:
+    """A chunk's row of the next state."""
+    same = {c: left[c] for c in ("chunk", "ids", "rows", "train", "parts", "sizes", "lead")}
+    own = {c: _packed(np.asarray(x, np.float64)) for c, x in (("known", known), ("base", base), ("done", done))}
+    open_ = {c: _packed(np.asarray(getattr(state, c), t)) for c, t in _OPEN.items()}
+    columns = {**same, "tokens": [None], **own, **open_}
+    columns = {c: pa.array([x], pa.binary()) if isinstance(x, bytes) else pa.array(x, pa.binary()) if isinstance(x, list) else x for c, x in columns.items()}
+    return pa.table({**columns, "open": pa.array([len(state.at)], pa.int64())})
+
+
+def _answered(questions: DataFrame, shards: int, answer) -> DataFrame:
+    dealt = questions.repartition(shards, "shard").sortWithinPartitions("shard")
+    return written(dealt.mapInArrow(partial(_by_shard, answer=answer), _ANSWER), "answers")
+
+
+def _hot_sums(answers: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted keys of the split contexts (at most 2**20) and their numbers of successors, 0 where they aren't kept."""
+    rows = answers.where(F.col("key").isNotNull()).groupBy("key").agg(F.sum("n").alias("n"), F.sum("sorts").alias("sorts"), F.sum("own").alias("own"), F.sum("theirs").alias("theirs")).toArrow()
+    keys, n, sorts, own, theirs = (rows[c].to_numpy() for c in ("key", "n", "sorts", "own", "theirs"))
+    keys = np.ascontiguousarray(keys, np.int64).view(np.uint64)
+    order = np.argsort(keys)
+    return keys[order], np.where(_kept(n, sorts, own, theirs), sorts, 0)[order].astype(np.int64)
+
+
+def score(docs: DataFrame, train: Column, chunk: int = CHUNK, per_shard: int = PER_SHARD, hot: int = HOT) -> DataFrame:
     """doc_id, train, n_tokens, n_known, train_tokens, base_score and score for docs (doc_id, text); train: the rows to learn from."""
     spark = docs.sparkSession
     id_type = docs.schema["doc_id"].dataType.simpleString()
-    chunks = written(_chunked(docs, train), "chunks")
-    vocabulary = chunks.where(F.col("word").isNotNull()).select("chunk", "place", "word", "count")
-    counted = written(vocabulary.groupBy("word").agg(F.sum("count").alias("n")), "words")
-    total, distinct = (int(x or 0) for x in counted.where("n > 0").agg(F.sum("n"), F.count("*")).first())
-    # classes: at most 1 / SHARE own ones, as many by last letters, and rest, end and start
-    least = max(1.0, SHARE * total)
-    suffix = F.right(F.col("word").cast("string"), F.lit(2))
-    common = sorted(bytes(r["word"]) for r in counted.where((F.col("n") >= least) & (F.col("word") != F.lit(END))).select("word").collect())
-    own = spark.createDataFrame([(bytearray(w), i) for i, w in enumerate(common)], "word binary, own int")
-    rare = counted.where(F.col("word") != F.lit(END)).join(F.broadcast(own), "word", "left").where(F.col("own").isNull())
-    ends = rare.groupBy(suffix.alias("suffix")).agg(F.sum("n").alias("n")).where(F.col("n") >= least).select("suffix")
-    suffixes = sorted(r["suffix"] for r in ends.collect())
-    by_end = spark.createDataFrame([(s, len(common) + i) for i, s in enumerate(suffixes)], "suffix string, shared int")
-    rest = len(common) + len(suffixes)
-    classes = rest + 3
-    named = counted.join(F.broadcast(own), "word", "left").withColumn("suffix", suffix).join(F.broadcast(by_end), "suffix", "left")
-    number = F.when(F.col("word") == F.lit(END), rest + 1).otherwise(F.coalesce("own", "shared", F.lit(rest))).cast("int")
-    named = written(named.select("word", "n", number.alias("class")), "classed-words")
-    sums = named.groupBy("class").agg(F.sum("n").alias("n"), F.sum((F.col("n") == 1).cast("bigint")).alias("once")).toArrow()
-    size, once = np.zeros(classes), np.zeros(classes)
-    size[sums["class"].to_numpy()], once[sums["class"].to_numpy()] = sums["n"].to_numpy(), sums["once"].to_numpy()
-    unseen = np.clip((once + 0.5) / (size + 1), 1e-12, 0.5)  # the weight of unseen words in their class
-    unseen[: len(common)] = unseen[rest + 1] = 0  # a class of one word
-    stats = spark.sparkContext.broadcast((size, unseen))
-    answers = vocabulary.select(F.col("chunk").alias("of"), "place", "word").join(named, "word").select("of", "place", F.col("n").alias("seen"), "class")
-
-    def code(left: pa.Table, right: pa.Table) -> pa.Table:
-        size, unseen = stats.value
-        row = left.slice(0, 1).to_pylist()[0]
-        place = right["place"].to_numpy()
-        seen, kind = np.zeros(len(place), np.int64), np.zeros(len(place), np.int32)
-        seen[place], kind[place] = right["seen"].to_numpy(), right["class"].to_numpy()
-        known = seen > 0
-        base = np.log10(seen + 1.0)
-        share = np.where(known, (1 - unseen[kind]) * seen / np.maximum(size[kind], 1), np.where(unseen[kind] > 0, unseen[kind], 1))
-        within = np.log10(share)
-        tokens = _unpacked(row["tokens"])
-        ends = np.cumsum(row["sizes"])
-        begins = ends - np.array(row["sizes"])
-        total = lambda per: np.add.reduceat(per[tokens], begins)  # noqa: E731  every document has a token
-        kinds = kind[tokens]
-        blobs = [_packed(kinds[a:b]) for a, b in zip(begins.tolist(), ends.tolist(), strict=True)]
-        columns = [left.schema.field("ids").type.value_type]
-        return pa.table(
-            {
-                "doc_id": pa.array(row["ids"], columns[0]),
-                "train": pa.array(row["train"], pa.bool_()),
-                "n_tokens": pa.array((ends - begins).astype(np.int64)),
-                "n_known": pa.array(total(known.astype(np.int64))),
-                "base": pa.array(total(base)),
-                "within": pa.array(total(within)),
-                "classes": pa.array(blobs, pa.binary()),
-            }
-        )
-
-    lists = chunks.where(F.col("tokens").isNotNull()).select("chunk", "ids", "train", "sizes", "tokens")
-    schema = f"doc_id {id_type}, train boolean, n_tokens bigint, n_known bigint, base double, within double, classes binary"
-    coded = written(lists.groupBy("chunk").cogroup(answers.groupBy("of")).applyInArrow(code, schema), "coded")
-
-    root = (size + 0.5) / (size.sum() + 0.5 * classes)
-    pairs = written(_counted(coded, 1, classes), "pairs").select(F.expr(f"code div {classes}").alias("context"), (F.col("code") % classes).alias("symbol"), "n")
-    chances = spark.createDataFrame([(i, float(p)) for i, p in enumerate(root)], "symbol bigint, chance double")
-    pairs = pairs.join(F.broadcast(chances), "symbol")
-    depth_1 = _kept(pairs, F.col("chance"), classes, max(1, total), SHARE)
-    # contexts of two classes: pairs that are common enough, the later class a kept context or not
-    deeper = pairs.where(F.col("n") >= max(1.0, CONTEXT_SHARE * total)).select((F.col("context") * classes + F.col("symbol")).alias("code"))
-    candidates = np.sort(deeper.toArrow()["code"].to_numpy())
-    triples = written(_counted(coded, 2, classes, spark.sparkContext.broadcast(candidates)), "triples")
-    triples = triples.select(F.expr(f"code div {classes}").alias("context"), (F.col("code") % classes).alias("symbol"), "n")
-    smoothed = spark.createDataFrame(
-        [(int(c), float(t), float(r)) for c, t, r in zip(*depth_1[:3], strict=True)] or [(-1, 1.0, 1.0)], "last bigint, total double, rest double"
-    )
-    shorter = pairs.select(F.col("context").alias("last"), "symbol", F.when(F.col("n") >= PAIR_SHARE * total, F.col("n")).otherwise(0).alias("shorter"), "chance")
-    triples = triples.withColumn("last", F.col("context") % classes).join(shorter, ["last", "symbol"]).join(F.broadcast(smoothed), "last", "left")
-    chance = F.when(F.col("total").isNull(), F.col("chance")).otherwise((F.col("shorter") + F.col("rest") * F.col("chance")) / F.col("total"))
-    triples = triples.select("context", "symbol", "n", chance.alias("parent"))
-    depth_2 = _kept(triples, F.col("parent"), classes, max(1, total), CONTEXT_SHARE)
-    tree = Tree(classes, root, *([a, b] for a, b in zip(depth_1, depth_2, strict=True)))
-    shared = spark.sparkContext.broadcast(tree)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tree = shared.value
+    buckets = max(1, min(docs.rdd.getNumPartitions(), 50_000))
+    chunks = bucketed(_chunked(docs, train, chunk), "chunks", "chunk", buckets)
+    n_words, size = (int(x or 0) for x in chunks.agg(F.sum("words"), F.sum("size")).first())
+    shards = max(1, -(-n_words // per_shard))
+    counted = _answered(chunks.mapInArrow(partial(_ask_words, shards=shards), _QUESTION), shards, _count_words)
+    sums = counted.where(F.col("chunk").isNull()).agg(F.sum("n"), F.sum("sorts"), F.sum("own"), F.sum("theirs")).first()
+    total, distinct, once, begins = (int(x or 0) for x in sums)  # every text that ends begins
+    hot = max(hot, total >> 20)
+
+    shards = max(1, -(-size // per_shard))
+
+    def ask_first(left: pa.Table, right: pa.Table) -> pa.Table:
+        row = left.to_pylist()[0]
+        state = _opened(row, right.to_pylist(), total, once, begins)[0]
+        return pa.Table.from_batches([_batch(state.pairs(shards, hot).questions(row["chunk"]) if len(state.at) else [], _QUESTION)])
+
+    of_chunk = lambda answers: answers.where(F.col("chunk").isNotNull()).select("chunk", "depth", "shard", "kinds", "counts").groupBy("chunk")
+    first = _answered(chunks.groupBy("chunk").cogroup(of_chunk(counted)).applyInArrow(ask_first, _QUESTION), shards, partial(_count_pairs, depth=1))
+    shared = spark.sparkContext.broadcast(_hot_sums(first))  # at most 2**20 pairs of numbers
+
+    def open_first(left: pa.Table, right: pa.Table) -> pa.Table:
+        row, answers = left.to_pylist()[0], right.to_pylist()
+        state, known, base, done = _opened(row, [a for a in answers if not a["depth"]], total, once, begins)
+        state, more = state.longer([a for a in answers if a["depth"]], shards, hot, shared.value)
+        return _row(state, left, known, base, done + more)
+
+    schema = _STATE.format(id=id_type)
+    both = of_chunk(counted.unionByName(first))
+    state = bucketed(chunks.groupBy("chunk").cogroup(both).applyInArrow(open_first, schema), "tokens", "chunk", buckets)
+    for table in (chunks, counted, first):
+        release(table)
+    for depth in range(2, DEEPEST + 1):
+        size = int(state.agg(F.sum("open")).first()[0] or 0)
+        if not size:
+            break
+        state = _deeper(state, depth, max(1, -(-size // per_shard)), hot, schema, buckets, of_chunk)
+
+    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = np.zeros(batch.num_rows)
-            blobs = batch["classes"].to_pylist()
-            for a in range(0, len(blobs), 512):
-                some = [_unpacked(b) for b in blobs[a : a + 512]]
-                got = tree.log10(*_contexts(some, tree.classes))
-                out[a : a + len(some)] = np.add.reduceat(got, np.cumsum([0] + [len(s) for s in some[:-1]]))
-            within = batch["within"].to_numpy()
-            keep = [batch[c] for c in ("doc_id", "train", "n_tokens", "n_known", "base")]
-            yield pa.RecordBatch.from_arrays([*keep, pa.array(out + within)], ["doc_id", "train", "n_tokens", "n_known", "base", "score"])
-
-    scored = coded.mapInArrow(run, f"doc_id {id_type}, train boolean, n_tokens bigint, n_known bigint, base double, score double")
+            for i in range(batch.num_rows):
+                row = batch.slice(i, 1)
+                at = row.to_pylist()[0]
+                state = _read(at)
+                done = _unpacked(at["done"], np.float64) + state.less(np.zeros(len(state.at), bool))[1]
+                t, known, base = state.texts, _unpacked(at["known"], np.float64), _unpacked(at["base"], np.float64)
+                flat = [row[c].flatten() for c in ("ids", "rows", "train", "parts")]
+                yield pa.RecordBatch.from_arrays(
+                    [*flat, pa.array(t.sizes - t.lead), pa.array(known.astype(np.int64)), pa.array(base), pa.array(done)], ["doc_id", "row", "train", "part", "n_tokens", "n_known", "base", "score"]
+                )
+
+    scored = state.mapInArrow(finish, f"doc_id {id_type}, row bigint, train boolean, part boolean, n_tokens bigint, n_known bigint, base double, score double")
+    numbers = ["n_tokens", "n_known", "base", "score"]
+    cut = scored.where("part").groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.first("train").alias("train"), *(F.sum(c).alias(c) for c in numbers))
+    whole = scored.where(~F.col("part")).select("doc_id", "train", *numbers).unionByName(cut.select("doc_id", "train", *numbers))
     base = F.col("base") - F.col("n_tokens") * float(np.log10(total + distinct + 1))
-    return scored.select("doc_id", "train", "n_tokens", "n_known", F.lit(total).cast("bigint").alias("train_tokens"), base.alias("base_score"), "score")
+    return whole.select("doc_id", "train", "n_tokens", "n_known", F.lit(total).cast("bigint").alias("train_tokens"), base.alias("base_score"), "score")
+
+
+def _deeper(state: DataFrame, depth: int, shards: int, hot: int, schema: str, buckets: int, of_chunk) -> DataFrame:
+    """The state one word deeper; the state before is released."""
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                row = batch.slice(i, 1).to_pylist()[0]
+                if row["open"]:
+                    yield _batch(_read(row).pairs(shards, hot).questions(row["chunk"]), _QUESTION)
+
+    answers = _answered(state.mapInArrow(ask, _QUESTION), shards, partial(_count_pairs, depth=depth))
+    shared = state.sparkSession.sparkContext.broadcast(_hot_sums(answers))  # at most 2**20 pairs of numbers
+
+    def step(left: pa.Table, right: pa.Table) -> pa.Table:
+        row = left.to_pylist()[0]
+        after, more = _read(row).longer(right.to_pylist(), shards, hot, shared.value)
+        known, base, done = (_unpacked(row[c], np.float64) for c in ("known", "base", "done"))
+        return _row(after, left, known, base, done + more)
+
+    out = bucketed(state.groupBy("chunk").cogroup(of_chunk(answers)).applyInArrow(step, schema), "tokens", "chunk", buckets)
+    release(state)
+    release(answers)
+    return out

@@ -228,17 +228,6 @@ def test_suffix_tree(spark, docs):
     assert of("score") > of("base_score")
 
 
-def test_tree_distributions_add_up():
-    t = suffixtree.Tree(
-        4, np.array([0.4, 0.3, 0.2, 0.1]), [np.array([1]), np.array([1 * 4 + 1])], [np.array([12.0]), np.array([6.0])], [np.array([4.0]), np.array([3.0])],
-        [np.array([1 * 4 + 0, 1 * 4 + 2]), np.array([(1 * 4 + 1) * 4 + 3])], [np.array([5.0, 3.0]), np.array([3.0])],
-    )
-    for one in range(4):
-        for two in range(4):
-            before = [np.full(4, one), np.full(4, two * 4 + one)]
-            assert abs((10 ** t.log10(before, np.arange(4))).sum() - 1) < 1e-12
-
-
 def test_toxicity_held_out(spark):
     labels = {r["doc_id"]: r["toxic"] for r in spark.read.parquet("/root/testdata/sf0.01/labels.parquet").collect()}
     out = QUERIES["op1_toxicity"](spark, "/root/testdata/sf0.01").collect()
