@@ -3,13 +3,15 @@
 `decode` reads any lossless (VP8L) image: canonical prefix codes, simple and coded by code
 lengths, meta prefix images, back-references with their distance map, the colour cache, and the
 inverse predictor, cross-colour, subtract-green and palette transforms. Where all of a
-group's literals have codes of one length and the other channels take no bits, runs of literals
-are read as one array.
+group's group's literals take bits in one channel only and there is no cache, runs of literals are read as one array: the symbol and the length of the code that would
+begin at each bit are looked up at once, and only the chain from code to code is followed one by one.
 
 `encode` stores a payload as an image of one sample a pixel. The distinct bytes become a palette,
 up to 16 of them are bundled several to a pixel, lines seen before become back-references, and
-literals get a prefix code of one length. A payload beyond an image's size becomes several images one
-behind the other.
+literals, lengths and distances get prefix codes by their frequencies, of one length only where that is smaller. The
+predictor of the left or the upper sample is used where it makes the samples' entropy smaller. A colour cache is
+never written: a pixel is one green symbol here, and a cache symbol in its place is as long; cross-colour
+has nothing to work on with one channel. A payload beyond an image's size becomes several images one behind the other.
 
 Cases: null and empty texts are stored as one row of blanks; equal texts give equal bytes; texts of
 any length are stored; damaged files raise ValueError.
@@ -21,6 +23,7 @@ import hashlib
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from heapq import heapify, heappop, heapreplace
 
 import numpy as np
 import pyarrow as pa
@@ -31,6 +34,8 @@ ROW = 192  # bytes of a payload are a multiple of this, and an image's width
 MOST_ROWS = 16_384  # of an image
 LEAST_COPY, MOST_COPY, FARTHEST = 24, 4096, 65_536 - 120
 RUN = 1 << 16  # literals read at a time
+AHEAD = 1 << 17  # bits that are looked up at a time
+LONGEST = 12  # bits of a code that is written
 #: Fixed value of the format: the order in which lengths of code length codes are stored.
 LENGTH_ORDER = (17, 18, 0, 1, 2, 3, 4, 5, 16, 6, 7, 8, 9, 10, 11, 12, 13, 14, 15)
 LITERALS, LENGTHS, DISTANCES = 256, 24, 40
@@ -45,7 +50,7 @@ class _Bits:
 
     def __init__(self, data: bytes):
         self.data, self.at, self.end = bytes(data), 0, 8 * len(data)
-        self.padded = self.data + bytes(8)
+        self.padded = self.data + bytes(16)
 
     def peek(self) -> int:
         b = self.at >> 3
@@ -61,19 +66,27 @@ class _Bits:
         self.skip(n)
         return v
 
-    def fields(self, n: int, width: int) -> np.ndarray:
-        """The next n codes of width bits, most significant bit first; not skipped."""
-        first = self.at >> 3
+    def fields(self, n: int, widths: list[int]) -> list[np.ndarray]:
+        """The next n groups of codes of these widths, each with its most significant bit first; not skipped."""
+        first, width = self.at >> 3, sum(widths)
         raw = np.frombuffer(self.data, np.uint8, min(len(self.data) - first, (n * width + 15) // 8), first)
         bits = np.unpackbits(raw, bitorder="little")[self.at & 7 :][: n * width].reshape(n, width)
-        out = np.zeros(n, np.uint16)
-        for i in range(width):
-            out = (out << np.uint16(1)) | bits[:, i]
+        out, at = [], 0
+        for w in widths:
+            field = np.zeros(n, np.uint16)
+            for i in range(at, at + w):
+                field = (field << np.uint16(1)) | bits[:, i]
+            out.append(field)
+            at += w
         return out
 
 
+_TURNED = np.packbits(np.unpackbits(np.arange(1 << 16, dtype=">u2").view(np.uint8).reshape(-1, 2), axis=1)[:, ::-1], axis=1).view(">u2").reshape(-1).tolist()
+
+
 def _reverse(code: int, n: int) -> int:
-    return int(format(code, f"0{n}b")[::-1], 2) if n else 0
+    """The n (at most 16) bits of a code in reverse order."""
+    return _TURNED[code] >> (16 - n)
 
 
 class _Code:
@@ -94,18 +107,20 @@ class _Code:
         if used[0][0] == self.width:
             self.uniform = np.array([s for _, s in used], np.uint16)
         else:
-            self.table = self._table(used)
+            self.symbols, self.sizes = self._table(used)
+            self.slow: list[tuple[int, int]] | None = None
 
-    def _table(self, used: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    def _table(self, used: list[tuple[int, int]]) -> tuple[np.ndarray, np.ndarray]:
         """Symbol and length by the next `width` bits."""
-        table = [(0, 0)] * (1 << self.width)
+        symbols, sizes = np.zeros(1 << self.width, np.uint16), np.zeros(1 << self.width, np.uint8)
         code, last = 0, 0
         for n, s in used:
             code <<= n - last
-            for x in range(_reverse(code, n), 1 << self.width, 1 << n):
-                table[x] = (s, n)
+            x = _reverse(code, n)
+            symbols[x :: 1 << n] = s
+            sizes[x :: 1 << n] = n
             code, last = code + 1, n
-        return table
+        return symbols, sizes
 
     def read(self, bits: _Bits) -> int:
         if self.single is not None:
@@ -114,40 +129,121 @@ class _Code:
         if self.uniform is not None:
             bits.skip(self.width)
             return int(self.uniform[_reverse(ahead, self.width)])
-        symbol, n = self.table[ahead]
+        if self.slow is None:
+            self.slow = list(zip(self.symbols.tolist(), self.sizes.tolist(), strict=True))
+        symbol, n = self.slow[ahead]
         bits.skip(n)
         return symbol
 
 
+class _Ahead:
+    """What a code would read at each of the next bits."""
+
+    def __init__(self, bits: _Bits, code: _Code):
+        self.begin = bits.at & ~7
+        self.end = min(bits.end, self.begin + AHEAD)
+        raw = np.frombuffer(bits.padded, np.uint8, (self.end - self.begin + 7) // 8 + 3, self.begin >> 3).astype(np.uint32)
+        word = raw[:-3] | raw[1:-2] << np.uint32(8) | raw[2:-1] << np.uint32(16) | raw[3:] << np.uint32(24)
+        place = np.empty((len(word), 8), np.uint32)
+        for i in range(8):
+            np.right_shift(word, np.uint32(i), out=place[:, i])
+        self.place = place.reshape(-1) & np.uint32((1 << code.width) - 1)
+        # how far one code reaches from each bit, and eight in a row
+        self.step = np.zeros(len(self.place) + 9 * 16, np.uint8)
+        code.sizes.take(self.place, out=self.step[: len(self.place)])
+        places, far = np.arange(len(self.place), dtype=np.int32), self.step
+        for _ in range(3):
+            more = far.copy()
+            more[: len(places)] += far.take(places + far[: len(places)])
+            far = more
+        self.eight = far.tobytes()
+        self.code = code
+
+    def literals(self, at: int, most: int) -> tuple[np.ndarray, int]:
+        """The symbols from bit `at` on, most at most and all literals, and the bit behind them."""
+        eight, i, end, found = self.eight, at - self.begin, self.end - self.begin, []
+        add = found.append
+        for _ in range(-(-most // 8)):
+            if i >= end:
+                break
+            add(i)
+            i += eight[i]
+        where = np.empty((len(found), 8), np.int64)
+        where[:, 0] = found
+        for k in range(1, 8):
+            where[:, k] = where[:, k - 1] + self.step[where[:, k - 1]]
+        where = where.reshape(-1)[:most]
+        behind = where + self.step[where]
+        fits = behind <= end  # a code that ends beyond is read with the next bits
+        if not fits.all() or (where >= end).any():
+            n = int(np.argmin(fits & (where < end)))
+            where, behind = where[:n], behind[:n]
+        symbols = self.code.symbols[self.place[where]]
+        other = np.flatnonzero(symbols >= LITERALS)
+        if len(other):
+            return symbols[: other[0]], self.begin + int(where[other[0]])
+        return symbols, self.begin + (int(behind[-1]) if len(behind) else at - self.begin)
+
+
 def _read_code(bits: _Bits, alphabet: int) -> _Code:
-    lengths = [0] * alphabet
     if bits.read(1):
         two, wide = bits.read(1), bits.read(1)
-        for s in [bits.read(8 if wide else 1)] + ([bits.read(8)] if two else []):
+        some = [bits.read(8 if wide else 1)] + ([bits.read(8)] if two else [])
+        if len(some) == 1 and some[0] < alphabet:
+            return _lone(some[0])
+        lengths = [0] * alphabet
+        for s in some:
             if s >= alphabet:
                 raise ValueError("a symbol is not in its alphabet")
             lengths[s] = 1
-        return _Code(lengths)
+        return _code_of(tuple(lengths))
+    lengths = [0] * alphabet
     own = [0] * len(LENGTH_ORDER)
     for i in range(4 + bits.read(4)):
         own[LENGTH_ORDER[i]] = bits.read(3)
-    code = _Code(own)
+    table, mask = _length_table(tuple(own))
     most = 2 + bits.read(2 + 2 * bits.read(3)) if bits.read(1) else alphabet
-    at, last = 0, 8
-    while at < alphabet and most:
+    at, last, place, data = 0, 8, bits.at, bits.padded
+    while at < alphabet and most and place <= bits.end:
         most -= 1
-        n = code.read(bits)
+        ahead = int.from_bytes(data[place >> 3 : (place >> 3) + 4], "little") >> (place & 7)
+        n, size = table[ahead & mask]
+        place += size
         if n < 16:
             lengths[at] = n
             at += 1
             last = n or last
             continue
-        times = 3 + bits.read(2) if n == 16 else 3 + bits.read(3) if n == 17 else 11 + bits.read(7)
+        extra, least = ((2, 3), (3, 3), (7, 11))[n - 16]
+        times = least + ((ahead >> size) & ((1 << extra) - 1))
+        place += extra
         if at + times > alphabet:
             raise ValueError("code lengths run over the alphabet")
-        lengths[at : at + times] = [last if n == 16 else 0] * times
+        if n == 16:
+            lengths[at : at + times] = [last] * times
         at += times
-    return _Code(lengths)
+    bits.skip(place - bits.at)
+    return _code_of(tuple(lengths))
+
+
+@lru_cache(256)
+def _length_table(lengths: tuple[int, ...]) -> tuple[list[tuple[int, int]], int]:
+    """Symbol and length of a code of code lengths by the next bits, and their mask."""
+    code = _Code(list(lengths))
+    if code.single is not None:
+        return [(code.single, 0)], 0
+    used = sorted((n, s) for s, n in enumerate(lengths) if n)
+    return list(zip(*(x.tolist() for x in code._table(used)), strict=True)), (1 << code.width) - 1
+
+
+@lru_cache(256)
+def _lone(symbol: int) -> _Code:
+    return _Code([0] * symbol + [1])
+
+
+@lru_cache(64)
+def _code_of(lengths: tuple[int, ...]) -> _Code:
+    return _Code(list(lengths))
 
 
 def _value(bits: _Bits, symbol: int) -> int:
@@ -174,18 +270,33 @@ def _read_image(bits: _Bits, width: int, height: int, main: bool = False) -> np.
     cache, cached = [0] * (1 << cache_bits), 0
     at, total = 0, width * height
     green, red, blue, alpha, distance = groups[0]
-    fast = meta is None and not cache_bits and green.uniform is not None and None not in (red.single, blue.single, alpha.single)
-    run = RUN
+    others = (red, blue, alpha)
+    fast = meta is None and not cache_bits
+    same = fast and all(c.single is not None or c.uniform is not None for c in (green, *others)) and green.single is None  # pixels of one width
+    fast = same or (fast and green.single is None and None not in (red.single, blue.single, alpha.single))
+    window: _Ahead | None = None
     while at < total:
         if fast:
-            n = min(total - at, run, (bits.end - bits.at) // green.width)
-            symbols = green.uniform[bits.fields(n, green.width)] if n else np.zeros(0, np.uint16)
-            other = np.flatnonzero(symbols >= LITERALS)
-            n = int(other[0]) if len(other) else n
-            if n:
-                out[at : at + n] = (symbols[:n].astype(np.uint32) << np.uint32(8)) | np.uint32(alpha.single << 24 | red.single << 16 | blue.single)
-                bits.skip(n * green.width)
-                at += n
+            if same:
+                width = green.width + red.width + blue.width + alpha.width
+                n = min(total - at, RUN, (bits.end - bits.at) // width)
+                first, *rest = bits.fields(n, [green.width, red.width, blue.width, alpha.width])
+                symbols = green.uniform[first]
+                literal = symbols < LITERALS
+                n = n if literal.all() else int(np.argmin(literal))
+                argb = symbols[:n].astype(np.uint32) << np.uint32(8)
+                for code, field, shift in zip(others, rest, (16, 0, 24), strict=True):
+                    argb |= (np.uint32(code.single) if code.single is not None else code.uniform[field[:n]].astype(np.uint32)) << np.uint32(shift)
+                behind = bits.at + n * width
+            else:
+                if window is None or bits.at + green.width > window.end:
+                    window = _Ahead(bits, green)
+                symbols, behind = window.literals(bits.at, total - at)
+                argb = (symbols.astype(np.uint32) << np.uint32(8)) | np.uint32(alpha.single << 24 | red.single << 16 | blue.single)
+            if len(argb):
+                out[at : at + len(argb)] = argb
+                bits.skip(behind - bits.at)
+                at += len(argb)
                 continue
         elif meta is not None:
             green, red, blue, alpha, distance = groups[int(meta[(at // width >> step) * across + (at % width >> step)])]
@@ -382,63 +493,110 @@ def _prefix(value: int) -> tuple[int, int, int]:
     return 2 * (extra + 1) + ((v >> extra) & 1), v & ((1 << extra) - 1), extra
 
 
+def _frequent(counts: np.ndarray) -> np.ndarray:
+    """Code lengths for symbols that occur so often, LONGEST at most: a Huffman code, of flatter counts until it fits. At least one occurs."""
+    used = np.flatnonzero(counts)
+    out = np.zeros(len(counts), np.int64)
+    if len(used) == 1:
+        out[used] = 1
+        return out
+    weights = counts[used].tolist()
+    while True:
+        heap = [(c, i) for i, c in enumerate(weights)]
+        heapify(heap)
+        above: list[int] = [0] * (2 * len(weights) - 1)
+        for node in range(len(weights), len(above)):
+            a, i = heappop(heap)
+            b, j = heap[0]
+            above[i] = above[j] = node
+            heapreplace(heap, (a + b, node))
+        depth = [0] * len(above)
+        for i in range(len(above) - 2, -1, -1):
+            depth[i] = depth[above[i]] + 1
+        sizes = depth[: len(weights)]
+        if max(sizes) <= LONGEST:
+            out[used] = sizes
+            return out
+        weights = [(c + 1) // 2 for c in weights]
+
+
+def _codes(lengths: np.ndarray) -> np.ndarray:
+    """The canonical code of each symbol, most significant bit first."""
+    out = np.zeros(len(lengths), np.int64)
+    used = np.flatnonzero(lengths)
+    code, last = 0, 0
+    for s in used[np.argsort(lengths[used], kind="stable")].tolist():
+        n = int(lengths[s])
+        code <<= n - last
+        out[s], last = code, n
+        code += 1
+    return out
+
+
 @lru_cache(1024)
-def _code_bits(alphabet: int, runs: tuple[tuple[int, int], ...]) -> np.ndarray:
+def _same_bits(alphabet: int, runs: tuple[tuple[int, int], ...]) -> np.ndarray:
     """A code whose symbols in the runs (first, behind the last) all have one length: their number is a power of two."""
-    w = _Writer()
-    count = sum(b - a for a, b in runs)
-    if count == 1 and runs[0][0] < 256:
-        w.put(1 | 0 << 1 | 1 << 2 | runs[0][0] << 3, 11)
-        return np.concatenate(w.parts)
-    length = count.bit_length() - 1
-    flat = [0] * alphabet
+    return _code_bits(_same(alphabet, runs))
+
+
+def _same(alphabet: int, runs: tuple[tuple[int, int], ...]) -> np.ndarray:
+    flat = np.zeros(alphabet, np.int64)
     for a, b in runs:
-        flat[a:b] = [length] * (b - a)
+        flat[a:b] = max(1, sum(b - a for a, b in runs).bit_length() - 1)
+    return flat
+
+
+def _code_bits(lengths: np.ndarray) -> np.ndarray:
+    """How a code is stored: a lone symbol as such, else the code lengths, with runs of equal ones shortened."""
+    used = np.flatnonzero(lengths)
+    if len(used) == 1 and used[0] < 256:
+        return _bits_of(1 | 0 << 1 | 1 << 2 | int(used[0]) << 3, 11)
     items: list[tuple[int, int, int]] = []  # code length symbol, extra bits, their number
-    i = 0
-    while i < alphabet:
-        j = i
-        while j < alphabet and flat[j] == flat[i]:
-            j += 1
-        n = j - i
-        if flat[i]:
-            items.append((flat[i], 0, 0))
+    edges = [0, *(np.flatnonzero(lengths[1:] != lengths[:-1]) + 1).tolist(), len(lengths)]
+    for a, b, size in zip(edges[:-1], edges[1:], lengths[edges[:-1]].tolist(), strict=True):
+        n = b - a
+        if size:
+            items.append((size, 0, 0))
             n -= 1
         while n:
-            if not flat[i] and n >= 11:
+            if not size and n >= 11:
                 m = min(n, 138)
                 items.append((18, m - 11, 7))
-            elif not flat[i] and n >= 3:
+            elif not size and n >= 3:
                 m = min(n, 10)
                 items.append((17, m - 3, 3))
-            elif flat[i] and n >= 3:
+            elif size and n >= 3:
                 m = min(n, 6)
                 items.append((16, m - 3, 2))
             else:
                 m = 1
-                items.append((flat[i], 0, 0))
+                items.append((size, 0, 0))
             n -= m
-        i = j
-    kinds = sorted({s for s, _, _ in items})
+    counts = [0] * len(LENGTH_ORDER)
+    for kind, _, _ in items:
+        counts[kind] += 1
+    kinds = sorted((s for s, n in enumerate(counts) if n), key=lambda s: -counts[s])
     longest = (len(kinds) - 1).bit_length()
-    short = (1 << longest) - len(kinds)
-    sizes = {s: (longest - 1 if k < short else longest) for k, s in enumerate(kinds)} if len(kinds) > 1 else {kinds[0]: 1}
-    codes, code, last = {}, 0, 0
-    for s in sorted(kinds, key=lambda x: (sizes[x], x)):
-        code <<= sizes[s] - last
-        codes[s], last = code, sizes[s]
-        code += 1
+    short = (1 << longest) - len(kinds)  # the commonest have codes of one bit less
+    own = np.zeros(len(LENGTH_ORDER), np.int64)
+    for k, s in enumerate(kinds):
+        own[s] = 1 if len(kinds) == 1 else longest - 1 if k < short else longest
+    sizes = own.tolist()
+    codes = [_reverse(c, n) for c, n in zip(_codes(own).tolist(), sizes, strict=True)]
     many = max(4, max(LENGTH_ORDER.index(s) for s in kinds) + 1)
-    w.put(0, 1)
-    w.put(many - 4, 4)
+    value, at = (many - 4) << 1, 5  # bits as one number, first ones lowest
     for s in LENGTH_ORDER[:many]:
-        w.put(sizes.get(s, 0), 3)
-    w.put(0, 1)
+        value |= sizes[s] << at
+        at += 3
+    at += 1
     for s, extra, n in items:
         if len(kinds) > 1:
-            w.put(_reverse(codes[s], sizes[s]), sizes[s])
-        w.put(extra, n)
-    return np.concatenate(w.parts)
+            value |= codes[s] << at
+            at += sizes[s]
+        if n:
+            value |= extra << at
+            at += n
+    return np.unpackbits(np.frombuffer(value.to_bytes(at // 8 + 1, "little"), np.uint8), bitorder="little")[:at]
 
 
 def _copies(data: bytes) -> list[tuple[int, int, int]]:
@@ -455,6 +613,35 @@ def _copies(data: bytes) -> list[tuple[int, int, int]]:
     return out
 
 
+def _entropy(values: np.ndarray) -> float:
+    """Bits that the values take by themselves."""
+    n = np.bincount(values)
+    n = n[n > 0]
+    return float((n * np.log2(len(values) / n)).sum())
+
+
+def _residuals(symbols: np.ndarray, mode: int) -> np.ndarray:
+    """What the predictor leaves of the symbols: 1 predicts from the left, 2 from above; the first row is always by the left, the first column by above."""
+    rows = symbols.reshape(-1, ROW).astype(np.int16)
+    out = np.empty_like(rows)
+    out[0] = np.diff(rows[0], prepend=np.int16(0))
+    out[1:, 0] = rows[1:, 0] - rows[:-1, 0]
+    out[1:, 1:] = rows[1:, 1:] - (rows[1:, :-1] if mode == 1 else rows[:-1, 1:])
+    return (out & 255).astype(np.uint16).reshape(-1)
+
+
+def _coded(symbols: np.ndarray, lengths: np.ndarray, codes: np.ndarray) -> np.ndarray:
+    """The bits of the symbols' codes."""
+    n = lengths[symbols]
+    if not len(n) or (n[0] == n).all():
+        width = int(n[0]) if len(n) else 0
+        c = codes[symbols]
+        return np.stack([(c >> (width - 1 - i)) & 1 for i in range(width)], 1).astype(np.uint8).reshape(-1) if width else np.zeros(0, np.uint8)
+    ends = np.cumsum(n)
+    left = np.repeat(ends, n) - np.arange(1, int(ends[-1]) + 1)  # bits of its code behind each bit
+    return ((np.repeat(codes[symbols], n) >> left) & 1).astype(np.uint8)
+
+
 def _encode_one(samples: np.ndarray) -> bytes:
     """Samples of whole rows as one file."""
     height = len(samples) // ROW
@@ -467,40 +654,65 @@ def _encode_one(samples: np.ndarray) -> bytes:
     if each:
         bits = 8 >> each
         symbols = (symbols.reshape(-1, 1 << each) << (np.arange(1 << each, dtype=np.uint16) * np.uint16(bits))).sum(1).astype(np.uint16)
-        literals = 256
-    else:
-        literals = size
-    copies = [] if each or size > LITERALS - LENGTHS else _copies(samples.tobytes())
-    lengths = LENGTHS if copies else 0
-    width = max(1, (literals + lengths - 1).bit_length())
+    copies = [] if each else _copies(samples.tobytes())
+    mode = 0
+    if not each and not copies:
+        plain = _entropy(symbols)
+        least, by = min((_entropy(_residuals(symbols, m)), m) for m in (1, 2))
+        if least < 0.95 * plain - 512:
+            mode, symbols = by, _residuals(symbols, by)
     w = _Writer()
     w.put(ROW - 1 | (height - 1) << 14, 28)
     w.put(0, 4)  # no alpha; version 0
     w.put(1 | PALETTE << 1 | (size - 1) << 3, 11)
     w.put(0, 1)  # the palette's image: no colour cache; greens of 8 bits, one red and blue, and alpha of 255 and then 0
-    w.parts.append(_code_bits(LITERALS + LENGTHS, ((0, 256),)))
-    for _ in range(2):
-        w.parts.append(_code_bits(256, ((0, 1),)))
+    one = _same_bits(256, ((0, 1),))
+    w.parts += [_same_bits(LITERALS + LENGTHS, ((0, 256),)), one, one]
     w.put(1 | 1 << 1 | 0 << 2 | 0 << 3 | 255 << 4, 12)
-    w.parts.append(_code_bits(DISTANCES, ((0, 1),)))
+    w.parts.append(_same_bits(DISTANCES, ((0, 1),)))
     steps = np.diff(values, prepend=0)
     greens = np.stack([(steps >> (7 - i)) & 1 for i in range(8)] + [np.arange(size) == 0], 1).astype(np.uint8)
     w.parts.append(greens.reshape(-1))
+    if mode:  # an image of the mode in the largest blocks: codes of one symbol, so its pixels take no bits
+        w.put(1 | PREDICT << 1 | 7 << 3 | 0 << 6, 7)
+        w.parts += [_same_bits(LITERALS + LENGTHS, ((mode, mode + 1),)), one, one, one, _same_bits(DISTANCES, ((0, 1),))]
     w.put(0, 3)  # no further transform, no colour cache, one group of codes
-    w.parts.append(_code_bits(LITERALS + LENGTHS, ((0, (1 << width) - lengths), *([(LITERALS, LITERALS + lengths)] if lengths else []))))
-    for _ in range(3):
-        w.parts.append(_code_bits(256, ((0, 1),)))
-    w.parts.append(_code_bits(DISTANCES, ((0, 32 if copies else 1),)))
-    rank = np.stack([(symbols >> np.uint16(width - 1 - i)) & np.uint16(1) for i in range(width)], 1).astype(np.uint8)
-    at = 0
+    # literals between the copies, and the symbols and extra bits of each copy
+    counts = np.bincount(symbols, minlength=LITERALS + LENGTHS)
+    far = np.zeros(DISTANCES, np.int64)
+    tokens = []
     for place, n, back in copies:
-        w.parts.append(rank[at:place].reshape(-1))
-        symbol, extra, m = _prefix(n)
-        w.put(_reverse((1 << width) - lengths + symbol, width) | extra << width, width + m)
-        symbol, extra, m = _prefix(back + len(NEAR))
-        w.put(_reverse(symbol, 5) | extra << 5, 5 + m)
-        at = place + n
-    w.parts.append(rank[at:].reshape(-1))
+        counts[:LITERALS] -= np.bincount(symbols[place : place + n], minlength=LITERALS)
+        long_, distance = _prefix(n), _prefix(back + len(NEAR))
+        counts[LITERALS + long_[0]] += 1
+        far[distance[0]] += 1
+        tokens.append((place, place + n, long_, distance))
+    literals = 256 if each or mode else size
+    width = max(1, (literals + (LENGTHS if copies else 0) - 1).bit_length())
+    same = _same(LITERALS + LENGTHS, ((0, min(LITERALS, (1 << width) - (LENGTHS if copies else 0))), *([(LITERALS, LITERALS + LENGTHS)] if copies else [])))
+    lengths = _frequent(counts)
+    header = _code_bits(lengths)
+    if (1 << width) - (LENGTHS if copies else 0) <= LITERALS:
+        plain_header = _code_bits(same)
+        if counts.sum() * width + len(plain_header) < (counts * lengths).sum() + len(header):
+            lengths, header = same, plain_header
+    if (lengths > 0).sum() == 1:
+        lengths = np.where(lengths > 0, 0, lengths)  # a lone symbol takes no bits
+    codes = _codes(lengths)
+    distances = _frequent(far) if copies else _same(DISTANCES, ((0, 1),))
+    w.parts += [header, one, one, one, _code_bits(distances)]
+    far_codes = _codes(distances)
+    if (distances > 0).sum() == 1:
+        distances = distances * 0
+    at = 0
+    for place, end, (s, extra, m), (d, far_extra, k) in tokens:
+        w.parts.append(_coded(symbols[at:place], lengths, codes))
+        n = int(lengths[LITERALS + s])
+        w.put(_reverse(int(codes[LITERALS + s]), n) | extra << n, n + m)
+        n = int(distances[d])
+        w.put(_reverse(int(far_codes[d]), n) | far_extra << n, n + k)
+        at = end
+    w.parts.append(_coded(symbols[at:], lengths, codes))
     body = b"\x2f" + w.data()
     chunk = b"VP8L" + len(body).to_bytes(4, "little") + body + b"\0" * (len(body) % 2)
     return b"RIFF" + (4 + len(chunk)).to_bytes(4, "little") + b"WEBP" + chunk
