@@ -11,10 +11,13 @@ the language that has it most, at least LEAST times: else quotations in other la
 fill every filter with everything.
 
 N-grams are runs of SIZE characters over lower-cased letters, with one blank for whatever lies
-between words; only those that hold a letter count. Training reads at most FIT_ROWS rows of each language.
+between words; only those that hold a letter count. Training reads at most FIT_ROWS rows of each language, the first in the order of
+a hash, as long as their whole texts fit into FIT_CHARS.
 
 Cases: null, empty and letterless texts get `und` and score 0; ties go to the language
-first in order; letters without any known n-gram go to the commonest language with score 0; very long texts are read in pieces that overlap; with no training rows all is `und`.
+first in order; letters without any known n-gram go to the commonest language with score 0; very long texts are read in pieces that carry the last
+letters on, with the result of reading them at once; repeated rows come back as often; an empty table has nothing to learn from; extra columns are
+no input; with no training rows all is `und`.
 """
 
 from __future__ import annotations
@@ -24,14 +27,14 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quire.llm.common import chunks
 
 SIZE = 4
 FIT_ROWS = 2_000  # training rows of a language
-FIT_CHARS = 20_000  # and characters of each, from a place that its id chooses
+FIT_CHARS = 16 << 20  # and characters of them
 RATE, LEAST = 0.2, 3
 HASHES = 3
 BITS_PER_GRAM = 12
@@ -77,13 +80,33 @@ def grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return out[inside], begins.astype(np.int64)
 
 
+def long_grams(text: str, piece: int = PIECE) -> Iterator[np.ndarray]:
+    """What grams gives for one text, a piece of it at a time: the last SIZE - 1 characters of a piece, and whether it ends within a word, are carried on."""
+    carried, inside = np.array([32], np.uint64), False
+    for at in range(0, len(text) + 1, piece):
+        part = text[at : at + piece].lower()
+        last = at + piece >= len(text) + 1
+        code = np.frombuffer((part + " " if last else part).encode("utf-32-le", "surrogatepass"), np.uint32)
+        letter = _is_letter()[code]
+        keep = letter | np.append(inside, letter[:-1])[: len(letter)]
+        inside = bool(letter[-1]) if len(letter) else inside
+        code = np.concatenate([carried, np.where(letter, code, np.uint32(32))[keep].astype(np.uint64)])
+        n = max(0, len(code) - SIZE + 1)
+        out = np.zeros(n, np.uint64)
+        for i in range(SIZE):
+            out = (out << np.uint64(16)) ^ code[i : n + i]
+        yield out
+        carried = code[-(SIZE - 1) :]
+
+
 def _slots(g: np.ndarray, bits: int) -> Iterator[np.ndarray]:
-    """HASHES slots of each n-gram among 2**bits."""
+    """HASHES slots of each n-gram among 2**bits, from two hashes that share no bits."""
     h = g * _A
-    h ^= h >> np.uint64(29)
-    h *= _B
+    h = (h ^ (h >> np.uint64(29))) * _B
+    h ^= h >> np.uint64(32)
+    first, step = h >> np.uint64(32), (h & np.uint64(0xFFFFFFFF)) | np.uint64(1)
     for i in range(HASHES):
-        yield (h >> np.uint64(64 - bits - 7 * i if 64 - bits - 7 * i > 0 else 0)) & np.uint64((1 << bits) - 1)
+        yield (first + np.uint64(i) * step) & np.uint64((1 << bits) - 1)
 
 
 @dataclass(frozen=True)
@@ -161,14 +184,13 @@ def fit_from_rows(docs: DataFrame, keep: Column | None = None) -> LanguageModel
         known = known.where(keep)
     order = F.struct(F.xxhash64("doc_id").alias("h"), "doc_id")
     share = known.groupBy("lang").count()
-    # of each language, the hash below which about FIT_ROWS rows lie; then the exact first ones
-    bound = share.withColumn("most", F.least(F.lit(1.0), F.lit(1.5 * FIT_ROWS) / F.col("count") + 0.01)).drop("count")
-    near = known.join(F.broadcast(bound), "lang").where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < F.col("most") * (1 << 20))
-    start = F.pmod(F.xxhash64("doc_id"), F.greatest(F.lit(1), F.char_length("text") - FIT_CHARS)).cast("int") + 1
-    part = F.substring(F.col("text"), start, F.lit(FIT_CHARS))
-    picked = near.select("lang", order.alias("o"), part.alias("part"))
-    rank = F.row_number().over(_by("lang", "o"))
-    rows = picked.withColumn("r", rank).where(F.col("r") <= FIT_ROWS).select("lang", "o", "part").toArrow()
+    # of each language, the hash below which some FIT_ROWS rows and half as many lie; then the exact first ones of these few
+    bound = share.withColumn("most", F.least(F.lit(1.0), F.lit(1.5 * FIT_ROWS) / F.col("count"))).drop("count")
+    near = known.join(F.broadcast(bound), "lang").where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 53)) <= F.col("most") * float(1 << 53))
+    picked = near.select("lang", order.alias("o"), F.col("text").alias("part"))
+    first = Window.partitionBy("lang").orderBy("o", "part")
+    ranked = picked.withColumns({"r": F.row_number().over(first), "so_far": F.sum(F.char_length("part").cast("bigint")).over(first.rowsBetween(Window.unboundedPreceding, 0))})
+    rows = ranked.where((F.col("r") <= FIT_ROWS) & (F.col("so_far") <= FIT_CHARS)).select("lang", "o", "part").toArrow()
     samples: dict[str, list[str]] = {}
     for lang, _, text in sorted(zip(rows["lang"].to_pylist(), [(x["h"], x["doc_id"]) for x in rows["o"].to_pylist()], rows["part"].to_pylist(), strict=True)):
         samples.setdefault(lang, []).append(text)
@@ -176,31 +198,21 @@ def fit_from_rows(docs: DataFrame, keep: Column | None = None) -> LanguageModel
     return fit(samples, first["lang"] if first else None)
 
 
-def _by(key: str, order: str):
-    from pyspark.sql import Window
-
-    return Window.partitionBy(key).orderBy(order)
-
-
 def identify(texts: list[str], model: LanguageModel | None) -> tuple[list[str], np.ndarray]:
     """Language and score of each text."""
     names, scores = [UNKNOWN] * len(texts), np.zeros(len(texts))
     if model is None:
         return names, scores
     for a, b in chunks([len(t) for t in texts], PIECE):
-        pieces, owner = [], []
-        for i in range(a, b):
-            t = texts[i]
-            for at in range(0, max(1, len(t)), PIECE):
-                pieces.append(t[max(0, at - SIZE) if at else 0 : at + PIECE])
-                owner.append(i)
-        hits = np.zeros((b - a, len(model.languages)), np.int64)
-        n = np.zeros(b - a, np.int64)
-        for c, d in chunks([len(p) for p in pieces], 2 * PIECE):
-            g, begins = grams(pieces[c:d])
-            at = np.array(owner[c:d]) - a
-            np.add.at(hits, at, model.hits(g, begins))
-            np.add.at(n, at, np.diff(begins))
+        hits, n = np.zeros((b - a, len(model.languages)), np.int64), np.zeros(b - a, np.int64)
+        if b - a == 1 and len(texts[a]) > PIECE:
+            for g in long_grams(texts[a]):
+                hits += model.hits(g, np.array([0, len(g)]))
+                n += len(g)
+        else:
+            g, begins = grams(texts[a:b])
+            hits += model.hits(g, begins)
+            n += np.diff(begins)
         best, score = model.decide(hits, n)
         for i in range(b - a):
             if n[i] or any(map(str.isalpha, texts[a + i])):
@@ -210,7 +222,7 @@ def identify(texts: list[str], model: LanguageModel | None) -> tuple[list[str],
 
 def identifier(spark: SparkSession, model: LanguageModel | None) -> Callable[[Column], Column]:
     """A column function from text to struct<lang:string, score:double>."""
-    shared = spark.sparkContext.broadcast(model)  # bounded by FIT_ROWS * FIT_CHARS n-grams a language, in practice a few MB
+    shared = spark.sparkContext.broadcast(model)  # bounded by FIT_CHARS n-grams a language, in practice a few MB
 
     @F.arrow_udf("struct<lang:string,score:double>")
     def run(texts: pa.Array) -> pa.Array:

@@ -7,21 +7,22 @@ the ordinary one. Windows above thresholds count by how much they exceed the rat
 ordinary training text, and a logistic curve over these, the largest gains and the length
 gives the document's score.
 
-Labels belong to whole documents, so most toxic training text is ordinary. Both dictionaries
-therefore begin with the same content, trained on ordinary text, and end with strings that
-their own side holds in far more surroundings than the other does, chosen as a dictionary
-trainer chooses segments: commonest first, skipping what is already covered. Windows without
-such strings then compress alike, and a gain means something.
+Labels belong to whole documents, so most toxic training text is ordinary. The samples that train the
+toxic dictionary are therefore the strings of toxic texts made of n-grams that these hold in far more
+surroundings than ordinary texts do. The ordinary dictionary is trained on windows of ordinary text; the toxic one begins with the
+same content and ends with its own, and the ordinary one is filled up to that length, so that a match costs both the same
+bytes. Distinctive strings are taken out of the common part, or they would be no gain. The length is
+one of the curve's features because the largest gains grow with the number of windows: its weight is negative.
 
 Cases: null and empty texts have no windows and get the curve's value at zero evidence;
-a text shorter than a window is one window; any number of extra columns passes through;
-repeated rows get equal scores; without labelled rows of both classes the score is 0.
+a text shorter than a window is one window; very long texts are scored whole, in pieces, and are learnt from whole or not at all; ties
+among equal texts give equal scores; an empty table has no scores and nothing to learn from; extra columns pass through and the
+score's column gets underscores where its name is taken; repeated rows get equal scores; without labelled rows of both classes the score is 0.
 """
 
 from __future__ import annotations
 
 import math
-from collections import Counter
 from collections.abc import Callable
 from dataclasses import dataclass
 from functools import lru_cache
@@ -29,20 +30,24 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from quire.llm.common import unused
+
 WINDOW, STEP = 40, 20
 SEARCH = dict(window_log=16, hash_log=14, chain_log=14, search_log=6, min_match=4, target_length=32, strategy=5)
-SHARED_BYTES, OWN_BYTES = 4_096, 4_096
+SHARED_BYTES, OWN_BYTES = 8_192, 2_048
+FILLER = b"\xff"  # a byte that no text has
 FIT_ROWS = 2_500  # labelled rows of each class that fitting reads at most
-FIT_BYTES = 8_000  # and bytes of each of them, from a place that its id chooses
+FIT_BYTES = 32 << 20  # and bytes of them: the first rows in the order of a hash, as long as their whole texts fit
 GRAM = 6
 TRAIN_STEP = 20  # one window in so many trains the shared content
+TOGETHER = 4  # distinctive strings in a training sample: the trainer takes no short ones
 FOLDS = 3
-LEVELS = (3, 5, 7)  # gains whose windows are counted
+WRONG = 0.02  # of ordinary rows may be marked at most, as far as the folds tell
+LEVELS = (2, 3, 5)  # gains whose windows are counted
 EVIDENCE, ODDS = 4.0, 6.0  # how much oftener one side holds a distinctive gram: in standard errors, and times
-PER_TEXTS = 400  # with each doubling of the texts beyond so many, one standard error more is asked: more grams are tried
 PIECE = 1 << 22
 
 
@@ -138,20 +143,6 @@ def _train(samples: list[bytes], size: int) -> bytes:
     return joined[-size:] or b" " * 8
 
 
-def _cover(strings: list[bytes], size: int) -> bytes:
-    """Strings for a dictionary, commonest first, without those of which half the grams are in already; the commonest come last, nearest to the data."""
-    counts = Counter(strings)
-    have: set[int] = set()
-    out: list[bytes] = []
-    for s in sorted(counts, key=lambda x: (-counts[x], x)):
-        own = set(_grams(s).tolist())
-        if 2 * len(own - have) > len(own) and len(s) <= size:
-            have |= own
-            out.append(s)
-            size -= len(s)
-    return b"".join(reversed(out))
-
-
 def _grams(text: bytes) -> np.ndarray:
     """The GRAM-byte strings of a text as numbers, by place."""
     b = np.frombuffer(text, np.uint8).astype(np.uint64)
@@ -179,8 +170,8 @@ def _shares(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return every[begin], np.diff(np.append(begin, len(every)))
 
 
-def _distinctive(toxic: list[bytes], ordinary: list[bytes]) -> list[bytes]:
-    """Strings of the toxic texts made of grams that they hold in far more surroundings than ordinary texts do."""
+def _distinctive(toxic: list[bytes], ordinary: list[bytes]) -> np.ndarray:
+    """The sorted grams that toxic texts hold in far more surroundings than ordinary ones do."""
     grams, n = _shares(toxic)
     other, m = _shares(ordinary)
     size_t, size_o = sum(map(len, toxic)) + 1, sum(map(len, ordinary)) + 1
@@ -190,19 +181,28 @@ def _distinctive(toxic: list[bytes], ordinary: list[bytes]) -> list[bytes]:
     in_ordinary[found] = m[at[found]]
     expected = in_ordinary * size_t / size_o
     surplus = 2 * (np.sqrt(n + 0.375) - np.sqrt(expected + 0.375))  # in standard errors of a Poisson count
-    needed = EVIDENCE + math.log2(1 + min(len(toxic), len(ordinary)) / PER_TEXTS)
-    marked = np.sort(grams[(surplus >= needed) & (n >= ODDS * expected)])
-    out = []
-    for t in toxic:
-        g = _grams(t)
-        if len(marked) and len(g):
-            hits = np.flatnonzero(marked[np.minimum(np.searchsorted(marked, g), len(marked) - 1)] == g)
-            ends = np.append(np.flatnonzero(np.diff(hits) > 1), len(hits) - 1) if len(hits) else hits
-            begin = 0
-            for e in ends:  # a run of marked grams is one string
-                out.append(t[int(hits[begin]) : int(hits[e]) + GRAM])
-                begin = int(e) + 1
-    return out
+    return np.sort(grams[(surplus >= EVIDENCE) & (n >= ODDS * expected)])
+
+
+def _runs(text: bytes, marked: np.ndarray) -> list[tuple[int, int]]:
+    """Where runs of marked grams begin and end."""
+    g = _grams(text)
+    if not len(marked) or not len(g):
+        return []
+    hits = np.flatnonzero(marked[np.minimum(np.searchsorted(marked, g), len(marked) - 1)] == g)
+    if not len(hits):
+        return []
+    cut = np.flatnonzero(np.diff(hits) > GRAM)  # runs that touch are one
+    return list(zip(hits[np.append(0, cut + 1)].tolist(), (hits[np.append(cut, len(hits) - 1)] + GRAM).tolist(), strict=True))
+
+
+def _without(content: bytes, marked: np.ndarray) -> bytes:
+    """A dictionary's content without its marked strings."""
+    out, at = [], 0
+    for a, b in _runs(content, marked):
+        out.append(content[at:a])
+        at = b
+    return b"".join([*out, content[at:]])
 
 
 def _different(texts: list[bytes]) -> list[bytes]:
@@ -220,8 +220,21 @@ def _different(texts: list[bytes]) -> list[bytes]:
 
 
 def _dictionaries(toxic: list[bytes], ordinary: list[bytes]) -> tuple[bytes, bytes]:
-    shared = _train([t[int(s) : int(s) + WINDOW] for t in ordinary for s in window_offsets(len(t))[::TRAIN_STEP]], SHARED_BYTES)
-    return shared + _cover(_distinctive(toxic, ordinary), OWN_BYTES), shared + _cover(_distinctive(ordinary, toxic), OWN_BYTES)
+    marked = _distinctive(toxic, ordinary)
+    shared = _without(_train([t[int(s) : int(s) + WINDOW] for t in ordinary for s in window_offsets(len(t))[::TRAIN_STEP]], SHARED_BYTES), marked)
+    strings = [t[a:b] for t in toxic for a, b in _runs(t, marked)]
+    own = _train([b"".join(strings[i : i + TOGETHER]) for i in range(0, len(strings), TOGETHER)], OWN_BYTES)
+    return shared + own, shared + FILLER * len(own)
+
+
+def _threshold(logits: np.ndarray, y: np.ndarray, prior: float) -> float:
+    """The bound with the best balance of precision and recall (F1) where a share `prior` is toxic, but none that more than WRONG of the ordinary rows pass."""
+    order = np.argsort(-logits, kind="stable")
+    caught = np.cumsum(y[order]) / y.sum() * prior
+    wrong = np.cumsum(1 - y[order]) / (1 - y).sum() * (1 - prior)
+    best = int(np.argmax(2 * caught / (caught + wrong + prior)))
+    below = logits[order[min(best + 1, len(order) - 1)]]
+    return float(max((logits[order[best]] + below) / 2, np.quantile(logits[y == 0], 1 - WRONG)))
 
 
 def fit(toxic: list[bytes], ordinary: list[bytes], prior: float) -> ToxicityModel:
@@ -242,7 +255,7 @@ def fit(toxic: list[bytes], ordinary: list[bytes], prior: float) -> ToxicityMode
     x = np.array([_features(g, rates) for side in held for g in side])
     y = np.array([1.0] * len(held[0]) + [0.0] * len(held[1]))
     w = _logistic(x, y)
-    w[0] += math.log(prior / (1 - prior)) - math.log(y.mean() / (1 - y.mean()))
+    w[0] -= _threshold(x @ w, y, prior)
     return ToxicityModel(*_dictionaries(toxic, ordinary), rates, tuple(map(float, w)))
 
 
@@ -264,16 +277,10 @@ def fit_from_labels(docs: DataFrame, labels: DataFrame, keep: Column | None = No
     for y in (0, 1):
         part = known.where(F.col("toxic") == y).orderBy(*order).limit(FIT_ROWS)
         picked = part if picked is None else picked.unionByName(part)
-    raw = F.encode("text", "UTF-8")
-    start = F.pmod(F.xxhash64("doc_id"), F.greatest(F.lit(1), F.octet_length("text") - FIT_BYTES)).cast("int") + 1
-    rows = (
-        docs.where(F.col("text").isNotNull())
-        .join(F.broadcast(picked), "doc_id")  # at most 2 * FIT_ROWS ids
-        .select("doc_id", "toxic", raw.substr(start, F.lit(FIT_BYTES)).alias("part"))
-        .dropDuplicates(["doc_id"])
-        .toArrow()
-        .sort_by("doc_id")
-    )
+    rows = docs.where(F.col("text").isNotNull()).select("doc_id", F.encode("text", "UTF-8").alias("part")).join(F.broadcast(picked), "doc_id")  # at most 2 * FIT_ROWS ids
+    rows = rows.dropDuplicates(["doc_id"])
+    so_far = F.sum(F.length("part").cast("bigint")).over(Window.partitionBy("toxic").orderBy(*order))  # of at most FIT_ROWS rows a class
+    rows = rows.withColumn("bytes", so_far).where(F.col("bytes") <= FIT_BYTES).select("doc_id", "toxic", "part").toArrow().sort_by("doc_id")
     texts = ([], [])
     for y, part in zip(rows["toxic"].to_pylist(), rows["part"].to_pylist(), strict=True):
         texts[y].append(part)
@@ -302,5 +309,5 @@ def scorer(spark: SparkSession, model: ToxicityModel | None) -> Callable[[Column
 
 
 def score_documents(docs: DataFrame, model: ToxicityModel | None, text: str = "text", into: str = "toxicity") -> DataFrame:
-    """docs with a column of toxicity scores."""
-    return docs.withColumn(into, scorer(docs.sparkSession, model)(F.col(text)))
+    """docs with a column of toxicity scores behind the others, named into, or that with underscores where docs has such a column."""
+    return docs.withColumn(unused(into, docs.columns), scorer(docs.sparkSession, model)(F.col(text)))

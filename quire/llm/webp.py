@@ -30,6 +30,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quire.llm.common import unused
+
 ROW = 192  # bytes of a payload are a multiple of this, and an image's width
 MOST_ROWS = 16_384  # of an image
 LEAST_COPY, MOST_COPY, FARTHEST = 24, 4096, 65_536 - 120
@@ -808,5 +810,5 @@ def pixels(media: Column) -> Column:
 
 
 def store(docs: DataFrame, text: str = "text", into: str = "image") -> DataFrame:
-    """docs with a column struct<media, n_bytes>."""
-    return docs.withColumn(into, stored(F.col(text)))
+    """docs with a column struct<media, n_bytes>, named into, or that with underscores where docs has such a column."""
+    return docs.withColumn(unused(into, docs.columns), stored(F.col(text)))

@@ -15,7 +15,7 @@ moving them. One block is the usual case; with more, the spans found with each
 are merged for each document.
 
 Cases: null and wordless texts have no words and no hits; wordless items are ignored;
-equal items are each counted; repeated rows give repeated results; very long texts are done
+equal items are each counted; windows of equal words are ties, and all their items are named; extra columns stay as they are; repeated rows give repeated results; very long texts are done
 in pieces that overlap by a window less one word; an empty benchmark hits nothing.
 """
 
@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm.common import chunks
+from quire.llm.common import chunks, unused
 
 WINDOW, GRAM = 10, 5
 SPAN = WINDOW - GRAM + 1  # k-grams in a window
@@ -101,36 +101,45 @@ def clean(text: str | None) -> bytes:
 
 @dataclass
 class Index:
-    """The windows of a block of items: fingerprints, then by length the window hashes, their words and items."""
+    """The windows of a block of items as arrays: the fingerprints, and by length of windows their sorted hashes, items and places in the joined texts."""
 
     fingerprints: np.ndarray
     hashes: dict[int, np.ndarray]
-    windows: dict[int, dict[int, dict[bytes, set[int]]]]
+    items: dict[int, np.ndarray]
+    places: dict[int, tuple[np.ndarray, np.ndarray]]  # first byte and the byte behind
+    text: bytes
     names: list = field(default_factory=list)
 
+    def holding(self, size: int, h: int, words: bytes) -> set[int]:
+        """The items that hold a window with this hash and these words."""
+        a, b = np.searchsorted(self.hashes[size], np.array([h], np.uint64), "left")[0], np.searchsorted(self.hashes[size], np.array([h], np.uint64), "right")[0]
+        begin, end = self.places[size]
+        return {int(self.items[size][i]) for i in range(a, b) if self.text[begin[i] : end[i]] == words}
+
 
 def index(items: list[tuple[object, str | None]]) -> Index:
-    found: dict[int, dict[int, dict[bytes, set[int]]]] = {}
-    prints, names = [], []
+    found: dict[int, list[tuple[np.ndarray, ...]]] = {}
+    prints, names, texts, at = [], [], [], 0
     for number, (name, text) in enumerate(items):
         names.append(name)
-        data = clean(text)
+        data = b" ".join(clean(text).split())
         starts, ends, h = word_hashes(data)
         if not len(h):
             continue
         size = min(WINDOW, len(h))
         if size == WINDOW:
             prints.append(winnow(grams(h, GRAM), SPAN))
-        of = found.setdefault(size, {})
-        for i, x in enumerate(grams(h, size).tolist()):
-            words = b" ".join(data[int(starts[i]) : int(ends[i + size - 1])].split())
-            of.setdefault(x, {}).setdefault(words, set()).add(number)
-    return Index(
-        np.unique(np.concatenate(prints)) if prints else np.zeros(0, np.uint64),
-        {k: np.array(sorted(v), np.uint64) for k, v in found.items()},
-        found,
-        names,
-    )
+        g = grams(h, size)
+        _, first = np.unique(g, return_index=True)  # an item's window once
+        found.setdefault(size, []).append((g[first], np.full(len(first), number, np.int32), starts[first] + at, ends[first + size - 1] + at))
+        texts.append(data)
+        at += len(data)
+    hashes, numbers, places = {}, {}, {}
+    for size, parts in found.items():
+        h, number, begin, end = (np.concatenate(x) for x in zip(*parts, strict=True))
+        order = np.argsort(h, kind="stable")
+        hashes[size], numbers[size], places[size] = h[order], number[order], (begin[order].astype(np.int32), end[order].astype(np.int32))
+    return Index(np.unique(np.concatenate(prints)) if prints else np.zeros(0, np.uint64), hashes, numbers, places, b"".join(texts), names)
 
 
 def _in(values: np.ndarray, sorted_: np.ndarray) -> np.ndarray:
@@ -181,7 +190,7 @@ class Matcher:
             for i in at.tolist():
                 whole = int(grams(h[i : i + size], size)[0])
                 words = b" ".join(data[int(starts[i]) : int(ends[i + size - 1])].split())
-                hit = self.of.windows[size].get(whole, {}).get(words)
+                hit = self.of.holding(size, whole, words)
                 if hit:
                     spans.append((i, size))
                     items |= hit
@@ -273,11 +282,11 @@ def matcher(spark: SparkSession, items: list[tuple[object, str | None]]) -> Call
 
 
 def find(docs: DataFrame, benchmark: DataFrame, text: str = "text", into: str = "leak") -> DataFrame:
-    """docs with a struct column: n_words, n_hit, items (ids as strings, sorted) and spans of benchmark windows.
+    """docs with a struct column (into; with underscores where docs has a column of that name): n_words, n_hit, items (ids as strings, sorted) and spans of benchmark windows.
 
     docs may have any columns; benchmark has item_id and text.
     """
-    out = None
+    out, into = None, unused(into, docs.columns)
     for number, block in enumerate(_blocks(benchmark)):
         column = matcher(docs.sparkSession, block)(F.col(text))
         out = docs.withColumn(into, column) if number == 0 else out.withColumn(into, _merged(F.col(into), column))

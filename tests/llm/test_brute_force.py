@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import math
+import pickle
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -12,12 +14,13 @@ import numpy as np
 import public_tokenizers
 import pytest
 import xxhash
+import zstandard
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from quire.llm import common, langid, packing, quality, simhash, suffixtree, toxicity, warc, webp, winnow
+from quire.llm import common, langid, packing, quality, simhash, toxicity, warc, webp, winnow
 from quire.llm.queries import ORACLE_SQL, QUERIES
 
 SF = "/root/testdata/sf0.001"
@@ -238,6 +241,42 @@ def test_toxicity_held_out(spark):
     assert np.mean([a > b for a in score[1] for b in score[0]]) > 0.6
 
 
+def test_toxicity_recall(spark):
+    """Held-out rows of the larger table, of which some 450 toxic ones are labelled."""
+    labels = {r["doc_id"]: r["toxic"] for r in spark.read.parquet("/root/testdata/sf0.1/labels.parquet").collect()}
+    out = QUERIES["op1_toxicity"](spark, "/root/testdata/sf0.1").where("held_out").collect()
+    marked = [labels.get(r["doc_id"]) for r in out if r["predicted"] and r["doc_id"] in labels]
+    toxic = sum(labels.get(r["doc_id"]) == 1 for r in out)
+    assert sum(marked) > 0.7 * toxic and sum(marked) > 0.88 * len(marked)
+
+
+def test_toxicity_scores(spark):
+    """The scores of a fitted model, window by window, with a compressor of its own for each."""
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choices("etaoinshr", k=rng.randint(2, 7)))
+    prose = lambda n: " ".join(word() for _ in range(n))
+    ordinary = [prose(60).encode() for _ in range(200)]
+    toxic = [f"{prose(20)} wretched gorgon {prose(20)} vile wretched muckraker {prose(9)}".encode() for _ in range(60)]
+    model = toxicity.fit(toxic, ordinary, 0.2)
+    params = zstandard.ZstdCompressionParameters(**toxicity.SEARCH, write_content_size=False, write_checksum=False, write_dict_id=False)
+    compressed = lambda content, window: len(
+        zstandard.ZstdCompressor(compression_params=params, dict_data=zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)).compress(window)
+    )
+    texts = [*(t.decode() for t in toxic[:3] + ordinary[:3]), prose(30), f"{prose(30)} you wretched gorgon {prose(30)} vile muckraker, wretched", "short", "", None, "é" * 45]
+    want = []
+    for t in texts:
+        raw = (t or "").encode()
+        starts = sorted({*range(0, max(1, len(raw) - toxicity.WINDOW + 1), toxicity.STEP), max(0, len(raw) - toxicity.WINDOW)}) if raw else []
+        gains = sorted((compressed(model.ordinary, w) - compressed(model.toxic, w) for w in (raw[s : s + toxicity.WINDOW] for s in starts)), reverse=True)
+        n, top = len(gains), [max(0, g) for g in (gains + [0, 0, 0])[:3]]
+        surplus = [math.asinh((sum(g >= level for g in gains) - n * rate) / math.sqrt(n * rate + 0.25)) if n else 0 for level, rate in zip(toxicity.LEVELS, model.rates, strict=True)]
+        x = [1, top[0] / 4, (top[1] + top[2]) / 8, *surplus, math.log1p(n) / 2]
+        want.append(1 / (1 + math.exp(-max(-30, min(30, sum(a * b for a, b in zip(x, model.weights, strict=True)))))))
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    got = [r["toxicity"] for r in toxicity.score_documents(table, model).orderBy("doc_id").collect()]
+    assert np.allclose(got, want, atol=1e-9) and min(got[:3]) > 0.5 > max(got[3:7])
+
+
 def test_window_offsets_cover_texts():
     for n in (0, 1, 39, 40, 41, 60, 61, 1000):
         seen = set()
@@ -246,6 +285,81 @@ def test_window_offsets_cover_texts():
         assert seen == set(range(n))
 
 
+def _plain_grams(t: str) -> Counter:
+    runs = re.findall(r"[^\W\d_]+", t.lower())
+    own = " " + " ".join(runs) + (" " if runs else "")
+    return Counter(own[i : i + 4] for i in range(len(own) - 3))
+
+
+def test_language_scores():
+    """Members, chance hits, counts and scores against sets of strings; the filters may only add what chance explains."""
+    samples = {"aa": ["the cat and the dog and the hat"] * 3, "bb": ["die katze und der hund und der hut"] * 3, "cc": ["le chat et le chien et le chapeau"] * 3}
+    model = langid.fit(samples, "aa")
+    counts = {k: sum((_plain_grams(t) for t in v), Counter()) for k, v in samples.items()}
+    rate = {k: {g: n / sum(c.values()) for g, n in c.items()} for k, c in counts.items()}
+    most = {g: max(r.get(g, 0) for r in rate.values()) for r in rate.values() for g in r}
+    members = {k: {g for g, n in c.items() if n >= langid.LEAST and rate[k][g] >= langid.RATE * most[g]} for k, c in counts.items()}
+    for text in ("the dog", "der hund und die katze", "le chien, et le chat!", "the hund et le cat", "zzzz qqqq", "Katze"):
+        own = _plain_grams(text)
+        n = sum(own.values())
+        g, begins = langid.grams([text])
+        hits = model.hits(g, begins)[0]
+        exact = [sum(m for x, m in own.items() if x in members[k]) for k in model.languages]
+        assert len(g) == n and all(h >= e for h, e in zip(hits, exact, strict=True)) and sum(hits) - sum(exact) <= 2
+        corrected = [max(0, (h - n * c) / (1 - c)) for h, c in zip(hits, model.chance, strict=True)]
+        best = max(range(3), key=lambda i: (corrected[i], -i))
+        second = max(x for i, x in enumerate(corrected) if i != best)
+        score = math.sqrt(min(1, corrected[best] / n) * corrected[best] / max(corrected[best] + second, 1e-9))
+        names, scores = langid.identify([text], model)
+        assert names == [model.languages[best]] and abs(scores[0] - score) < 1e-9
+
+
+def test_language_of_pieces(monkeypatch):
+    model = langid.fit({"aa": ["the cat and the dog"] * 3, "bb": ["die katze und der hund"] * 3}, "aa")
+    texts = ["the dog, and " * 40 + "die katze", "ß" * 300, "1234 " * 90 + "der", "the " + "…" * 200 + "hund"]
+    whole = langid.identify(texts, model)
+    for piece in (64, 17, 5):
+        monkeypatch.setattr(langid, "PIECE", piece)
+        monkeypatch.setattr(langid.long_grams, "__defaults__", (piece,))
+        cut = langid.identify(texts, model)
+        assert cut[0] == whole[0] and np.allclose(cut[1], whole[1])
+
+
+def test_filters_hold_chance():
+    """Of strings that were never put in, a language's filter holds about as many as its chance says."""
+    rng = random.Random(5)
+    texts = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=60_000))] * 3
+    model = langid.fit({"aa": texts}, "aa")
+    other = "".join(rng.choices("αβγδεζηθικλμνξοπρστυφχψω", k=60_000))
+    g, begins = langid.grams([other])
+    assert abs(model.hits(g, begins)[0][0] / len(g) - model.chance[0]) < 0.1 * model.chance[0] + 0.001
+
+
+def test_names_that_are_taken(spark):
+    """Columns of the caller stay as they are; the result's own name gets underscores."""
+    docs = spark.createDataFrame([(1, "ten words of a benchmark item that stand here too", "mine")], "doc_id bigint, text string, leak string")
+    items = docs.select(F.col("doc_id").alias("item_id"), "text")
+    r = winnow.find(docs, items).first()
+    assert r["leak"] == "mine" and r["leak_"]["n_hit"] == 10 and r["leak_"]["items"] == ["1"]
+    r = toxicity.score_documents(docs.withColumnRenamed("leak", "TOXICITY"), None).first()
+    assert r["TOXICITY"] == "mine" and r["toxicity_"] == 0
+    r = webp.store(docs.withColumnRenamed("leak", "image")).first()
+    assert r["image"] == "mine" and r["image_"]["n_bytes"] == 49
+
+
+def test_index_of_a_whole_block():
+    """Sixteen megabytes of benchmark take far less than a gigabyte."""
+    rng = np.random.RandomState(0)
+    words = np.array(["".join(rng.choice(list("abcdefghij"), 5)) for _ in range(20_000)])
+    items = [(i, " ".join(words[rng.randint(0, 20_000, 200)])) for i in range(3_000)]
+    size = sum(len(t) for _, t in items)
+    tracemalloc.start()
+    found = winnow.index(items)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(pickle.dumps(found)) < 8 * size and peak * winnow.BLOCK / size < 1 << 30
+
+
 def test_language_held_out(spark):
     docs = {r["doc_id"]: r["lang"] for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()}
     out = [r for r in QUERIES["op2_language_id"](spark, "/root/testdata/sf0.01").collect() if r["held_out"]]
