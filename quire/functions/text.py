@@ -63,8 +63,8 @@ def tokens(text: Column) -> Column:
 
 def longest_run(text: Column) -> Column:
     """The length of the longest run of one character; 0 for the empty text."""
-    runs = F.regexp_extract_all(text, F.lit(r"(?s)((.)\2*)"), F.lit(1))
-    return F.coalesce(F.array_max(F.transform(runs, F.char_length)), F.lit(0))
+    runs = F.regexp_extract_all(text, F.lit(r"(?s)((.)\2+)"), F.lit(1))  # most characters stand alone: only longer runs become strings
+    return F.coalesce(F.array_max(F.transform(runs, F.char_length)), F.least(F.lit(1), F.char_length(text)), F.lit(0))
 
 
 def quality(text: Column) -> Column:

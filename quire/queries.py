@@ -317,6 +317,7 @@ def page_prefaces(spark, sf_dir):
 
 #: A page's regions: six fields in two columns, and a strip over the left one.
 _BOXES = [(i, (i % 2) * 0.5 + 0.02, (i // 2) * 0.33 + 0.01, (i % 2) * 0.5 + 0.46, (i // 2) * 0.33 + 0.30, "text") for i in range(6)] + [(6, 0.0, 0.0, 0.5, 0.2, "title")]
+SPREAD = 8  # salts of a word in best_passages
 _WIDTH, _HEIGHT = 1600.0, 480.0
 _SQL_BOXES = "bx(region_no, x0, y0, x1, y1, label) AS (VALUES " + ", ".join(f"({i}, {a!r}::DOUBLE, {b!r}::DOUBLE, {c!r}::DOUBLE, {d!r}::DOUBLE, '{t}')" for i, a, b, c, d, t in _BOXES) + ")"
 
@@ -333,13 +334,14 @@ def _regions(spark: SparkSession, words: DataFrame) -> DataFrame:
 @query(
     f"""WITH {SQL_WORDS}, {_SQL_BOXES},
   sp AS (SELECT *, line_no * 100000 + word_no AS span_no, x0 / {_WIDTH} AS a, y0 / {_HEIGHT} AS b, x1 / {_WIDTH} AS c, y1 / {_HEIGHT} AS d FROM words),
-  j AS (SELECT sp.doc_id, sp.page_number, span_no, region_no, bx.label, bx.y0 AS by0, bx.x0 AS bx0, bx.y1 AS by1, bx.x1 AS bx1, (bx.x1 - bx.x0) * (bx.y1 - bx.y0) AS area,
+  places AS (SELECT DISTINCT a, b, c, d FROM sp),
+  j AS (SELECT a, b, c, d, region_no, bx.label, bx.y0 AS by0, bx.x0 AS bx0, bx.y1 AS by1, bx.x1 AS bx1, (bx.x1 - bx.x0) * (bx.y1 - bx.y0) AS area,
                (a + c) / 2 BETWEEN bx.x0 AND bx.x1 AND (b + d) / 2 BETWEEN bx.y0 AND bx.y1 AS inside,
                greatest(0, least(c, bx.x1) - greatest(a, bx.x0)) * greatest(0, least(d, bx.y1) - greatest(b, bx.y0)) / greatest(1e-6, (c - a) * (d - b)) AS covered
-        FROM sp, bx),
-  k AS (SELECT *, row_number() OVER (PARTITION BY doc_id, page_number, span_no ORDER BY inside DESC, CASE WHEN inside THEN 0 ELSE -round(covered, 9) END, area, by0, bx0, by1, bx1, label) AS r
-        FROM j WHERE inside OR covered >= 0.05)
-SELECT sp.doc_id, sp.page_number, sp.span_no::INT AS span_no, k.region_no FROM sp LEFT JOIN k ON k.doc_id = sp.doc_id AND k.page_number = sp.page_number AND k.span_no = sp.span_no AND k.r = 1"""
+        FROM places, bx),
+  k AS (SELECT a, b, c, d, arg_min(region_no, ROW(NOT inside, CASE WHEN inside THEN 0 ELSE -round(covered, 9) END, area, by0, bx0, by1, bx1, label)) AS region_no
+        FROM j WHERE inside OR covered >= 0.05 GROUP BY a, b, c, d)
+SELECT doc_id, page_number, span_no::INT AS span_no, region_no FROM sp LEFT JOIN k USING (a, b, c, d)"""
 )
 def region_assignment(spark, sf_dir):
     words = _words(spark, sf_dir).withColumn("span_no", F.col("line_no") * 100000 + F.col("word_no"))
@@ -566,13 +568,12 @@ def job_progress(spark, sf_dir):
 
 
 @query(
-    """WITH k AS (SELECT DISTINCT conv_id AS doc_id, turn + 1 AS page_number, text AS html FROM conversations WHERE (conv_id + turn) % 9 <> 5),
+    """WITH k AS (SELECT DISTINCT conv_id AS doc_id, turn + 1 AS page_number, text AS html FROM conversations),
 p AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY page_number) AS place FROM k)
 SELECT doc_id, page_number::INT AS page_number, (place - 1)::INT AS position, html FROM p WHERE place = page_number"""
 )
 def ordered_pages(spark, sf_dir):
-    pages = _t(spark, sf_dir, "conversations").where("(conv_id + turn) % 9 <> 5")
-    return E.in_order_batch(pages.select(F.col("conv_id").alias("doc_id"), (F.col("turn") + 1).cast("int").alias("page_number"), F.col("text").alias("html")))
+    return E.in_order_batch(_t(spark, sf_dir, "conversations").select(F.col("conv_id").alias("doc_id"), (F.col("turn") + 1).cast("int").alias("page_number"), F.col("text").alias("html")))
 
 
 @query(
@@ -641,13 +642,20 @@ def converted_documents(spark, sf_dir):
 
 @query()
 def best_passages(spark, sf_dir):
-    """For each benchmark item the page text, of those that share most of its words, that is most like it."""
-    items = _t(spark, sf_dir, "benchmark").where("text IS NOT NULL").select("item_id", F.col("text").alias("item"), F.explode(F.array_distinct(T.tokens(F.lower("text")))).alias("token"))
+    """For each benchmark item the line of a page, of those that share most of its distinct words (of equals the first), that is most like it; none where no word is shared.
+
+    A word's lines are split by SPREAD salts and the items' words copied to each, so that no word's meetings fall to one task; counts are added before rows move.
+    """
+    items = _t(spark, sf_dir, "benchmark").where("text IS NOT NULL").select("item_id", F.col("text").alias("item"))
     lines = P.lines(_t(spark, sf_dir, "documents").where("text IS NOT NULL")).where("line <> ''")
-    tokens = lines.select("doc_id", "line_no", F.explode(F.array_distinct(T.tokens(F.lower("line")))).alias("token")).where(F.char_length("token") > 5)
-    shared = items.where(F.char_length("token") > 5).join(tokens, "token").groupBy("item_id", "doc_id", "line_no").agg(F.count("*").alias("n"))
-    best = shared.groupBy("item_id").agg(F.max_by(F.struct("doc_id", "line_no", "n"), F.struct("n", -F.col("doc_id"), -F.col("line_no"))).alias("b")).select("item_id", "b.*")
-    both = best.join(lines.select("doc_id", "line_no", "line"), ["doc_id", "line_no"]).join(items.select("item_id", "item").distinct(), "item_id")
+    words_of = lambda text: F.explode(F.array_distinct(T.tokens(F.lower(text)))).alias("token")
+    salt = F.pmod(F.xxhash64("line"), F.lit(SPREAD)).cast("int").alias("salt")
+    # equal lines are one: their first place stands for all
+    once = lines.groupBy("line").agg(F.min(F.struct("doc_id", "line_no")).alias("place"))
+    asked = items.select("item_id", words_of("item")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1))))
+    meet = once.select("place", salt, words_of("line")).join(asked, ["token", "salt"]).groupBy("item_id", "place").agg(F.count("*").alias("n"))
+    best = meet.groupBy("item_id").agg(F.min(F.struct((-F.col("n")).alias("less"), "place")).alias("b")).select("item_id", "b.place.doc_id", "b.place.line_no", (-F.col("b.less")).alias("n"))
+    both = items.join(best, "item_id", "left").join(lines.select("doc_id", "line_no", "line"), ["doc_id", "line_no"], "left")
     return both.select("item_id", "doc_id", "line_no", "n", X.similarity(F.col("item"), F.col("line")).alias("similarity"))
 
 
