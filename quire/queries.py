@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quire.config import EngineConfig
@@ -600,9 +600,27 @@ def page_grids(spark, sf_dir):
     return G.grids(pages, 3).select("doc_id", "page_number", "columns", "grid.reason", "grid.confidence", "grid.collisions", "grid.groups", F.size("grid.rows").alias("n_rows"))
 
 
-@query()
+def _item_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The line items of each part as printed tables of five aligned columns, twenty rows a page."""
+    own = [F.col(c).cast(t).cast("string") for c, t in (("l_orderkey", "bigint"), ("l_suppkey", "bigint"), ("l_quantity", "int"), ("l_returnflag", "string"), ("l_linestatus", "string"))]
+    place = F.row_number().over(Window.partitionBy("l_partkey").orderBy("l_orderkey", "l_linenumber", "l_suppkey", "l_quantity", "l_returnflag", "l_linestatus")) - 1
+    placed = _t(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("doc_id"), place.alias("place"), F.array(*own).alias("own"))
+    rows = placed.select("doc_id", "place", F.posexplode("own").alias("column", "text"))
+    x0, y0 = (40 + 160 * F.col("column")).cast("double"), (12 * (F.col("place") % 20)).cast("double")
+    return rows.select(
+        "doc_id", (F.expr("place div 20") + 1).cast("int").alias("page_number"), x0.alias("x0"), y0.alias("y0"), (x0 + 6 * F.char_length("text")).alias("x1"), (y0 + 10).alias("y1"), "text"
+    )
+
+
+@query(
+    """WITH r AS (SELECT l_partkey AS doc_id, row_number() OVER (PARTITION BY l_partkey ORDER BY l_orderkey, l_linenumber, l_suppkey, l_quantity, l_returnflag, l_linestatus) - 1 AS place,
+                   [l_orderkey::BIGINT::VARCHAR, l_suppkey::BIGINT::VARCHAR, l_quantity::INT::VARCHAR, l_returnflag, l_linestatus] AS own FROM lineitem),
+  p AS (SELECT doc_id, (place // 20 + 1)::INT AS page_number, (place % 20)::INT AS row, own FROM r),
+  big AS (SELECT doc_id, page_number FROM p GROUP BY ALL HAVING count(*) >= 8)
+SELECT doc_id, page_number, row, (k - 1)::INT AS col, own[k] AS text, 1 AS colspan, 1 AS rowspan FROM p JOIN big USING (doc_id, page_number), range(1, 6) AS n(k)"""
+)
 def page_tables(spark, sf_dir):
-    found = P.page_words(_words(spark, sf_dir)).withColumn("grid", G.page_table(F.col("words"))).where("grid IS NOT NULL")
+    found = P.page_words(_item_words(spark, sf_dir)).withColumn("grid", G.page_table(F.col("words"))).where("grid IS NOT NULL")
     return G.cells(found)
 
 
