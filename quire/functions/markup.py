@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -298,9 +298,12 @@ def saved_name(name: Column, fallback: str, suffix: str | None = None) -> Column
     return F.when(F.lower(own).endswith(end), own).otherwise(F.concat(stem, F.lit(end)))
 
 
-def numbered_names(rows: DataFrame, folder: str = "folder", name: str = "name", into: str = "unique_name") -> DataFrame:
-    """rows with names that differ within their folder: the second of a name is `stem (1).suffix`, and so on."""
-    place = F.row_number().over(Window.partitionBy(folder, name).orderBy(F.monotonically_increasing_id())) - 1
+def numbered_names(rows: DataFrame, folder: str = "folder", name: str = "name", into: str = "unique_name", order: Sequence[str] = ()) -> DataFrame:
+    """rows with names that differ within their folder: the second of a name is `stem (1).suffix`, and so on.
+
+    The first is the least by the columns `order`, by default all: a run that is repeated numbers them as before, and rows that tie are equal.
+    """
+    place = F.row_number().over(Window.partitionBy(folder, name).orderBy(*(order or rows.columns))) - 1
     stem, end = F.regexp_replace(name, r"(?<=.)\.[^.]+$", ""), F.regexp_extract(name, r"(?<=.)(\.[^.]+)$", 1)
     number = F.concat(stem, F.lit(" ("), F.col("_place").cast("string"), F.lit(")"), end)
     return rows.withColumn("_place", place).withColumn(into, F.when(F.col("_place") == 0, F.col(name)).otherwise(number)).drop("_place")

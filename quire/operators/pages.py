@@ -12,6 +12,7 @@ from quire.functions import text as T
 from quire.operators.udf import dealt
 
 LINES_A_PAGE, CHAR_WIDTH, LINE_PITCH, LINE_HEIGHT = 40, 6, 12, 10
+BLOCK = 32  # words of a line that are placed together
 
 
 def lines(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -20,16 +21,29 @@ def lines(docs: DataFrame, text: str = "text") -> DataFrame:
     return rows.select("doc_id", (F.expr(f"line_no div {LINES_A_PAGE}") + 1).cast("int").alias("page_number"), "line_no", "line")
 
 
+def _starts(sizes: Column) -> Column:
+    """The sums of an array's sizes before each."""
+    begin = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("places"))
+    return F.aggregate(sizes, begin, lambda s, n: F.struct((s["at"] + n).alias("at"), F.concat(s["places"], F.array(s["at"])).alias("places")))["places"]
+
+
 def words(lines: DataFrame) -> DataFrame:
-    """Words of lines set in a fixed pitch: doc_id, page_number, line_no, word_no, x0, y0, x1, y1, text."""
-    parts = lines.select("doc_id", "page_number", "line_no", F.posexplode(F.split("line", " ")).alias("word_no", "text"))
-    before = Window.partitionBy("doc_id", "page_number", "line_no").orderBy("word_no").rowsBetween(Window.unboundedPreceding, -1)
-    x0 = CHAR_WIDTH * F.coalesce(F.sum(F.char_length("text") + 1).over(before), F.lit(0)).cast("double")
-    y0 = LINE_PITCH * (F.col("line_no") % LINES_A_PAGE).cast("double")
-    rows = parts.withColumn("x0", x0).where("text <> ''")
-    return rows.select(
-        "doc_id", "page_number", "line_no", "word_no", "x0", y0.alias("y0"),
-        (F.col("x0") + CHAR_WIDTH * F.char_length("text")).alias("x1"), (y0 + LINE_HEIGHT).alias("y1"), "text",
+    """Words of lines set in a fixed pitch: doc_id, page_number, line_no, word_no, x0, y0, x1, y1, text.
+
+    Words are placed where their line lies, without a shuffle: a line is cut into runs of BLOCK words, whose places are sums, and a word's
+    place in its run is the length of what stands before it.
+    """
+    parts = lines.select("doc_id", "page_number", "line_no", F.split("line", " ").alias("parts"))
+    run = lambda i: F.array_join(F.slice("parts", i, BLOCK), " ")
+    runs = parts.select("doc_id", "page_number", "line_no", F.transform(F.sequence(F.lit(1), F.size("parts"), F.lit(BLOCK)), run).alias("runs"))
+    starts = _starts(F.transform("runs", lambda r: F.char_length(r) + 1))
+    one = runs.select("doc_id", "page_number", "line_no", F.posexplode(F.arrays_zip(F.col("runs").alias("run"), starts.alias("at"))).alias("run_no", "r"))
+    each = one.select("doc_id", "page_number", "line_no", "run_no", "r.run", "r.at", F.posexplode(F.split("r.run", " ")).alias("no", "text")).where("text <> ''")
+    before = F.when(F.col("no") == 0, 0).otherwise(F.char_length(F.expr("substring_index(run, ' ', no)")) + 1)
+    x0, y0 = CHAR_WIDTH * (F.col("at") + before).cast("double"), LINE_PITCH * (F.col("line_no") % LINES_A_PAGE).cast("double")
+    return each.select(
+        "doc_id", "page_number", "line_no", (F.col("run_no") * BLOCK + F.col("no")).alias("word_no"), x0.alias("x0"), y0.alias("y0"),
+        (x0 + CHAR_WIDTH * F.char_length("text")).alias("x1"), (y0 + LINE_HEIGHT).alias("y1"), "text",
     )
 
 

@@ -14,6 +14,7 @@ from quire.operators import layout as L
 from quire.operators import pages as P
 from quire.operators import tables as G
 from quire.operators import transcripts as X
+from quire.operators.udf import dealt
 from quire.plans import convert as C
 from quire.streaming import emission as E
 
@@ -105,8 +106,14 @@ SQL_LIKELY = f"""{SQL_WORDS},
     FROM tot JOIN al USING (doc_id, page_number))"""
 
 
+def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with text; a file of fewer parts than there are cores is dealt, as lines and words are made where their text lies."""
+    docs = _t(spark, sf_dir, "documents").select("doc_id", "text").where("text IS NOT NULL")
+    return dealt(docs, "doc_id") if docs.rdd.getNumPartitions() < spark.sparkContext.defaultParallelism else docs
+
+
 def _words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return P.words(P.lines(_t(spark, sf_dir, "documents")))
+    return P.words(P.lines(_documents(spark, sf_dir)))
 
 
 def _turns(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -231,7 +238,7 @@ def page_numbers(spark, sf_dir):
 
 @query(f"WITH {SQL_LINES} SELECT doc_id, page_number, line_no, line FROM ln")
 def page_lines(spark, sf_dir):
-    return P.lines(_t(spark, sf_dir, "documents").where("text IS NOT NULL"))
+    return P.lines(_documents(spark, sf_dir))
 
 
 @query(f"WITH {SQL_WORDS} SELECT * FROM words")
@@ -266,7 +273,7 @@ SELECT doc_id, page_number, md5({sql_norm('text')}) AS digest, len(regexp_extrac
        CASE WHEN likelihood >= 0.65 THEN 'table' WHEN {sql_strip(sql_norm('text'))} <> '' THEN 'text' ELSE 'empty' END AS kind FROM a"""
 )
 def page_analysis(spark, sf_dir):
-    lines = P.lines(_t(spark, sf_dir, "documents").where("text IS NOT NULL"))
+    lines = P.lines(_documents(spark, sf_dir))
     text = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("line_no", "line"))), lambda x: x["line"]), "\n")
     pages = lines.groupBy("doc_id", "page_number").agg(text.alias("text"))
     a = P.analysis(pages, P.table_likelihood(P.words(lines)))
@@ -472,7 +479,7 @@ SELECT doc_id, line_no, length(regexp_extract(line, '^[{S}]{{0,3}}(#{{1,6}})[{S}
 FROM m WHERE regexp_matches(line, '^[{S}]{{0,3}}(#{{1,6}})[{S}]+(.+?)[{S}]*$') AND {sql_strip(f"regexp_extract(line, '^[{S}]{{0,3}}(#{{1,6}})[{S}]+(.+?)[{S}]*$', 2)")} <> ''"""
 )
 def markdown_headings(spark, sf_dir):
-    lines = P.lines(_t(spark, sf_dir, "documents").where("text IS NOT NULL"))
+    lines = P.lines(_documents(spark, sf_dir))
     own = F.concat(F.expr("repeat('#', line_no % 8)"), F.lit(" "), F.col("line"), F.lit(" "))
     return lines.select("doc_id", "line_no", M.heading(own).alias("h")).where("h IS NOT NULL").select("doc_id", "line_no", "h.level", "h.text")
 
@@ -665,7 +672,7 @@ def best_passages(spark, sf_dir):
     A word's lines are split by SPREAD salts and the items' words copied to each, so that no word's meetings fall to one task; counts are added before rows move.
     """
     items = _t(spark, sf_dir, "benchmark").where("text IS NOT NULL").select("item_id", F.col("text").alias("item"))
-    lines = P.lines(_t(spark, sf_dir, "documents").where("text IS NOT NULL")).where("line <> ''")
+    lines = P.lines(_documents(spark, sf_dir)).where("line <> ''")
     words_of = lambda text: F.explode(F.array_distinct(T.tokens(F.lower(text)))).alias("token")
     salt = F.pmod(F.xxhash64("line"), F.lit(SPREAD)).cast("int").alias("salt")
     # equal lines are one: their first place stands for all
