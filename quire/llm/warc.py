@@ -161,10 +161,11 @@ def write(pages: DataFrame, path: str | None = None, least_bytes: int = 0) -> Da
     Of payloads of at least least_bytes, only the one with the smallest page_id is stored in full.
     """
     payload = F.encode(F.coalesce(F.col("html").cast("string"), F.lit("")), "UTF-8")
-    rows = pages.select("page_id", "url", payload.alias("payload"), F.sha1(payload).alias("sha"), F.length(payload).cast("bigint").alias("n"))
-    first = rows.where(F.col("n") >= least_bytes).groupBy("sha").agg(F.min("page_id").alias("first"), F.count("*").alias("copies"))
-    shared = first.where(F.col("copies") > 1).select("sha", "first")
-    whole = rows.join(shared, "sha", "left")
+    same = ["sha", "n", "hash"]  # texts made to share their SHA-1 differ in the other hash
+    rows = pages.select("page_id", "url", payload.alias("payload"), F.sha1(payload).alias("sha"), F.length(payload).cast("bigint").alias("n"), F.xxhash64(payload).alias("hash"))
+    first = rows.where(F.col("n") >= least_bytes).groupBy(*same).agg(F.min("page_id").alias("first"), F.count("*").alias("copies"))
+    shared = first.where(F.col("copies") > 1).select(*same, "first")
+    whole = rows.join(shared, same, "left")
     again = F.coalesce((F.col("n") >= least_bytes) & F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first")), F.lit(False))
     dealt = whole.select("page_id", "url", F.when(~again, F.col("payload")).alias("payload"), "sha", "n", F.when(again, F.col("first")).alias("refers_to"))
 
