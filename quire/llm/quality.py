@@ -7,7 +7,7 @@ smaller weight, from the classifier's view of its unlabelled ones. The posterior
 beta distributions; a path's prior is centred on its host's posterior mean, a host's on the global
 share, and how strongly sparse ones are drawn there is estimated from how much hosts (paths) differ beyond
 chance, by moments. The score is the classifier's odds times how far the site's odds are from the
-global ones.
+global ones; a document's own label or classifier's view doesn't count in the site's odds that it meets.
 
 Sites are counted by grouped aggregation; a site's rows are summed where they are before they meet, and the
 counts, one row a path, come back by a join that Spark may broadcast or split.
@@ -173,12 +173,16 @@ def score(docs: DataFrame, labels: DataFrame, train: Column) -> DataFrame:
     total = hosts.agg(F.sum("n"), F.sum("good")).first()
     centre = (float(total[1]) + 0.5) / (float(total[0]) + 1.0) if total[0] else 0.5
     strength = _strength(hosts, F.lit(centre))
-    hosts = hosts.select("host", ((F.col("good") + strength * centre) / (F.col("n") + strength)).alias("host_share"))
+    share_of = (F.col("good") + strength * centre) / (F.col("n") + strength)
+    hosts = hosts.select("host", F.col("n").alias("host_n"), F.col("good").alias("host_good"), share_of.alias("outer"))
     both = paths.join(hosts, "host")
-    below = _strength(both, F.col("host_share"))
-    both = both.select("host", "path", "host_share", ((F.col("good") + below * F.col("host_share")) / (F.col("n") + below)).alias("path_share"))
+    below = _strength(both, F.col("outer"))
+    # a document's own evidence is taken out of its site's before the two meet
+    own, mark = weight, weight * F.coalesce("quality", p)
+    host = (F.col("host_good") - mark + strength * centre) / (F.col("host_n") - own + strength)
+    path = (F.col("good") - mark + below * F.col("host_share")) / (F.col("n") - own + below)
+    combined = judged.join(both, ["host", "path"]).withColumn("host_share", host).withColumn("path_share", path)
     odds = F.ln(F.col("path_share") / (1 - F.col("path_share"))) - math.log(centre / (1 - centre))
-    combined = judged.join(both, ["host", "path"])
     return combined.select(
         "doc_id", "train", (1 / (1 + F.exp(-(F.col("logit") + odds)))).alias("score"), p.alias("doc_score"), "host_share", "path_share"
     )
