@@ -42,10 +42,7 @@ DAMPED = 12
 CONFIGURATIONS = 8  # for each length, in a plan
 KEPT = (1, 0.95, 0.9, 0.75, 0.5, 0.25, 0)  # shares of the rounded configurations to choose from
 SALTS = 64
-TOGETHER = 256  # texts whose unseen words are asked for in one call
 CACHED = 400_000  # parts whose ids one worker keeps
-MARK = "\u241e"  # stands between words that are asked for together
-_ODD = frozenset("\x1c\x1d\x1e\x1f\u180eΣİ" + MARK)  # white space to Python only, or lower-cased by other rules
 
 
 #: Letters and digits among the characters up to U+00FF, in lower case; other texts are left to the tokenizer as a whole.
