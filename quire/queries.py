@@ -338,8 +338,617 @@ def _regions(spark: SparkSession, words: DataFrame) -> DataFrame:
     return words.select("doc_id", "page_number").distinct().join(F.broadcast(_boxes(spark)))
 
 
+_SQL_ASSIGNED = f"""{SQL_WORDS}, {_SQL_BOXES},
+  sp AS (SELECT *, line_no * 100000 + word_no AS span_no, x0 / {_WIDTH} AS a, y0 / {_HEIGHT} AS b, x1 / {_WIDTH} AS c, y1 / {_HEIGHT} AS d FROM words),
+  places AS (SELECT DISTINCT a, b, c, d FROM sp),
+  j AS (SELECT a, b, c, d, region_no, bx.label, bx.y0 AS by0, bx.x0 AS bx0, bx.y1 AS by1, bx.x1 AS bx1, (bx.x1 - bx.x0) * (bx.y1 - bx.y0) AS area,
+               (a + c) / 2 BETWEEN bx.x0 AND bx.x1 AND (b + d) / 2 BETWEEN bx.y0 AND bx.y1 AS inside,
+               greatest(0, least(c, bx.x1) - greatest(a, bx.x0)) * greatest(0, least(d, bx.y1) - greatest(b, bx.y0)) / greatest(1e-6, (c - a) * (d - b)) AS covered
+        FROM places, bx),
+  k AS (SELECT a, b, c, d, arg_min(region_no, ROW(NOT inside, CASE WHEN inside THEN 0 ELSE -round(covered, 9) END, area, by0, bx0, by1, bx1, label)) AS region_no
+        FROM j WHERE inside OR covered >= 0.05 GROUP BY a, b, c, d)"""
+
+
+@query(f"WITH {_SQL_ASSIGNED} SELECT doc_id, page_number, span_no::INT AS span_no, region_no FROM sp LEFT JOIN k USING (a, b, c, d)")
+def region_assignment(spark, sf_dir):
+    words = _words(spark, sf_dir).withColumn("span_no", F.col("line_no") * 100000 + F.col("word_no"))
+    pages = words.select("doc_id", "page_number").distinct().withColumn("width", F.lit(_WIDTH)).withColumn("height", F.lit(_HEIGHT))
+    return L.assign(words, _regions(spark, words), pages).select("doc_id", "page_number", "span_no", "region_no")
+
+
+_SQL_LINE_BOXES = f"""{SQL_WORDS},
+  rg AS (SELECT doc_id, page_number, line_no AS region_no, min(x0) / {_WIDTH} AS x0, min(y0) / {_HEIGHT} AS y0, max(x1) / {_WIDTH} AS x1, max(y1 - line_no % 3) / {_HEIGHT} AS y1 FROM words GROUP BY ALL)"""
+
+
+def _line_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = F.struct((F.min("x0") / _WIDTH).alias("x0"), (F.min("y0") / _HEIGHT).alias("y0"), (F.max("x1") / _WIDTH).alias("x1"), (F.max(F.col("y1") - F.col("line_no") % 3) / _HEIGHT).alias("y1"))
+    rows = _words(spark, sf_dir).groupBy("doc_id", "page_number", F.col("line_no").alias("region_no")).agg(own.alias("bbox"))
+    return rows.withColumn("label", F.lit("text")).withColumn("reading_order", F.lit(None).cast("int"))
+
+
+@query(
+    f"""WITH {_SQL_LINE_BOXES},
+  e AS (SELECT *, lead(y0) OVER o - max(y1) OVER (PARTITION BY doc_id, page_number ORDER BY y0, y1, x0, x1 ROWS UNBOUNDED PRECEDING) AS gap, row_number() OVER o AS place FROM rg
+        WINDOW o AS (PARTITION BY doc_id, page_number ORDER BY y0, y1, x0, x1)),
+  f AS (SELECT *, row_number() OVER (PARTITION BY doc_id, page_number ORDER BY gap DESC, place) AS r FROM e WHERE gap > 0)
+SELECT doc_id, page_number, round(gap, 12) AS gap, region_no AS after FROM f WHERE r = 1"""
+)
+def widest_cuts(spark, sf_dir):
+    return L.widest_cut(_line_boxes(spark, sf_dir)).withColumn("gap", F.round("gap", 12))
+
+
+@query(
+    f"""WITH {_SQL_LINE_BOXES},
+  m AS (SELECT a.doc_id, a.page_number, a.region_no AS first, b.region_no AS later,
+               greatest(0, least(a.x1, b.x1) - greatest(a.x0, b.x0)) / least(greatest(1e-6, a.x1 - a.x0), greatest(1e-6, b.x1 - b.x0)) AS ox,
+               greatest(0, least(a.y1, b.y1) - greatest(a.y0, b.y0)) / least(greatest(1e-6, a.y1 - a.y0), greatest(1e-6, b.y1 - b.y0)) AS oy,
+               a.x1 <= b.x0 + 0.005 AS lft, a.y1 <= b.y0 + 0.005 AS abv
+        FROM rg a JOIN rg b ON a.doc_id = b.doc_id AND a.page_number = b.page_number AND a.region_no <> b.region_no)
+SELECT doc_id, page_number, first, count(*) AS n, sum(later)::BIGINT AS total FROM m WHERE (ox >= 0.15 AND abv) OR (oy >= 0.15 AND lft) GROUP BY ALL"""
+)
+def precedence_counts(spark, sf_dir):
+    pairs = L.precedence(_line_boxes(spark, sf_dir))
+    return pairs.groupBy("doc_id", "page_number", "first").agg(F.count("*").alias("n"), F.sum("later").alias("total"))
+
+
+@query(
+    f"""WITH {SQL_WORDS},
+  z AS (SELECT *, 8.0 + (doc_id + line_no) % 7 AS size FROM words),
+  pg AS (SELECT doc_id, page_number, median(size) AS page_size FROM z GROUP BY ALL),
+  lz AS (SELECT doc_id, page_number, line_no, median(size) AS size FROM z GROUP BY ALL)
+SELECT doc_id, page_number, line_no, CASE WHEN size / page_size >= 1.60 THEN 1 WHEN size / page_size >= 1.35 THEN 2 WHEN size / page_size >= 1.20 THEN 3 ELSE 4 END AS level FROM lz JOIN pg USING (doc_id, page_number)"""
+)
+def heading_levels(spark, sf_dir):
+    sized = _words(spark, sf_dir).withColumn("size", 8.0 + (F.col("doc_id") + F.col("line_no")) % 7)
+    page = sized.groupBy("doc_id", "page_number").agg(F.median("size").alias("page_size"))
+    rows = sized.groupBy("doc_id", "page_number", "line_no").agg(F.median("size").alias("size")).join(page, ["doc_id", "page_number"])
+    return rows.select("doc_id", "page_number", "line_no", T.heading_level(F.col("size"), F.col("page_size")).alias("level"))
+
+
+#: Read by hand from the boxes: the left column, whose fields end left of the strip's middle, then the strip, then the right column.
+_SQL_ORDER = "ro(region_no, position) AS (VALUES (0, 0), (2, 1), (4, 2), (6, 3), (1, 4), (3, 5), (5, 6))"
+
+
+@query(f"WITH {SQL_WORDS}, {_SQL_ORDER} SELECT doc_id, page_number, region_no, position FROM (SELECT DISTINCT doc_id, page_number FROM words), ro")
+def reading_orders(spark, sf_dir):
+    words = _words(spark, sf_dir)
+    return L.reading_order(_regions(spark, words)).select("doc_id", "page_number", "region_no", "position")
+
+
+def _as_json(blocks: DataFrame) -> DataFrame:
+    """Blocks whose grid and cells are JSON texts, as SQL engines show nested values each in its own way."""
+    return blocks.withColumns({c: F.to_json(c) for c in ("grid", "cells")})
+
+
+# lines stand 12 points apart and are 10 high, so three lines on is the gap that ends a line of a region's text
+@query(
+    f"""WITH {_SQL_ASSIGNED}, {_SQL_ORDER},
+  own AS (SELECT doc_id, page_number, line_no, x0, x1, text, 8.0 + (doc_id + line_no) % 7 AS size, region_no FROM sp LEFT JOIN k USING (a, b, c, d)),
+  pz AS (SELECT doc_id, page_number, median(size) AS page_size FROM own GROUP BY ALL),
+  rz AS (SELECT doc_id, page_number, region_no, median(size) AS size FROM own GROUP BY ALL),
+  li AS (SELECT doc_id, page_number, region_no, line_no, {sql_strip("string_agg(text, ' ' ORDER BY x0, x1, text)")} AS line FROM own GROUP BY ALL),
+  ne AS (SELECT *, lead(line) OVER w AS following, lead(line_no) OVER w - line_no AS rows FROM li WHERE line <> '' WINDOW w AS (PARTITION BY doc_id, page_number, region_no ORDER BY line_no)),
+  hy AS (SELECT *, rows < 3 AND line LIKE '%-' AND regexp_matches(following, '^\\p{{L}}') AS broken FROM ne),
+  tx AS (SELECT doc_id, page_number, region_no, {sql_strip("string_agg(CASE WHEN following IS NULL THEN line WHEN rows >= 3 THEN line || chr(10) WHEN broken THEN line[:-2] ELSE line || ' ' END, '' ORDER BY line_no)")} AS text FROM hy GROUP BY ALL),
+  lv AS (SELECT tx.*, position, CASE WHEN size / page_size >= 1.60 THEN 1 WHEN size / page_size >= 1.35 THEN 2 ELSE 4 END AS grade
+         FROM tx JOIN pz ON pz.doc_id = tx.doc_id AND pz.page_number = tx.page_number
+           JOIN rz ON rz.doc_id = tx.doc_id AND rz.page_number = tx.page_number AND rz.region_no IS NOT DISTINCT FROM tx.region_no LEFT JOIN ro ON ro.region_no = tx.region_no WHERE text <> ''),
+  kd AS (SELECT *, coalesce(region_no < 6 AND grade <= 2 AND length(text) <= 80, false) AS large FROM lv)
+SELECT doc_id, page_number, (row_number() OVER (PARTITION BY doc_id, page_number ORDER BY position NULLS LAST) - 1)::INT AS block_no,
+       CASE WHEN region_no = 6 OR large THEN 'heading' ELSE 'paragraph' END AS kind, CASE WHEN region_no = 6 THEN 1 WHEN large THEN 2 END AS level, text, NULL::VARCHAR AS grid, NULL::VARCHAR AS cells FROM kd"""
+)
+def layout_blocks(spark, sf_dir):
+    words = _words(spark, sf_dir).withColumn("span_no", F.col("line_no") * 100000 + F.col("word_no")).withColumn("size", 8.0 + (F.col("doc_id") + F.col("line_no")) % 7)
+    pages = words.select("doc_id", "page_number").distinct().withColumn("width", F.lit(_WIDTH)).withColumn("height", F.lit(_HEIGHT))
+    return _as_json(L.page_blocks(words, _regions(spark, words), pages))
+
+
+# Tables and markup
+
+_NATION_ROWS = "SELECT r_regionkey, r_name, list([n_nationkey::VARCHAR, n_name || CASE WHEN n_nationkey % 4 = 0 THEN '|x' ELSE '' END] ORDER BY n_nationkey) AS rows FROM region JOIN nation ON n_regionkey = r_regionkey GROUP BY ALL"
+
+
+def _nation_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nation = _t(spark, sf_dir, "nation").join(_t(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    name = F.concat("n_name", F.when(F.col("n_nationkey") % 4 == 0, "|x").otherwise(""))
+    rows = F.transform(F.sort_array(F.collect_list(F.struct("n_nationkey", name.alias("name")))), lambda r: F.array(r["n_nationkey"].cast("string"), r["name"]))
+    return nation.groupBy("r_regionkey", "r_name").agg(rows.alias("rows"))
+
+
+@query(
+    f"""SELECT r_regionkey, '| key | name of ' || r_name || ' |' || chr(10) || '| ---: | :--- |' || chr(10) ||
+array_to_string(list_transform(rows, lambda r: '| ' || r[1] || ' | ' || replace(r[2], '|', '\\|') || ' |'), chr(10)) AS markdown FROM ({_NATION_ROWS})"""
+)
+def pipe_tables(spark, sf_dir):
+    head = F.array(F.lit("key"), F.concat(F.lit("name of "), F.col("r_name")))
+    return _nation_tables(spark, sf_dir).select("r_regionkey", M.pipe_table(head, F.array(F.lit("right"), F.lit("left")), F.col("rows")).alias("markdown"))
+
+
+@query(f"SELECT r_regionkey, (i - 1)::INT AS row_no, rows[i] AS cells FROM (SELECT *, unnest(range(1, len(rows) + 1)) AS i FROM ({_NATION_ROWS}))")
+def pipe_cells(spark, sf_dir):
+    text = pipe_tables(spark, sf_dir).select("r_regionkey", F.posexplode(F.split("markdown", "\n")).alias("n", "line"))
+    return text.where("n >= 2").select("r_regionkey", (F.col("n") - 2).alias("row_no"), M.pipe_cells(F.col("line")).alias("cells"))
+
+
+def _sql_row(tag: str, cells: str) -> str:
+    return f"array_to_string(list_transform({cells}, lambda c: '<{tag}>' || replace(replace(c, '&', '&amp;'), '<', '&lt;') || '</{tag}>'), chr(10))"
+
+
+@query(
+    f"""SELECT r_regionkey, '<table data-kind="table">' || chr(10) || '<thead>' || chr(10) || '<tr>' || chr(10) || {_sql_row('th', "['key', r_name]")} || chr(10) || '</tr>' || chr(10) || '</thead>' || chr(10) || '<tbody>' || chr(10) ||
+array_to_string(list_transform(rows, lambda r: '<tr>' || chr(10) || {_sql_row('td', 'r')} || chr(10) || '</tr>' || chr(10)), '') || '</tbody></table>' AS html FROM ({_NATION_ROWS})"""
+)
+def html_tables(spark, sf_dir):
+    grid = F.concat(F.array(F.array(F.lit("key"), F.col("r_name"))), F.col("rows"))
+    return _nation_tables(spark, sf_dir).select("r_regionkey", M.table_html(grid).alias("html"))
+
+
+_TAGLESS = "regexp_replace(regexp_replace(regexp_replace(html, '(?i)<\\s*br\\s*/?\\s*>', chr(10), 'g'), '<!--.*?-->', '', 'g'), '</?[a-zA-Z][^>]*>', '', 'g')"
+_HINT = "regexp_matches(lower(html), '</?(table|thead|tbody|tr|th|td)')"
+
+
+@query(
+    f"""SELECT page_id, contains(lower(html), '<table') OR contains(lower(html), '&lt;table') AS has_table,
+len(regexp_extract_all(html, '(?i)<\\s*table\\b')) > len(regexp_extract_all(html, '(?i)</\\s*table\\s*>')) AS open_table,
+md5(CASE WHEN {_HINT} OR NOT contains(html, '<') OR NOT contains(html, '>') THEN html ELSE {_TAGLESS} END) AS digest FROM pages WHERE html IS NOT NULL"""
+)
+def page_markup(spark, sf_dir):
+    h = F.col("html")
+    return _t(spark, sf_dir, "pages").where("html IS NOT NULL").select("page_id", M.has_table(h).alias("has_table"), M.has_open_table(h).alias("open_table"), F.md5(M.without_tags(h)).alias("digest"))
+
+
+@query(
+    f"""WITH {SQL_LINES},
+  m AS (SELECT doc_id, line_no, repeat('#', line_no % 8) || ' ' || line || ' ' AS line FROM ln)
+SELECT doc_id, line_no, length(regexp_extract(line, '^[{S}]{{0,3}}(#{{1,6}})[{S}]+(.+?)[{S}]*$', 1))::INT AS level, {sql_strip(f"regexp_extract(line, '^[{S}]{{0,3}}(#{{1,6}})[{S}]+(.+?)[{S}]*$', 2)")} AS text
+FROM m WHERE regexp_matches(line, '^[{S}]{{0,3}}(#{{1,6}})[{S}]+(.+?)[{S}]*$') AND {sql_strip(f"regexp_extract(line, '^[{S}]{{0,3}}(#{{1,6}})[{S}]+(.+?)[{S}]*$', 2)")} <> ''"""
+)
+def markdown_headings(spark, sf_dir):
+    lines = P.lines(_documents(spark, sf_dir))
+    own = F.concat(F.expr("repeat('#', line_no % 8)"), F.lit(" "), F.col("line"), F.lit(" "))
+    return lines.select("doc_id", "line_no", M.heading(own).alias("h")).where("h IS NOT NULL").select("doc_id", "line_no", "h.level", "h.text")
+
+
+_ESC = "replace(replace(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), chr(39), '&#x27;')"
+
+
+@query(
+    f"""SELECT conv_id AS doc_id, md5('<article class="document">' || chr(10) || string_agg('<section data-page="' || turn || '">' || chr(10) || '<p>' || replace({_ESC}, chr(10), '<br />' || chr(10)) || '</p>' || chr(10) || '</section>', chr(10) ORDER BY turn)
+|| chr(10) || '</article>') AS digest FROM conversations GROUP BY conv_id"""
+)
+def document_html(spark, sf_dir):
+    block = M.block_html(F.lit("paragraph"), F.lit(None).cast("int"), F.col("text"), F.lit(None).cast("string"))
+    section = F.concat(F.lit('<section data-page="'), F.col("page_number").cast("string"), F.lit('">\n'), block, F.lit("\n</section>"))
+    pages = _turns(spark, sf_dir).select("doc_id", "page_number", section.alias("html"))
+    return X.documents_html(pages).select("doc_id", F.md5("html").alias("digest"))
+
+
+@query(
+    """SELECT page_id, coalesce(nullif(stem, ''), 'download') || '.html' AS name,
+coalesce(nullif(regexp_replace(regexp_replace(coalesce(nullif(stem, ''), 'download'), '[^A-Za-z0-9._-]+', '_', 'g'), '^[._-]+|[._-]+$', '', 'g'), ''), 'download') || '.html' AS ascii_name
+FROM (SELECT page_id, trim(CASE WHEN regexp_matches(base, '^.+\\.[^.]*$') AND NOT regexp_matches(base, '^\\.+[^.]*$') THEN regexp_replace(base, '\\.[^.]*$', '') ELSE base END) AS stem
+FROM (SELECT page_id, regexp_replace(list_extract(string_split(url, '/'), -1), '[\\r\\n"]', '', 'g') AS base FROM pages WHERE url IS NOT NULL))"""
+)
+def download_names(spark, sf_dir):
+    url = F.col("url")
+    return _t(spark, sf_dir, "pages").where("url IS NOT NULL").select("page_id", M.download_name(url, "html").alias("name"), F.concat(M.ascii_stem(url), F.lit(".html")).alias("ascii_name"))
+
+
+# Decisions
+
+
+@query(
+    f"""WITH {SQL_LIKELY} SELECT doc_id, page_number, likelihood >= 0.60 AS table_like, CASE WHEN likelihood >= 0.60 THEN 8192 ELSE 4096 END AS max_tokens,
+CASE WHEN likelihood < 0.60 THEN 960 END AS target_edge FROM likely"""
+)
+def ocr_plan(spark, sf_dir):
+    rows = X.plan(P.table_likelihood(_words(spark, sf_dir)), EngineConfig())
+    return rows.select("doc_id", "page_number", "table_like", "max_tokens", "target_edge")
+
+
+def _corrupted(text):
+    """Every third document's transcription is misread, every fourth's is mostly lost signs."""
+    n = F.col("doc_id")
+    return F.when(n % 4 == 0, F.regexp_replace(text, "[a-z]", "#")).when(n % 3 == 0, F.translate(text, "lO", "10")).otherwise(text)
+
+
+_SQL_OCR = "CASE WHEN doc_id % 4 = 0 THEN regexp_replace(text, '[a-z]', '#', 'g') WHEN doc_id % 3 = 0 THEN translate(text, 'lO', '10') ELSE text END"
+
+
+@query(
+    f"""WITH {sql_quality(f"SELECT doc_id * 2 AS id, {_SQL_OCR} AS text FROM documents UNION ALL SELECT doc_id * 2 + 1, text FROM documents")},
+  q AS (SELECT id // 2 AS doc_id, max(score) FILTER (id % 2 = 0) AS own, max(score) FILTER (id % 2 = 1) AS layer FROM quality GROUP BY 1)
+SELECT q.doc_id, round(own, 6) AS quality, round(layer, 6) AS layer_quality,
+       own < 0.40 OR (layer >= 0.55 AND layer - own >= 0.22 AND length({sql_strip('d.text')}) >= 80) AS retry FROM q JOIN documents d ON d.doc_id = q.doc_id"""
+)
+def retry_decisions(spark, sf_dir):
+    docs = _t(spark, sf_dir, "documents").select("doc_id", "text", _corrupted(F.col("text")).alias("ocr"))
+    rated = docs.select("doc_id", "text", "ocr", T.quality(F.col("ocr"))["score"].alias("quality"), T.quality(F.col("text"))["score"].alias("layer_quality"))
+    retry = X.needs_retry(EngineConfig(), M.has_open_table(F.col("ocr")), F.col("quality"), F.col("layer_quality"), F.col("text"))
+    return rated.select("doc_id", F.round("quality", 6).alias("quality"), F.round("layer_quality", 6).alias("layer_quality"), retry.alias("retry"))
+
+
+@query(
+    f"""WITH b AS (SELECT conv_id AS doc_id, turn, turn AS block_no, CASE WHEN turn % 3 = 2 THEN conv_id % 4 || '' WHEN turn % 3 = 1 THEN 'Footer Inc' ELSE text END AS text, conv_id % 4 AS page_number FROM conversations),
+  e AS (SELECT *, min(block_no) OVER w AS lo, max(block_no) OVER w AS hi FROM b WINDOW w AS (PARTITION BY doc_id, page_number))
+SELECT doc_id, page_number, block_no, text FROM e WHERE {sql_strip('text')} = '' OR NOT (coalesce(try_cast(regexp_extract({sql_strip(sql_norm('text'))}, '^[0-9]{{1,3}}$') AS BIGINT) = page_number, false)
+OR (regexp_matches({sql_strip('text')}, '(?i)^footer inc$') AND (block_no <= lo + 1 OR block_no >= hi - 1)))"""
+)
+def page_furniture(spark, sf_dir):
+    n, own = F.col("turn"), (F.col("conv_id") % 4)
+    text = F.when(n % 3 == 2, own.cast("string")).when(n % 3 == 1, "Footer Inc").otherwise(F.col("text"))
+    rows = _t(spark, sf_dir, "conversations").select(F.col("conv_id").alias("doc_id"), own.alias("page_number"), n.alias("block_no"), F.lit("paragraph").alias("kind"), text.alias("text"))
+    return X.drop_page_furniture(rows, "footer inc").select("doc_id", "page_number", "block_no", "text")
+
+
+# Streams and jobs
+
+
+@query("SELECT user_id AS job_id, max(event_id) AS version, arg_max(event_type, event_id) AS status, arg_max(value, event_id) AS value FROM events GROUP BY user_id")
+def latest_jobs(spark, sf_dir):
+    changes = _t(spark, sf_dir, "events").select(F.col("user_id").alias("job_id"), F.col("event_id").alias("version"), F.col("event_type").alias("status"), "value")
+    return E.latest_jobs(changes)
+
+
+@query(
+    """SELECT x.conv_id AS job_id, -x.turn AS version, count(*)::INT AS processed_pages, string_agg(y.text, chr(10) || '<!-- page -->' || chr(10) ORDER BY y.turn, y.text) AS partial_html
+FROM conversations x JOIN conversations y ON y.conv_id = x.conv_id AND y.turn >= x.turn GROUP BY x.conv_id, x.turn"""
+)
+def job_progress(spark, sf_dir):
+    changes = _t(spark, sf_dir, "conversations").select(F.col("conv_id").alias("job_id"), (-F.col("turn")).alias("version"), F.col("turn").alias("page_number"), F.col("text").alias("html"))
+    return E.progress(changes)
+
+
+@query(
+    """WITH k AS (SELECT DISTINCT conv_id AS doc_id, turn + 1 AS page_number, text AS html FROM conversations),
+p AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY page_number) AS place FROM k)
+SELECT doc_id, page_number::INT AS page_number, (place - 1)::INT AS position, html FROM p WHERE place = page_number"""
+)
+def ordered_pages(spark, sf_dir):
+    return E.in_order_batch(_t(spark, sf_dir, "conversations").select(F.col("conv_id").alias("doc_id"), (F.col("turn") + 1).cast("int").alias("page_number"), F.col("text").alias("html")))
+
+
+@query(
+    """WITH g AS (SELECT user_id, ts, (ts > lag(ts) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL 10 MINUTE)::INT AS new FROM events),
+s AS (SELECT user_id, ts, sum(coalesce(new, 0)) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g)
+SELECT user_id, min(ts)::TIMESTAMP AS start, (max(ts) + INTERVAL 10 MINUTE)::TIMESTAMP AS "end", count(*) AS n FROM s GROUP BY user_id, k"""
+)
+def event_sessions(spark, sf_dir):
+    return E.sessions(_t(spark, sf_dir, "events"))
+
+
+# Kernels: no SQL; tests compare them with worked cases
+
+
+@query()
+def merged_texts(spark, sf_dir):
+    own = _transcripts(spark, sf_dir).select("doc_id", "page_number", X.merged(F.translate("layer_text", "lO", "10"), F.col("layer_text"), "aggressive").alias("m"))
+    return own.select("doc_id", "page_number", "m.text", "m.changed_chars", "m.changed_tokens", "m.blocks")
+
+
+@query()
+def page_grids(spark, sf_dir):
+    pages = P.page_words(_words(spark, sf_dir))
+    return G.grids(pages, 3).select("doc_id", "page_number", "columns", "grid.reason", "grid.confidence", "grid.collisions", "grid.groups", F.size("grid.rows").alias("n_rows"))
+
+
+def _item_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The line items of each part as printed tables of five aligned columns, twenty rows a page."""
+    own = [F.col(c).cast(t).cast("string") for c, t in (("l_orderkey", "bigint"), ("l_suppkey", "bigint"), ("l_quantity", "int"), ("l_returnflag", "string"), ("l_linestatus", "string"))]
+    place = F.row_number().over(Window.partitionBy("l_partkey").orderBy("l_orderkey", "l_linenumber", "l_suppkey", "l_quantity", "l_returnflag", "l_linestatus")) - 1
+    placed = _t(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("doc_id"), place.alias("place"), F.array(*own).alias("own"))
+    rows = placed.select("doc_id", "place", F.posexplode("own").alias("column", "text"))
+    x0, y0 = (40 + 160 * F.col("column")).cast("double"), (12 * (F.col("place") % 20)).cast("double")
+    return rows.select(
+        "doc_id", (F.expr("place div 20") + 1).cast("int").alias("page_number"), x0.alias("x0"), y0.alias("y0"), (x0 + 6 * F.char_length("text")).alias("x1"), (y0 + 10).alias("y1"), "text"
+    )
+
+
+@query(
+    """WITH r AS (SELECT l_partkey AS doc_id, row_number() OVER (PARTITION BY l_partkey ORDER BY l_orderkey, l_linenumber, l_suppkey, l_quantity, l_returnflag, l_linestatus) - 1 AS place,
+                   [l_orderkey::BIGINT::VARCHAR, l_suppkey::BIGINT::VARCHAR, l_quantity::INT::VARCHAR, l_returnflag, l_linestatus] AS own FROM lineitem),
+  p AS (SELECT doc_id, (place // 20 + 1)::INT AS page_number, (place % 20)::INT AS row, own FROM r),
+  big AS (SELECT doc_id, page_number FROM p GROUP BY ALL HAVING count(*) >= 8)
+SELECT doc_id, page_number, row, (k - 1)::INT AS col, own[k] AS text, 1 AS colspan, 1 AS rowspan FROM p JOIN big USING (doc_id, page_number), range(1, 6) AS n(k)"""
+)
+def page_tables(spark, sf_dir):
+    found = P.page_words(_item_words(spark, sf_dir)).withColumn("grid", G.page_table(F.col("words"))).where("grid IS NOT NULL")
+    return G.cells(found)
+
+
+def _transcripts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns as model output: headings, remarks, repeated ends, and every fifth with a broken table."""
+    n = F.col("page_number")
+    broken = F.concat(F.lit("\n<table><tr><th>"), F.substring("text", 1, 12), F.lit("</th></tr><tr><td>1"))
+    ocr = F.concat(F.lit("# Turn\n\n**"), _turn_text(), F.lit("**\n"), F.when(n % 5 == 0, broken).when(n % 5 == 1, "\nNote: the image shows it\n" + "end\n" * 6).otherwise(""))
+    return _turns(spark, sf_dir).select("doc_id", "page_number", ocr.alias("ocr_text"), F.concat(broken, F.lit("</td></tr></table>")).alias("second_text"), F.col("text").alias("layer_text"))
+
+
+def _turn_text():
+    return F.translate("text", "lO", "10")
+
+
+_SQL_TURNS = """t AS (SELECT conv_id AS doc_id, turn::INT AS page_number, trim(translate(text, 'lO', '10')) AS own, left(text, 12) AS head FROM conversations)"""
+
+
+@query(
+    f"""WITH {_SQL_TURNS}
+SELECT doc_id, page_number, '# Turn' || chr(10) || chr(10) || own || CASE page_number % 5
+  WHEN 0 THEN chr(10) || chr(10) || '<table><tr><th>' || head || '</th></tr><tr><td>1</td></tr></table>' WHEN 1 THEN chr(10) || repeat(chr(10) || 'end', 6) ELSE '' END AS markdown FROM t"""
+)
+def sanitized_pages(spark, sf_dir):
+    return _transcripts(spark, sf_dir).select("doc_id", "page_number", X.closed(X.sanitized(X.repaired(F.col("ocr_text"), F.col("second_text")))).alias("markdown"))
+
+
+@query(
+    f"""WITH {_SQL_TURNS},
+  h AS (SELECT *, trim(head) AS cell FROM t)
+SELECT doc_id, page_number, 0 AS block_no, 'heading' AS kind, 'Turn' AS text, 1 AS level, NULL::VARCHAR AS grid, NULL::VARCHAR AS cells FROM t
+UNION ALL SELECT doc_id, page_number, 1, 'paragraph', own, NULL, NULL, NULL FROM t
+UNION ALL SELECT doc_id, page_number, 2, 'paragraph', 'end' || repeat(chr(10) || 'end', 5), NULL, NULL, NULL FROM t WHERE page_number % 5 = 1
+UNION ALL SELECT doc_id, page_number, 2, 'table', cell || chr(10) || '1', NULL, to_json([[cell], ['1']])::VARCHAR,
+  to_json([{{'row': 0, 'col': 0, 'text': cell, 'colspan': 1, 'rowspan': 1}}, {{'row': 1, 'col': 0, 'text': '1', 'colspan': 1, 'rowspan': 1}}])::VARCHAR FROM h WHERE page_number % 5 = 0"""
+)
+def page_blocks(spark, sf_dir):
+    rows = sanitized_pages(spark, sf_dir).withColumn("blocks", X.blocks(F.col("markdown")))
+    return _as_json(X.explode_blocks(rows))
+
+
+def _turn_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return P.words(P.lines(_turns(spark, sf_dir).select(F.struct("doc_id", "page_number").alias("doc_id"), "text"))).select(
+        F.col("doc_id.doc_id").alias("doc_id"), F.col("doc_id.page_number").alias("page_number"), "line_no", "word_no", "x0", "y0", "x1", "y1", "text"
+    )
+
+
+@query()
+def converted_documents(spark, sf_dir):
+    return C.convert(_transcripts(spark, sf_dir), _turn_words(spark, sf_dir))
+
+
+def _shared_words(items: DataFrame, lines: DataFrame) -> DataFrame:
+    """item_id, doc_id, line_no and n: the line that shares most, n, of an item's distinct words, of equals the first; none where no word is shared.
+
+    A word's lines are split by SPREAD salts and the items' words copied to each, so that no word's meetings fall to one task; counts are added before rows move.
+    """
+    words_of = lambda text: F.explode(F.array_distinct(T.tokens(F.lower(text)))).alias("token")
+    salt = F.pmod(F.xxhash64("line"), F.lit(SPREAD)).cast("int").alias("salt")
+    # equal lines are one: their first place stands for all
+    once = lines.groupBy("line").agg(F.min(F.struct("doc_id", "line_no")).alias("place"))
+    asked = items.select("item_id", words_of("item")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1))))
+    meet = once.select("place", salt, words_of("line")).join(asked, ["token", "salt"]).groupBy("item_id", "place").agg(F.count("*").alias("n"))
+    best = meet.groupBy("item_id").agg(F.min(F.struct((-F.col("n")).alias("less"), "place")).alias("b"))
+    return best.select("item_id", "b.place.doc_id", "b.place.line_no", (-F.col("b.less")).alias("n"))
+
+
+def _items_and_lines(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    items = _t(spark, sf_dir, "benchmark").where("text IS NOT NULL").select("item_id", F.col("text").alias("item"))
+    return items, P.lines(_documents(spark, sf_dir)).where("line <> ''")
+
+
+@query(
+    f"""WITH {SQL_LINES},
+  o AS (SELECT line, min(doc_id * 1000000000 + line_no) AS place FROM ln WHERE line <> '' GROUP BY line),
+  a AS (SELECT DISTINCT place, unnest(regexp_extract_all(lower(line), '{TOKEN}', 1)) AS token FROM o),
+  b AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(lower(text), '{TOKEN}', 1)) AS token FROM benchmark),
+  m AS (SELECT item_id, place, count(*) AS n FROM a JOIN b USING (token) GROUP BY ALL),
+  r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY n DESC, place) AS k FROM m)
+SELECT item_id, place // 1000000000 AS doc_id, (place % 1000000000)::INT AS line_no, n FROM r WHERE k = 1"""
+)
+def shared_word_lines(spark, sf_dir):
+    return _shared_words(*_items_and_lines(spark, sf_dir))
+
+
+@query()
+def best_passages(spark, sf_dir):
+    """For each benchmark item the line of shared_word_lines, and how alike they are."""
+    items, lines = _items_and_lines(spark, sf_dir)
+    both = items.join(_shared_words(items, lines), "item_id", "left").join(lines.select("doc_id", "line_no", "line"), ["doc_id", "line_no"], "left")
+    return both.select("item_id", "doc_id", "line_no", "n", X.similarity(F.col("item"), F.col("line")).alias("similarity"))
+
+
+@query(
+    f"""WITH {sql_quality('SELECT doc_id AS id, text FROM documents')}
+SELECT id AS doc_id, char_count, visible_char_count, round(visible_ratio, 6) AS visible_ratio, round(symbol_ratio, 6) AS symbol_ratio,
+       round(longest_repeat_ratio, 6) AS longest_repeat_ratio, round(score, 6) AS score FROM quality"""
+)
+def text_quality(spark, sf_dir):
+    q = _t(spark, sf_dir, "documents").select("doc_id", T.quality(F.col("text")).alias("q"))
+    ratios = [F.round(f"q.{c}", 6).alias(c) for c in ("visible_ratio", "symbol_ratio", "longest_repeat_ratio", "score")]
+    return q.select("doc_id", "q.char_count", "q.visible_char_count", *ratios)
+
+
+@query(
+    "SELECT c, CASE "
+    + " ".join(f"WHEN regexp_matches(c, '^[{m}]$') THEN '{n}'" for n, m in T.CLASSES.items())
+    + f" ELSE 'symbol' END AS kind, n FROM (SELECT c, count(*) AS n FROM (SELECT unnest(string_split({sql_norm('text')}, '')) AS c FROM documents) WHERE c <> '' GROUP BY c)"
+)
+def character_classes(spark, sf_dir):
+    chars = _t(spark, sf_dir, "documents").select(F.explode(F.split(T.normalize(F.col("text")), "")).alias("c")).where("c <> ''").groupBy("c").agg(F.count("*").alias("n"))
+    return chars.select("c", T.char_class(F.col("c")).alias("kind"), "n")
+
+
+@query(
+    f"""WITH l AS (SELECT conv_id, turn, unnest(string_split_regex(text, '\\r\\n|[\\n\\x0b\\x0c\\r\\x1c-\\x1e\\x{{85}}\\x{{2028}}\\x{{2029}}]')) AS line FROM conversations),
+c AS (SELECT conv_id, turn, {sql_strip('line')} AS line, count(*) AS n FROM l WHERE {sql_strip('line')} <> '' GROUP BY ALL)
+SELECT conv_id, turn, round(sum(CASE WHEN n >= 2 THEN n ELSE 0 END) / sum(n)::DOUBLE, 9) AS coverage FROM c GROUP BY conv_id, turn"""
+)
+def line_repeats(spark, sf_dir):
+    rows = _t(spark, sf_dir, "conversations").where(F.size(T.filled_lines(F.col("text"))) > 0)
+    return rows.select("conv_id", "turn", F.round(T.repeat_coverage(F.col("text")), 9).alias("coverage"))
+
+
+def _sql_tokens(t: str) -> str:
+    return f"list_distinct(regexp_extract_all({sql_norm(t)}, '{TOKEN}', 1))"
+
+
+@query(
+    f"""SELECT doc_id, round(CASE WHEN len(b) = 0 THEN 0 ELSE len(list_intersect(a, b)) / len(b)::DOUBLE END, 9) AS overlap FROM (
+SELECT x.doc_id, {_sql_tokens('x.text')} AS a, {_sql_tokens('y.text')} AS b FROM documents x JOIN documents y ON y.doc_id = x.doc_id + 1)"""
+)
+def token_overlap(spark, sf_dir):
+    docs = _t(spark, sf_dir, "documents")
+    other = docs.select((F.col("doc_id") - 1).alias("doc_id"), F.col("text").alias("other"))
+    return docs.join(other, "doc_id").select("doc_id", F.round(T.token_overlap(F.col("text"), F.col("other")), 9).alias("overlap"))
+
+
+@query(
+    """WITH p AS (SELECT x.conv_id, x.turn, x.text AS a, y.text AS b FROM conversations x JOIN conversations y ON y.conv_id = x.conv_id AND y.turn = x.turn + 1),
+d AS (SELECT *, least(length(a), length(b)) AS n, list_filter(range(1, least(length(a), length(b)) + 1), lambda i: substr(a, i, 1) <> substr(b, i, 1)) AS off FROM p)
+SELECT conv_id, turn, (CASE WHEN len(off) = 0 THEN n ELSE off[1] - 1 END)::INT AS prefix FROM d"""
+)
+def common_prefixes(spark, sf_dir):
+    rows = _t(spark, sf_dir, "conversations").select("conv_id", "turn", "text")
+    other = rows.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("b"))
+    return rows.join(other, ["conv_id", "turn"]).select("conv_id", "turn", T.common_prefix(F.col("text"), F.col("b")).alias("prefix"))
+
+
+_PREDICATE_ROWS = "SELECT conv_id, turn, text || CASE turn % 5 WHEN 0 THEN ' 1,234' WHEN 1 THEN ' (1) a .... 2 (2) b .... 3' WHEN 2 THEN ' mail me@example.org' ELSE '' END AS text FROM conversations"
+
+
+@query(
+    f"""SELECT conv_id, turn,
+  regexp_matches(text, '[0-9]{{1,3}}(?:,[0-9]{{3}})+') OR contains(text, '%') OR regexp_matches(text, '[△▲][{S}]*[0-9]') OR len(regexp_extract_all(text, '[0-9]+')) >= 4 AS data_line,
+  regexp_matches(lower({sql_strip('text')}), '(?:https?://|hxxps?://|www\\.)') OR regexp_matches(lower({sql_strip('text')}), '[^\\s@]+@[^\\s@]+\\.[^\\s@]+')
+    OR contains(text, '://') OR regexp_matches({sql_strip('text')}, '(?s)^[^@]*@.*\\.') AS address,
+  NOT regexp_matches({sql_strip(sql_norm('text'))}, '[\\n\\r]') AND len(regexp_extract_all({sql_strip(sql_norm('text'))}, '{T.CONTENTS_ITEM}')) >= 2
+    AND regexp_matches(text, '(?:…|\\.|．){{4,}}') AS contents_line,
+  regexp_matches(text, '\\p{{L}}') AS letters,
+  {sql_compact('text')} <> '' AND length({sql_compact('text')}) <= 20 AND NOT regexp_matches({sql_strip(sql_norm('text'))}, '^[*・\\-•※]')
+    AND NOT regexp_matches(text, '[0-9]{{3,}}') AND NOT contains(lower(text), 'br/>') AND regexp_matches(text, '\\p{{L}}') AS fragment
+FROM ({_PREDICATE_ROWS})"""
+)
+def line_predicates(spark, sf_dir):
+    tail = F.when(F.col("turn") % 5 == 0, " 1,234").when(F.col("turn") % 5 == 1, " (1) a .... 2 (2) b .... 3").when(F.col("turn") % 5 == 2, " mail me@example.org").otherwise("")
+    t = F.col("text")
+    rows = _t(spark, sf_dir, "conversations").withColumn("text", F.concat("text", tail))
+    return rows.select(
+        "conv_id", "turn", T.is_data_line(t).alias("data_line"), T.is_address(t).alias("address"), T.is_contents_line(t).alias("contents_line"),
+        T.has_letter(t).alias("letters"), T.is_short_fragment(t).alias("fragment"),
+    )
+
+
+_NUMBER = f"regexp_extract(t, '(?s)^[{S}]*([0-9]{{1,3}})[{S}]+(.+)$', 1)"
+_REST = f"regexp_replace(regexp_extract(t, '(?s)^[{S}]*([0-9]{{1,3}})[{S}]+(.+)$', 2), '^[{S}]+', '')"
+
+
+@query(
+    f"""WITH r AS (SELECT conv_id, turn, {sql_strip(sql_norm("CASE WHEN turn % 3 = 2 THEN '- ' || turn || ' -' ELSE (turn + turn % 2) || '  ' || text END"))} AS t FROM conversations)
+SELECT conv_id, turn, coalesce(try_cast(regexp_extract(t, '^[{S}]*[{T.DASHES}]?[{S}]*([0-9]{{1,3}})[{S}]*[{T.DASHES}]?[{S}]*$', 1) AS BIGINT) = turn, false) AS number_only,
+       CASE WHEN coalesce(try_cast({_NUMBER} AS BIGINT) = turn AND NOT regexp_matches({_REST}, '^[|｜]'), false) THEN {_REST} ELSE t END AS rest FROM r"""
+)
+def page_numbers(spark, sf_dir):
+    n = F.col("turn")
+    own = F.when(n % 3 == 2, F.concat(F.lit("- "), n.cast("string"), F.lit(" -"))).otherwise(F.concat((n + n % 2).cast("string"), F.lit("  "), F.col("text")))
+    rows = _t(spark, sf_dir, "conversations").select("conv_id", "turn", own.alias("t"))
+    return rows.select("conv_id", "turn", T.is_page_number(F.col("t"), n).alias("number_only"), T.without_page_number(F.col("t"), n).alias("rest"))
+
+
+# Pages and words
+
+
+@query(f"WITH {SQL_LINES} SELECT doc_id, page_number, line_no, line FROM ln")
+def page_lines(spark, sf_dir):
+    return P.lines(_documents(spark, sf_dir))
+
+
+@query(f"WITH {SQL_WORDS} SELECT * FROM words")
+def page_words(spark, sf_dir):
+    return _words(spark, sf_dir)
+
+
+@query(f"WITH {SQL_LIKELY} SELECT doc_id, page_number, n_words::BIGINT AS n_words, n_rows, round(likelihood, 9) AS likelihood FROM likely")
+def table_likelihood(spark, sf_dir):
+    return P.table_likelihood(_words(spark, sf_dir)).withColumn("likelihood", F.round("likelihood", 9))
+
+
+@query(
+    f"""WITH {SQL_WORDS},
+  h AS (SELECT doc_id, page_number, median(greatest(0, y1 - y0)) AS height FROM words GROUP BY ALL),
+  pl AS (SELECT w.*, height, round_even(((y0 + y1) / 2) / greatest(4, height * 0.75), 0)::INT AS row FROM words w JOIN h USING (doc_id, page_number)),
+  g AS (SELECT *, x0 - lag(x1) OVER (PARTITION BY doc_id, page_number, row ORDER BY x0, x1, text) AS gap FROM pl),
+  k AS (SELECT *, sum((coalesce(gap, 0) > greatest(12, height * 1.2))::INT) OVER (PARTITION BY doc_id, page_number, row ORDER BY x0, x1, text ROWS UNBOUNDED PRECEDING) AS group_no,
+               CASE WHEN gap >= greatest(2, height * 0.2) THEN ' ' ELSE '' END || text AS piece FROM g)
+SELECT doc_id, page_number, row, group_no::BIGINT AS group_no, min(x0) AS x0, max(x1) AS x1, count(*) AS n_words, {sql_strip("string_agg(piece, '' ORDER BY x0, x1, piece)")} AS text
+FROM k GROUP BY doc_id, page_number, row, group_no"""
+)
+def gap_groups(spark, sf_dir):
+    return P.gap_groups(_words(spark, sf_dir))
+
+
+@query(
+    f"""WITH {SQL_LIKELY},
+  p AS (SELECT doc_id, page_number, string_agg(line, chr(10) ORDER BY line_no) AS text FROM ln GROUP BY ALL),
+  a AS (SELECT p.doc_id, p.page_number, text, coalesce(likelihood, 0) AS likelihood FROM p LEFT JOIN likely USING (doc_id, page_number))
+SELECT doc_id, page_number, md5({sql_norm('text')}) AS digest, len(regexp_extract_all({sql_norm('text')}, '{TOKEN}', 1)) AS n_tokens, round(likelihood, 9) AS likelihood,
+       CASE WHEN likelihood >= 0.65 THEN 'table' WHEN {sql_strip(sql_norm('text'))} <> '' THEN 'text' ELSE 'empty' END AS kind FROM a"""
+)
+def page_analysis(spark, sf_dir):
+    lines = P.lines(_documents(spark, sf_dir))
+    text = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("line_no", "line"))), lambda x: x["line"]), "\n")
+    pages = lines.groupBy("doc_id", "page_number").agg(text.alias("text"))
+    a = P.analysis(pages, P.table_likelihood(P.words(lines)))
+    return a.select(
+        "doc_id", "page_number", F.md5("normalized_text").alias("digest"), F.size("tokens").cast("bigint").alias("n_tokens"), F.round("table_likelihood", 9).alias("likelihood"), F.col("page_kind").alias("kind")
+    )
+
+
+_SQL_OWN = f"""
+  s AS (SELECT conv_id AS doc_id, turn::INT AS page_number, list_filter(list_transform(string_split_regex(text, '\\r\\n|[\\n\\x0b\\x0c\\r\\x1c-\\x1e\\x{{85}}\\x{{2028}}\\x{{2029}}]'), lambda x: {sql_strip('x')}), lambda x: x <> '') AS own FROM conversations)"""
+
+
+def _sql_windows(most: int) -> str:
+    return f"""{_SQL_OWN},
+  ij AS (SELECT doc_id, page_number, own, i, n FROM (SELECT *, unnest(range(1, len(own) + 1)) AS i FROM s) , range(1, {most + 1}) t(n) WHERE i + n - 1 <= len(own)),
+  w AS (SELECT doc_id, page_number, i, n, {sql_strip("array_to_string(own[i:i + n - 1], ' ')")} AS win FROM ij),
+  f AS (SELECT doc_id, page_number, win, min(i * 1000 + n) AS k FROM w WHERE win <> '' GROUP BY ALL),
+  wins AS (SELECT doc_id, page_number, (row_number() OVER (PARTITION BY doc_id, page_number ORDER BY k) - 1)::INT AS ordinal, win FROM f)"""
+
+
+@query(f"WITH {_sql_windows(8)} SELECT doc_id, page_number, ordinal, win AS \"window\" FROM wins")
+def line_windows(spark, sf_dir):
+    return P.line_windows(_turns(spark, sf_dir))
+
+
+@query(
+    f"""WITH {_sql_windows(3)},
+  c AS (SELECT *, {sql_compact('win')} AS own FROM wins)
+SELECT doc_id, page_number, min(ordinal) AS ordinal, arg_min(win, ordinal) AS candidate FROM c
+WHERE length(own) BETWEEN 2 AND 48 AND NOT regexp_matches(lower(win), 'https?://') AND regexp_matches(own, '\\p{{L}}')
+  AND length(own) - length(regexp_replace(own, '\\p{{Nd}}', '', 'g')) <= 0.55 * length(own) GROUP BY doc_id, page_number, own"""
+)
+def cell_candidates(spark, sf_dir):
+    return P.cell_candidates(_turns(spark, sf_dir))
+
+
 @query(
-    f"""WITH {SQL_WORDS}, {_SQL_BOXES},
+    f"""WITH {_SQL_OWN},
+  d AS (SELECT doc_id, page_number, own, list_filter(range(1, len(own) + 1), lambda i: regexp_matches(own[i], '[0-9]{{1,3}}(?:,[0-9]{{3}})+') OR contains(own[i], '%')
+        OR regexp_matches(own[i], '[△▲][{S}]*[0-9]') OR len(regexp_extract_all(own[i], '[0-9]+')) >= 4) AS stops FROM s)
+SELECT doc_id, page_number, array_to_string(own[1:least(40, CASE WHEN len(stops) > 0 THEN stops[1] - 1 ELSE len(own) END)], chr(10)) AS preface FROM d"""
+)
+def page_prefaces(spark, sf_dir):
+    return P.preface(_turns(spark, sf_dir))
+
+
+# Layout
+
+#: A page's regions: six fields in two columns, and a strip over the left one.
+_BOXES = [(i, (i % 2) * 0.5 + 0.02, (i // 2) * 0.33 + 0.01, (i % 2) * 0.5 + 0.46, (i // 2) * 0.33 + 0.30, "text") for i in range(6)] + [(6, 0.0, 0.0, 0.5, 0.2, "title")]
+SPREAD = 8  # salts of a word in best_passages
+_WIDTH, _HEIGHT = 1600.0, 480.0
+_SQL_BOXES = "bx(region_no, x0, y0, x1, y1, label) AS (VALUES " + ", ".join(f"({i}, {a!r}::DOUBLE, {b!r}::DOUBLE, {c!r}::DOUBLE, {d!r}::DOUBLE, '{t}')" for i, a, b, c, d, t in _BOXES) + ")"
+
+
+def _boxes(spark: SparkSession) -> DataFrame:
+    rows = spark.createDataFrame([(i, (float(a), float(b), float(c), float(d)), t) for i, a, b, c, d, t in _BOXES], "region_no int, bbox struct<x0:double,y0:double,x1:double,y1:double>, label string")
+    return rows.withColumn("reading_order", F.lit(None).cast("int"))
+
+
+def _regions(spark: SparkSession, words: DataFrame) -> DataFrame:
+    return words.select("doc_id", "page_number").distinct().join(F.broadcast(_boxes(spark)))
+
+
+_SQL_ASSIGNED = f"""{SQL_WORDS}, {_SQL_BOXES},
   sp AS (SELECT *, line_no * 100000 + word_no AS span_no, x0 / {_WIDTH} AS a, y0 / {_HEIGHT} AS b, x1 / {_WIDTH} AS c, y1 / {_HEIGHT} AS d FROM words),
   places AS (SELECT DISTINCT a, b, c, d FROM sp),
   j AS (SELECT a, b, c, d, region_no, bx.label, bx.y0 AS by0, bx.x0 AS bx0, bx.y1 AS by1, bx.x1 AS bx1, (bx.x1 - bx.x0) * (bx.y1 - bx.y0) AS area,
@@ -347,9 +956,10 @@ def _regions(spark: SparkSession, words: DataFrame) -> DataFrame:
                greatest(0, least(c, bx.x1) - greatest(a, bx.x0)) * greatest(0, least(d, bx.y1) - greatest(b, bx.y0)) / greatest(1e-6, (c - a) * (d - b)) AS covered
         FROM places, bx),
   k AS (SELECT a, b, c, d, arg_min(region_no, ROW(NOT inside, CASE WHEN inside THEN 0 ELSE -round(covered, 9) END, area, by0, bx0, by1, bx1, label)) AS region_no
-        FROM j WHERE inside OR covered >= 0.05 GROUP BY a, b, c, d)
-SELECT doc_id, page_number, span_no::INT AS span_no, region_no FROM sp LEFT JOIN k USING (a, b, c, d)"""
-)
+        FROM j WHERE inside OR covered >= 0.05 GROUP BY a, b, c, d)"""
+
+
+@query(f"WITH {_SQL_ASSIGNED} SELECT doc_id, page_number, span_no::INT AS span_no, region_no FROM sp LEFT JOIN k USING (a, b, c, d)")
 def region_assignment(spark, sf_dir):
     words = _words(spark, sf_dir).withColumn("span_no", F.col("line_no") * 100000 + F.col("word_no"))
     pages = words.select("doc_id", "page_number").distinct().withColumn("width", F.lit(_WIDTH)).withColumn("height", F.lit(_HEIGHT))
@@ -405,17 +1015,42 @@ def heading_levels(spark, sf_dir):
     return rows.select("doc_id", "page_number", "line_no", T.heading_level(F.col("size"), F.col("page_size")).alias("level"))
 
 
-@query()
+#: Read by hand from the boxes: the left column, whose fields end left of the strip's middle, then the strip, then the right column.
+_SQL_ORDER = "ro(region_no, position) AS (VALUES (0, 0), (2, 1), (4, 2), (6, 3), (1, 4), (3, 5), (5, 6))"
+
+
+@query(f"WITH {SQL_WORDS}, {_SQL_ORDER} SELECT doc_id, page_number, region_no, position FROM (SELECT DISTINCT doc_id, page_number FROM words), ro")
 def reading_orders(spark, sf_dir):
     words = _words(spark, sf_dir)
     return L.reading_order(_regions(spark, words)).select("doc_id", "page_number", "region_no", "position")
 
 
-@query()
+def _as_json(blocks: DataFrame) -> DataFrame:
+    """Blocks whose grid and cells are JSON texts, as SQL engines show nested values each in its own way."""
+    return blocks.withColumns({c: F.to_json(c) for c in ("grid", "cells")})
+
+
+# lines stand 12 points apart and are 10 high, so three lines on is the gap that ends a line of a region's text
+@query(
+    f"""WITH {_SQL_ASSIGNED}, {_SQL_ORDER},
+  own AS (SELECT doc_id, page_number, line_no, x0, x1, text, 8.0 + (doc_id + line_no) % 7 AS size, region_no FROM sp LEFT JOIN k USING (a, b, c, d)),
+  pz AS (SELECT doc_id, page_number, median(size) AS page_size FROM own GROUP BY ALL),
+  rz AS (SELECT doc_id, page_number, region_no, median(size) AS size FROM own GROUP BY ALL),
+  li AS (SELECT doc_id, page_number, region_no, line_no, {sql_strip("string_agg(text, ' ' ORDER BY x0, x1, text)")} AS line FROM own GROUP BY ALL),
+  ne AS (SELECT *, lead(line) OVER w AS following, lead(line_no) OVER w - line_no AS rows FROM li WHERE line <> '' WINDOW w AS (PARTITION BY doc_id, page_number, region_no ORDER BY line_no)),
+  hy AS (SELECT *, rows < 3 AND line LIKE '%-' AND regexp_matches(following, '^\\p{{L}}') AS broken FROM ne),
+  tx AS (SELECT doc_id, page_number, region_no, {sql_strip("string_agg(CASE WHEN following IS NULL THEN line WHEN rows >= 3 THEN line || chr(10) WHEN broken THEN line[:-2] ELSE line || ' ' END, '' ORDER BY line_no)")} AS text FROM hy GROUP BY ALL),
+  lv AS (SELECT tx.*, position, CASE WHEN size / page_size >= 1.60 THEN 1 WHEN size / page_size >= 1.35 THEN 2 ELSE 4 END AS grade
+         FROM tx JOIN pz ON pz.doc_id = tx.doc_id AND pz.page_number = tx.page_number
+           JOIN rz ON rz.doc_id = tx.doc_id AND rz.page_number = tx.page_number AND rz.region_no IS NOT DISTINCT FROM tx.region_no LEFT JOIN ro ON ro.region_no = tx.region_no WHERE text <> ''),
+  kd AS (SELECT *, coalesce(region_no < 6 AND grade <= 2 AND length(text) <= 80, false) AS large FROM lv)
+SELECT doc_id, page_number, (row_number() OVER (PARTITION BY doc_id, page_number ORDER BY position NULLS LAST) - 1)::INT AS block_no,
+       CASE WHEN region_no = 6 OR large THEN 'heading' ELSE 'paragraph' END AS kind, CASE WHEN region_no = 6 THEN 1 WHEN large THEN 2 END AS level, text, NULL::VARCHAR AS grid, NULL::VARCHAR AS cells FROM kd"""
+)
 def layout_blocks(spark, sf_dir):
     words = _words(spark, sf_dir).withColumn("span_no", F.col("line_no") * 100000 + F.col("word_no")).withColumn("size", 8.0 + (F.col("doc_id") + F.col("line_no")) % 7)
     pages = words.select("doc_id", "page_number").distinct().withColumn("width", F.lit(_WIDTH)).withColumn("height", F.lit(_HEIGHT))
-    return L.page_blocks(words, _regions(spark, words), pages)
+    return _as_json(L.page_blocks(words, _regions(spark, words), pages))
 
 
 # Tables and markup
@@ -643,15 +1278,30 @@ def _turn_text():
     return F.translate("text", "lO", "10")
 
 
-@query()
+_SQL_TURNS = """t AS (SELECT conv_id AS doc_id, turn::INT AS page_number, trim(translate(text, 'lO', '10')) AS own, left(text, 12) AS head FROM conversations)"""
+
+
+@query(
+    f"""WITH {_SQL_TURNS}
+SELECT doc_id, page_number, '# Turn' || chr(10) || chr(10) || own || CASE page_number % 5
+  WHEN 0 THEN chr(10) || chr(10) || '<table><tr><th>' || head || '</th></tr><tr><td>1</td></tr></table>' WHEN 1 THEN chr(10) || repeat(chr(10) || 'end', 6) ELSE '' END AS markdown FROM t"""
+)
 def sanitized_pages(spark, sf_dir):
     return _transcripts(spark, sf_dir).select("doc_id", "page_number", X.closed(X.sanitized(X.repaired(F.col("ocr_text"), F.col("second_text")))).alias("markdown"))
 
 
-@query()
+@query(
+    f"""WITH {_SQL_TURNS},
+  h AS (SELECT *, trim(head) AS cell FROM t)
+SELECT doc_id, page_number, 0 AS block_no, 'heading' AS kind, 'Turn' AS text, 1 AS level, NULL::VARCHAR AS grid, NULL::VARCHAR AS cells FROM t
+UNION ALL SELECT doc_id, page_number, 1, 'paragraph', own, NULL, NULL, NULL FROM t
+UNION ALL SELECT doc_id, page_number, 2, 'paragraph', 'end' || repeat(chr(10) || 'end', 5), NULL, NULL, NULL FROM t WHERE page_number % 5 = 1
+UNION ALL SELECT doc_id, page_number, 2, 'table', cell || chr(10) || '1', NULL, to_json([[cell], ['1']])::VARCHAR,
+  to_json([{{'row': 0, 'col': 0, 'text': cell, 'colspan': 1, 'rowspan': 1}}, {{'row': 1, 'col': 0, 'text': '1', 'colspan': 1, 'rowspan': 1}}])::VARCHAR FROM h WHERE page_number % 5 = 0"""
+)
 def page_blocks(spark, sf_dir):
     rows = sanitized_pages(spark, sf_dir).withColumn("blocks", X.blocks(F.col("markdown")))
-    return X.explode_blocks(rows)
+    return _as_json(X.explode_blocks(rows))
 
 
 def _turn_words(spark: SparkSession, sf_dir: str) -> DataFrame:
