@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import datetime
+import difflib
+import html
 import json
 import os
+import re
 
 import duckdb
 import pytest
@@ -15,7 +18,8 @@ from quire import cli
 from quire.config import EngineConfig
 from quire.functions import markup as K
 from quire.functions import text as T
-from quire.operators import layout, transcripts
+from quire.kernels import words as kernel_words
+from quire.operators import layout, pages, transcripts
 from quire.plans import convert
 from quire.sources import pdf, stored
 from quire.streaming import emission
@@ -46,9 +50,73 @@ def test_query_equals_sql(spark, name):
     assert sorted(repr(tuple(plain(r[c]) for c in columns)) for r in df.collect()) == rows
 
 
-@pytest.mark.parametrize("name", ["reading_orders", "merged_texts", "page_grids", "page_blocks", "sanitized_pages", "best_passages"])
-def test_other_queries_run(spark, name):
-    assert entry.queries()[name](spark, SF).count() > 0
+@pytest.fixture(scope="module")
+def turns(spark):
+    """The text of each turn, and as the queries' transcriptions have it."""
+    rows = spark.read.parquet(f"{SF}/conversations.parquet").collect()
+    return {(r["conv_id"], r["turn"]): (r["text"].strip(), r["text"].strip().translate(str.maketrans("lO", "10"))) for r in rows}
+
+
+def test_merges_keep_every_other_character(spark, turns):
+    out = entry.queries()["merged_texts"](spark, SF).collect()
+    assert len(out) == len(turns)
+    for r in out:
+        layer, own = turns[r["doc_id"], r["page_number"]]
+        assert len(r["text"]) == len(own) and all(c in pair for c, pair in zip(r["text"], zip(layer, own, strict=True), strict=True))
+        assert r["changed_chars"] == sum(a != b for a, b in zip(own, r["text"], strict=True))
+    assert sum(r["text"] == turns[r["doc_id"], r["page_number"]][0] for r in out) > 0.9 * len(out)
+
+
+def test_converted_pages_hold_their_turns(spark, turns):
+    plain_text = lambda t: re.sub(r"\s+", " ", html.unescape(re.sub(r"<[^>]*>", " ", t))).strip().translate(str.maketrans("lO", "10"))
+    read, by_layer = 0, 0
+    for r in entry.queries()["converted_documents"](spark, SF).collect():
+        for number, body in re.findall(r'<section data-page="(\d+)">(.*?)</section>', r["html"], re.S):
+            layer, own = turns[r["doc_id"], int(number)]
+            tail = {0: f"{layer[:12]} 1", 1: "end end"}.get(int(number) % 5, "")
+            want = plain_text(own if "<h1>Turn</h1>" not in body else f"Turn {own} {tail}")
+            assert plain_text(body) == want
+            read, by_layer = read + 1, by_layer + ("<h1>Turn</h1>" not in body)
+    assert read == len(turns) and 0 < by_layer < read / 2
+
+
+def test_best_passages_by_brute_force(spark):
+    lines: dict[str, tuple] = {}
+    for r in spark.read.parquet(f"{SF}/documents.parquet").where("text IS NOT NULL").orderBy("doc_id").collect():
+        for i, line in enumerate(r["text"].replace("\r\n", "\n").replace("\r", "\n").split("\n")):
+            if line:
+                lines.setdefault(line, (r["doc_id"], i))
+    words = lambda t: {t[a:b] for a, b in kernel_words.tokens(t)}
+    known = [(words(line.lower()), place, line) for line, place in lines.items()]
+    out = {r["item_id"]: r for r in entry.queries()["best_passages"](spark, SF).collect()}
+    items = spark.read.parquet(f"{SF}/benchmark.parquet").where("text IS NOT NULL").collect()
+    assert len(out) == len(items)
+    for r in items:
+        own = words(r["text"].lower())
+        less, place, line = min((-len(own & w), place, line) for w, place, line in known)
+        got = out[r["item_id"]]
+        if less:
+            assert (got["n"], got["doc_id"], got["line_no"]) == (-less, *place)
+            assert got["similarity"] == pytest.approx(difflib.SequenceMatcher(None, r["text"], line, autojunk=False).ratio())
+        else:
+            assert got["n"] is None
+
+
+def test_grids_run(spark):
+    """Of page_grids the grids themselves are compared in test_kernels."""
+    assert entry.queries()["page_grids"](spark, SF).count() == 2 * 204
+
+
+@pytest.mark.parametrize("n", [0, 1, 31, 32, 33, 64, 100, 1500])
+def test_words_of_long_lines_stand_in_place(spark, n):
+    line = " ".join("" if i % 7 == 3 else "é" * (i % 5) + "x" for i in range(n))
+    want, at = [], 0
+    for i, w in enumerate(line.split(" ")):
+        if w:
+            want.append((i, 6.0 * at, 6.0 * (at + len(w)), w))
+        at += len(w) + 1
+    rows = pages.words(spark.createDataFrame([(1, 1, 0, line)], "doc_id bigint, page_number int, line_no int, line string"))
+    assert [(r["word_no"], r["x0"], r["x1"], r["text"]) for r in rows.orderBy("word_no").collect()] == want
 
 
 def test_entry(spark):
