@@ -103,13 +103,16 @@ def gap_groups(words: DataFrame) -> DataFrame:
 
 
 def analysis(pages: DataFrame, likelihoods: DataFrame | None = None) -> DataFrame:
-    """One row a page: normalised text, tokens, quality, table likelihood and kind; pages: doc_id, page_number, text, image_ratio (or none)."""
+    """One row a page: normalised text, tokens, quality, table likelihood and kind.
+
+    pages: doc_id, page_number, text, and if they are known image_ratio and found_tables; the likelihood is at least the latter.
+    """
     page = ["doc_id", "page_number"]
-    ratio = F.col("image_ratio") if "image_ratio" in pages.columns else F.lit(0.0)
-    rows = pages.select(*page, F.coalesce("text", F.lit("")).alias("raw_text"), F.coalesce(ratio, F.lit(0.0)).alias("image_area_ratio"))
+    ratio, found = (F.coalesce(c, F.lit(0.0)) if c in pages.columns else F.lit(0.0) for c in ("image_ratio", "found_tables"))
+    rows = pages.select(*page, F.coalesce("text", F.lit("")).alias("raw_text"), ratio.alias("image_area_ratio"), found.cast("double").alias("found_tables"))
     if likelihoods is not None:
         rows = rows.join(likelihoods.select(*page, "likelihood"), page, "left")
-    likelihood = F.coalesce("likelihood", F.lit(0.0)) if likelihoods is not None else F.lit(0.0)
+    likelihood = F.greatest(F.coalesce("likelihood", F.lit(0.0)), "found_tables") if likelihoods is not None else F.col("found_tables")
     normal = T.normalize(F.col("raw_text"))
     has_text = T.strip(normal) != ""
     return rows.select(

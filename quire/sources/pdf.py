@@ -1,7 +1,10 @@
 """A data source for PDF files, read with an optional library; without it, reading fails with a clear message.
 
 `register(spark)` makes `spark.read.format("quire_pdf")` available. Each row is a page: path, page_number, width,
-height, text, words, spans and blocks (raw image and text blocks). Options: max_bytes, max_pages, pages_per_partition.
+height, text, words, spans, blocks (raw image and text blocks) and found_tables, 1 where the library sees tables, which is
+only asked with the option find_tables. Other options: max_bytes, max_pages, bytes_per_partition.
+
+The driver only lists files and their sizes: small files are read together, a large one by several tasks, each of which takes its share of the pages.
 """
 
 from __future__ import annotations
@@ -18,7 +21,7 @@ WORDS = "array<struct<x0:double,y0:double,x1:double,y1:double,text:string,block_
 SPANS = "array<struct<x0:double,y0:double,x1:double,y1:double,text:string,size:double,flags:int,font:string>>"
 SCHEMA = (
     f"path string, page_number int, width double, height double, text string, words {WORDS}, spans {SPANS}, "
-    "blocks array<struct<type:int,x0:double,y0:double,x1:double,y1:double>>"
+    "blocks array<struct<type:int,x0:double,y0:double,x1:double,y1:double>>, found_tables double"
 )
 
 
@@ -60,11 +63,19 @@ def spans_of(blocks) -> list[dict]:
     return sorted(out, key=lambda s: (s["y0"], s["x0"], s["y1"], s["x1"], s["text"]))
 
 
+def tables_found(page) -> float:
+    """1.0 where the library sees a table on its page; 0.0 also if it can't look."""
+    try:
+        return float(bool(list(page.find_tables().tables)))
+    except Exception:  # older libraries lack it, and it fails on odd drawings; it is a hint only
+        return 0.0
+
+
 @dataclass
 class _Pages(InputPartition):
-    path: str
-    first: int
-    last: int
+    """Files, each with the share of its pages that is read: part of parts."""
+
+    files: tuple[tuple[str, int, int], ...]
 
 
 class _Reader(DataSourceReader):
@@ -72,31 +83,47 @@ class _Reader(DataSourceReader):
         self.options = options
         self.max_bytes = int(options.get("max_bytes", 100 * 1024 * 1024))
         self.max_pages = int(options.get("max_pages", 200))
-        self.step = max(1, int(options.get("pages_per_partition", 16)))
+        self.step = max(1, int(options.get("bytes_per_partition", 4 * 1024 * 1024)))
+        self.find_tables = str(options.get("find_tables", "false")).lower() == "true"
 
     def partitions(self) -> list[_Pages]:
         path = self.options["path"].removeprefix("file://")
         files = sorted(glob.glob(os.path.join(path, "*.pdf"))) if os.path.isdir(path) else sorted(glob.glob(path))
-        out = []
+        out: list[_Pages] = []
+        small: list[tuple[str, int, int]] = []
+        size = 0
         for f in files:
-            with open(f, "rb") as handle:
-                data = handle.read()
-            check(data, self.max_bytes)
-            with library().open(stream=data, filetype="pdf") as pdf:
-                if len(pdf) > self.max_pages:
-                    raise ValueError(f"{f} has {len(pdf)} pages, at most {self.max_pages} are read")
-                out += [_Pages(f, a, min(len(pdf), a + self.step)) for a in range(0, len(pdf), self.step)]
-        return out
+            n = os.path.getsize(f)
+            parts = -(-n // self.step)
+            if parts > 1:
+                out += [_Pages(((f, k, parts),)) for k in range(parts)]
+                continue
+            if small and size + n > self.step:
+                out.append(_Pages(tuple(small)))
+                small, size = [], 0
+            small.append((f, 0, 1))
+            size += n
+        return [*out, _Pages(tuple(small))] if small else out
 
     def read(self, partition: _Pages) -> Iterator[tuple]:
-        with library().open(partition.path) as pdf:
-            for i in range(partition.first, partition.last):
-                page = pdf[i]
-                raw = page.get_text("dict") or {}
-                blocks = [(int(b.get("type", -1)), *map(float, b["bbox"])) for b in raw.get("blocks", ()) if len(b.get("bbox", ())) == 4]
-                own = [tuple(w.values()) for w in words_of(page.get_text("words") or ())]
-                spans = [tuple(s.values()) for s in spans_of(b for b in raw.get("blocks", ()) if b.get("type") == 0)]
-                yield partition.path, i + 1, float(page.rect.width), float(page.rect.height), page.get_text("text") or "", own, spans, blocks
+        for path, part, parts in partition.files:
+            with open(path, "rb") as handle:
+                data = handle.read(self.max_bytes + 1)
+            check(data, self.max_bytes)
+            with library().open(stream=data, filetype="pdf") as pdf:
+                n = len(pdf)
+                if n > self.max_pages:
+                    raise ValueError(f"{path} has {n} pages, at most {self.max_pages} are read")
+                for i in range(n * part // parts, n * (part + 1) // parts):
+                    yield self.row(path, i, pdf[i])
+
+    def row(self, path: str, i: int, page) -> tuple:
+        raw = page.get_text("dict") or {}
+        blocks = [(int(b.get("type", -1)), *map(float, b["bbox"])) for b in raw.get("blocks", ()) if len(b.get("bbox", ())) == 4]
+        own = [tuple(w.values()) for w in words_of(page.get_text("words") or ())]
+        spans = [tuple(s.values()) for s in spans_of(b for b in raw.get("blocks", ()) if b.get("type") == 0)]
+        found = tables_found(page) if self.find_tables else 0.0
+        return path, i + 1, float(page.rect.width), float(page.rect.height), page.get_text("text") or "", own, spans, blocks, found
 
 
 class PdfSource(DataSource):

@@ -7,7 +7,7 @@ import urllib.request
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.functions import markup as M
@@ -32,14 +32,38 @@ def layouts(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(REGIONS).json(path)
 
 
-def write_html(documents: DataFrame, path: str) -> None:
-    """One folder a document (doc_id, html), each with a text file; committed by Spark's writer."""
-    documents.select("doc_id", F.col("html").alias("value")).write.partitionBy("doc_id").mode("overwrite").text(path)
+def write_html(documents: DataFrame, path: str, buckets: int | None = None) -> None:
+    """Documents (doc_id, html) as text files, one folder each, committed by Spark's writer.
+
+    That is for as many documents as a folder may hold; with buckets they are rows of Parquet files in so many folders, by the hash of doc_id, from which read_html() takes one.
+    """
+    if buckets is None:
+        documents.select("doc_id", F.col("html").alias("value")).write.partitionBy("doc_id").mode("overwrite").text(path)
+        return
+    _bucketed(documents.select("doc_id", "html"), buckets).write.partitionBy("bucket").mode("overwrite").parquet(path)
 
 
-def write_pages(pages: DataFrame, path: str) -> None:
+def write_pages(pages: DataFrame, path: str, buckets: int | None = None) -> None:
     """Page artefacts (doc_id, page_number, html) likewise."""
-    pages.select("doc_id", "page_number", F.col("html").alias("value")).write.partitionBy("doc_id", "page_number").mode("overwrite").text(path)
+    if buckets is None:
+        pages.select("doc_id", "page_number", F.col("html").alias("value")).write.partitionBy("doc_id", "page_number").mode("overwrite").text(path)
+        return
+    _bucketed(pages.select("doc_id", "page_number", "html"), buckets).write.partitionBy("bucket").mode("overwrite").parquet(path)
+
+
+def _bucket(doc_id: Column, buckets: int) -> Column:
+    return F.pmod(F.xxhash64(doc_id.cast("bigint")), F.lit(buckets)).cast("int")
+
+
+def _bucketed(rows: DataFrame, buckets: int) -> DataFrame:
+    """rows with their bucket, each bucket in one task and sorted, so that a look-up skips most of its file."""
+    return rows.withColumn("bucket", _bucket(F.col("doc_id"), buckets)).repartition(buckets, "bucket").sortWithinPartitions("bucket", "doc_id")
+
+
+def read_html(spark: SparkSession, path: str, buckets: int, doc_id: int) -> DataFrame:
+    """A document's rows out of what was written with buckets; only its bucket is looked at."""
+    rows = spark.read.parquet(path)
+    return rows.where((F.col("bucket") == _bucket(F.lit(doc_id), buckets)) & (F.col("doc_id") == doc_id)).drop("bucket")
 
 
 PROMPT = "Transcribe the page as markdown. Keep tables."

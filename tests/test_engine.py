@@ -231,6 +231,62 @@ def test_model_operator(spark):
         stored.transcribe(images, client).collect()
 
 
+class _Page:
+    """A page as the PDF library shows it."""
+
+    rect = type("Rect", (), {"width": 600, "height": 800})
+
+    def __init__(self, text):
+        self.text = text
+
+    def get_text(self, kind):
+        span = {"bbox": (1, 2, 9, 4), "text": self.text, "size": 9.0, "flags": 0, "font": "f"}
+        return {"text": self.text, "words": [(1, 2, 9, 4, self.text, 0, 0, 0)], "dict": {"blocks": [{"type": 0, "bbox": (1, 2, 9, 4), "lines": [{"spans": [span]}]}, {"type": 1, "bbox": (0, 0, 300, 400)}]}}[kind]
+
+    def find_tables(self):
+        if self.text == "p2":
+            raise RuntimeError("odd drawing")
+        return type("Found", (), {"tables": [1] if self.text == "p1" else []})
+
+
+class _Pdf(list):
+    def __enter__(self):
+        return self
+
+    def __exit__(self, *_):
+        return None
+
+
+def test_pdf_pages_are_read_once_each(monkeypatch, tmp_path):
+    opened = lambda stream, filetype: _Pdf(_Page(f"p{i}") for i in range(int(stream[5:8])))
+    monkeypatch.setattr(pdf, "library", lambda: type("Library", (), {"open": staticmethod(opened)}))
+    for name, n, size in (("a", 3, 10), ("b", 7, 950), ("c", 0, 10), ("d", 1, 85)):
+        (tmp_path / f"{name}.pdf").write_bytes(b"%PDF-" + b"%03d" % n + b" " * size)
+    reader = pdf._Reader({"path": str(tmp_path), "bytes_per_partition": "100", "find_tables": "true"})
+    parts = reader.partitions()
+    assert len(parts) == 10 + 2 and len(parts[-2].files) == 2
+    rows = sorted(r for p in parts for r in reader.read(p))
+    assert [(os.path.basename(r[0]), r[1]) for r in rows] == [("a.pdf", i) for i in (1, 2, 3)] + [("b.pdf", i) for i in range(1, 8)] + [("d.pdf", 1)]
+    assert [r[8] for r in rows[:3]] == [0.0, 1.0, 0.0]
+    assert rows[1][2:8] == (600.0, 800.0, "p1", [(1.0, 2.0, 9.0, 4.0, "p1", 0, 0, 0)], [(1.0, 2.0, 9.0, 4.0, "p1", 9.0, 0, "f")], [(0, 1.0, 2.0, 9.0, 4.0), (1, 0.0, 0.0, 300.0, 400.0)])
+    with pytest.raises(ValueError, match="at most 2"):
+        list(pdf._Reader({"path": str(tmp_path), "max_pages": "2"}).read(parts[-2]))
+
+
+def test_found_tables_raise_the_likelihood(spark):
+    rows = spark.createDataFrame([(1, 1, "a word", 0.0, 1.0), (1, 2, "a word", 0.0, None)], "doc_id int, page_number int, text string, image_ratio double, found_tables double")
+    assert {r["page_number"]: (r["table_likelihood"], r["page_kind"]) for r in pages.analysis(rows).collect()} == {1: (1.0, "table"), 2: (0.0, "text")}
+
+
+def test_html_in_buckets(spark, tmp_path):
+    docs = spark.createDataFrame([(i, f"<p>{i}</p>\n") for i in range(50)], "doc_id bigint, html string")
+    stored.write_html(docs, f"{tmp_path}/h", buckets=4)
+    assert len([f for f in os.listdir(f"{tmp_path}/h") if f.startswith("bucket=")]) == 4
+    assert [tuple(r) for r in stored.read_html(spark, f"{tmp_path}/h", 4, 17).collect()] == [(17, "<p>17</p>\n")]
+    stored.write_pages(docs.withColumn("page_number", F.lit(1)), f"{tmp_path}/p", buckets=4)
+    assert stored.read_html(spark, f"{tmp_path}/p", 4, 3).collect()[0]["page_number"] == 1
+
+
 def test_pdf_limits():
     pdf.check(b"  %PDF-1.7", 100)
     for bad in (b"", b"hello", b"%PDF" + b"x" * 200):
