@@ -21,8 +21,9 @@ Cases: null and wordless texts have fingerprint zero and are linked like any oth
 shorter than a shingle has one shingle of all its words; a null id is its own document and
 never a class's smallest id unless it is alone; repeated rows stay as many rows; extra columns are left out.
 
-one_of_each, the pipeline's stage, doesn't link by fingerprints: at shingle similarity 0.8 they differ in ten bits and more,
-which no covering family of bearable size reaches. It takes candidates and exact similarities from minhash.
+one_of_each, the pipeline's stage, takes the classes of fingerprints as candidates and compares their texts exactly. At shingle
+similarity 0.8 fingerprints differ in ten bits and more, which no covering family of bearable size reaches, so
+MinHash keys add the candidates that fingerprints miss.
 """
 
 from __future__ import annotations
@@ -57,12 +58,12 @@ def one_of_each(docs: DataFrame, words: int = 5) -> DataFrame:
     # a text's class depends on the text alone, which its digest stands for
     digest = [F.xxhash64(text).alias("t1"), F.xxhash64(text, F.lit(1)).alias("t2")]
     marks = docs.select("doc_id", *digest, F.octet_length(text).alias("bytes"), sketches(words)(F.col("text")).alias("s"))
-    marks = written(marks.select("doc_id", "t1", "t2", "bytes", "s.node", "s.keys"), "sketches")
+    marks = written(marks.select("doc_id", "t1", "t2", "bytes", "s.node", "s.keys", "s.print"), "sketches")
     nodes = written(marks.select("node", "keys").dropDuplicates(["node"]), "nodes")
     keyed = nodes.select(F.explode("keys").alias("key"), "node")
     heads = keyed.groupBy("key").agg(F.min("node").alias("head"), F.max("node").alias("last")).where(F.col("head") < F.col("last")).select("key", "head")
-    candidates = _rooted(components(keyed.join(heads, "key").select(F.col("head").alias("a"), F.col("node").alias("b"))))
-    candidates = written(candidates, "candidates")
+    sketched = keyed.join(heads, "key").select(F.col("head").alias("a"), F.col("node").alias("b"))
+    candidates = written(_rooted(components(_by_print(marks).unionByName(sketched))), "candidates")
     # one text of each node goes to its candidates; those of many are cut into blocks, and every pair of blocks is searched
     chosen = marks.join(candidates, "node").groupBy("node", "root").agg(F.min(F.struct("t1", "t2", "bytes")).alias("t"))
     chosen = written(chosen.select("node", "root", "t.*"), "chosen")
@@ -88,17 +89,27 @@ def one_of_each(docs: DataFrame, words: int = 5) -> DataFrame:
     return out.select([F.col(f"`{c}`") for c in docs.columns])
 
 
+def _by_print(marks: DataFrame) -> DataFrame:
+    """Edges (a, b) that connect the nodes of each class of fingerprints."""
+    nodes = written(marks.select("print", "node").distinct(), "prints")
+    tree = _rooted(components(links(nodes.select("print").distinct()))).withColumnRenamed("node", "print")
+    rooted = written(nodes.join(tree, "print", "left").select(F.coalesce("root", "print").alias("root"), "node"), "print-classes")
+    heads = rooted.groupBy("root").agg(F.min("node").alias("a"), F.max("node").alias("last")).where(F.col("a") < F.col("last")).select("root", "a")
+    return rooted.join(heads, "root").select("a", F.col("node").alias("b"))
+
+
 def sketches(words: int):
-    """A column function from text to its node and sketch keys (minhash)."""
+    """A column function from text to its node, sketch keys (minhash) and fingerprint."""
 
-    @F.arrow_udf("struct<node: bigint, keys: array<bigint>>")
+    @F.arrow_udf("struct<node: bigint, keys: array<bigint>, print: bigint>")
     def run(texts: pa.Array) -> pa.Array:
         own = [minhash.shingles(t.as_py(), words) for t in texts]
         keys = [minhash.keys(s).view(np.int64) for s in own]
         nodes = np.array([minhash.node(s) for s in own], np.uint64).view(np.int64)
         ends = np.cumsum([0, *map(len, keys)]).astype(np.int32)
         lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, np.int64), *keys])))
-        return pa.StructArray.from_arrays([pa.array(nodes), lists], ["node", "keys"])
+        prints = np.array([fingerprint(t.as_py(), words) for t in texts], np.uint64).view(np.int64)
+        return pa.StructArray.from_arrays([pa.array(nodes), lists, pa.array(prints)], ["node", "keys", "print"])
 
     return lambda text: run(text.cast("string"))
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import random
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from quire.llm import minhash, simhash
 
@@ -65,3 +66,20 @@ def test_rows_are_chosen_by_class_not_by_id(spark):
     kept = [tuple(r) for r in simhash.one_of_each(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()]
     assert len(kept) == 5 and {rows[0], rows[1], rows[5], rows[6]} < set(kept)
     assert sum(t in (" ".join(words), " ".join(near)) for _, t in kept) == 1
+
+
+def test_fingerprints_find_candidates(spark, monkeypatch):
+    """The stage's candidates come from fingerprints too: without any MinHash key it still finds copies whose fingerprints are linked."""
+    whole = simhash.sketches
+
+    def without_keys(words):
+        return lambda text: F.struct(whole(words)(text)["node"].alias("node"), F.array().cast("array<bigint>").alias("keys"), whole(words)(text)["print"].alias("print"))
+
+    monkeypatch.setattr(simhash, "sketches", without_keys)
+    words = [f"w{i}" for i in range(2000)]
+    copy = " ".join([*words[:-1], "other"])
+    rows = [(1, " ".join(words)), (2, copy), (3, "a text that has nothing in common with the others")]
+    a, b = (simhash.fingerprint(t, 5) for _, t in rows[:2])
+    assert (a ^ b).bit_count() <= simhash.RADIUS
+    kept = simhash.one_of_each(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert {r["doc_id"] for r in kept} == {1, 3}
