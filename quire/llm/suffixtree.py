@@ -27,6 +27,7 @@ empty table gives no rows; extra columns are left out.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from functools import partial
 
@@ -43,14 +44,17 @@ from quire.llm.common import bucketed, release, written
 LEAST = 8  # occurrences of a context
 DEVIATIONS = 4.0
 DEEPEST = 16  # words of a context
-CHUNK = 1 << 20  # tokens
+CHUNK = 1 << 20  # tokens; a worker takes some 200 bytes for each, and smaller chunks ask more
+IN_BUCKET, BYTES_A_TOKEN = 4, 5
 PER_SHARD = 2 << 20  # questions that a shard answers on average
+TOGETHER = 1 << 19  # questions that a shard counts at a time
 HOT = 1 << 20
 END = b" "  # the end symbol, which is no word
 SEED = 42
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _START = np.uint64(0x9E3779B97F4A7C15)  # the key of the context before a text
 _ODD = np.uint64(0xD6E8FEB86659FD93)
+_LIBC = ctypes.CDLL(None)
 _PIECE = 4 << 20  # bytes of a text that are split at a time
 
 
@@ -173,6 +177,7 @@ def _chunked(docs: DataFrame, train: Column, chunk: int) -> DataFrame:
                     yield close()
         if meta:
             yield close()
+        _trim()
 
     return docs.select("doc_id", F.col("text").cast("string").alias("text"), train.alias("train")).mapInArrow(run, _CHUNK.format(id=id_type))
 
@@ -214,17 +219,21 @@ def _ask_words(batches: Iterator[pa.RecordBatch], shards: int) -> Iterator[pa.Re
 
 
 def _by_shard(batches: Iterator[pa.RecordBatch], answer) -> Iterator[pa.RecordBatch]:
-    """Rows come sorted by shard; answer gets those of one."""
+    """A partition's rows are those of one shard, or come sorted by shard; answer gets those of one."""
     at, waiting = None, []
     for batch in batches:
-        for row in batch.to_pylist():
+        for i in range(batch.num_rows):
+            row = batch.slice(i, 1).to_pylist()[0]
             if row["shard"] != at and waiting:
                 yield _batch(answer(waiting), _ANSWER)
                 waiting = []
+                _trim()
             at = row["shard"]
             waiting.append(row)
     if waiting:
         yield _batch(answer(waiting), _ANSWER)
+        del waiting
+        _trim()
 
 
 def _count_words(rows: list[dict]) -> list[tuple]:
@@ -242,28 +251,31 @@ class _Pairs:
     """The distinct (context, word) of a chunk's open tokens, in the order in which they are asked."""
 
     def __init__(self, context: np.ndarray, word: np.ndarray, chance: np.ndarray, learnt: np.ndarray, context_keys: np.ndarray, context_n: np.ndarray, word_keys: np.ndarray, shards: int, hot: int):
-        code, self.of = np.unique(context * len(word_keys) + word, return_inverse=True)
-        c, w = code // max(1, len(word_keys)), code % max(1, len(word_keys))
+        code, self.of = np.unique(context.astype(np.int64) * len(word_keys) + word, return_inverse=True)
+        c, w = (code // max(1, len(word_keys))).astype(np.int32), (code % max(1, len(word_keys))).astype(np.int32)
+        self.of = self.of.astype(np.int32)
         n = np.bincount(self.of[learnt], minlength=len(code))
         parent = np.zeros(len(code))
+        del code
         parent[self.of] = chance
         short = word_keys[w] >> np.uint64(24)
         splits = np.maximum(1, context_n[c] // hot)
         place = np.where(splits > 1, _mixed(context_keys[c] + (short % splits.astype(np.uint64)) * _ODD), context_keys[c])
-        shard = _shard(place, shards)
+        shard = _shard(place, shards).astype(np.int32)
+        del splits, place
         # contexts by the rank of their keys: one number orders pairs within a shard
         order = np.argsort(context_keys, kind="stable")
         rank = np.empty(len(order), np.uint64)
         rank[order] = np.arange(len(order), dtype=np.uint64)
         order = np.argsort(rank[c] << np.uint64(40) | short, kind="stable")
         order = order[np.argsort(shard[order], kind="stable")]
-        back = np.empty(len(order), np.int64)
-        back[order] = np.arange(len(order))
+        back = np.empty(len(order), np.int32)
+        back[order] = np.arange(len(order), dtype=np.int32)
         self.of = back[self.of]
         self.shard, self.context, self.word, self.short, self.n, self.parent = shard[order], c[order], w[order], short[order], n[order], parent[order]
         new = np.append(True, (self.context[1:] != self.context[:-1]) | (self.shard[1:] != self.shard[:-1])) if len(order) else np.zeros(0, bool)
         self.first = np.flatnonzero(new)  # of each run of one context
-        self.run = np.cumsum(new) - 1
+        self.run = np.cumsum(new, dtype=np.int32) - np.int32(1)
         self.context_keys, self.context_n, self.word_keys, self.hot = context_keys, context_n, word_keys, hot
 
     def questions(self, chunk: int) -> list[tuple]:
@@ -291,19 +303,70 @@ def _kept(n: np.ndarray, kinds: np.ndarray, own: np.ndarray, theirs: np.ndarray)
     return ratio > free + DEVIATIONS * np.sqrt(2 * free)
 
 
-def _count_pairs(rows: list[dict], depth: int) -> list[tuple]:
-    """How often each word follows its context, and each context's number of successors, 0 where it isn't kept."""
-    keys, kinds, theirs = [_summed(r["contexts"]) for r in rows], [_unpacked(r["kinds"], np.int64) for r in rows], [_unpacked(r["theirs"], np.float64) for r in rows]
-    context_cut = np.cumsum([0] + [len(k) for k in keys])
-    kinds = np.concatenate(kinds)
+def _count_pairs(rows: list[dict], depth: int, together: int = TOGETHER) -> list[tuple]:
+    """How often each word follows its context, and each context's number of successors, 0 where it isn't kept.
+
+    A shard's questions are counted by ranges of context keys with about `together` questions each, as counting takes many times their own memory.
+    """
+    sizes = [_unpacked(r["kinds"], np.int64) >> 1 for r in rows]
+    keys = [_summed(r["contexts"]) for r in rows]
+    every = np.concatenate(keys)
+    order = np.argsort(every)
+    cut = np.cumsum(np.concatenate(sizes)[order])
+    # a context's questions stay together: a range begins at a key
+    begins = np.unique(every[order][np.searchsorted(cut, np.arange(together, int(cut[-1]), together), "right")])
+    del every, order, cut
+    # a message's contexts come in the order of their keys, so its answers are those of the ranges one after another
+    runs = [np.concatenate([[0], np.searchsorted(k, begins), [len(k)]]) for k in keys]
+    kinds: list[list[np.ndarray]] = [[] for _ in rows]
+    counts: list[list[np.ndarray]] = [[] for _ in rows]
+    sums: list[tuple] = []
+    for i in range(len(begins) + 1):
+        some = [j for j in range(len(rows)) if runs[j][i + 1] > runs[j][i]]
+        if not some:
+            continue
+        answers, pairs, parted = _count_range([(rows[j], keys[j], int(runs[j][i]), int(runs[j][i + 1])) for j in some])
+        for j, a, n in zip(some, answers, pairs, strict=True):
+            kinds[j].append(a)
+            counts[j].append(n)
+        sums += [(None, depth, None, None, None, *x) for x in parted]
+    joined = lambda parts: _packed(np.concatenate(parts).astype(np.int64))
+    return [(r["chunk"], depth, r["shard"], joined(kinds[j]), joined(counts[j]), None, None, None, None, None) for j, r in enumerate(rows)] + sums
+
+
+def _trim() -> None:
+    """Give freed memory back, which an idle worker would keep while the next stage's JVM side grows."""
+    pa.default_memory_pool().release_unused()
+    if hasattr(_LIBC, "malloc_trim"):
+        _LIBC.malloc_trim(0)
+
+
+def _small(n: np.ndarray) -> np.ndarray:
+    return n.astype(np.int32) if not len(n) or n.max() < 1 << 31 else n
+
+
+def _count_range(rows: list[tuple[dict, np.ndarray, int, int]]) -> tuple[list[np.ndarray], list[np.ndarray], list[tuple]]:
+    """_count_pairs for the contexts begin to end of each (message, its keys, begin, end): by message the contexts' answers and the pairs' counts, and the sums of split contexts."""
+    kinds, theirs, steps, ns = [], [], [], []
+    for r, _, a, b in rows:
+        own = _unpacked(r["kinds"], np.int64)
+        c, d = int((own[:a] >> 1).sum()), int((own[:b] >> 1).sum())
+        kinds.append(own[a:b])
+        theirs.append(_unpacked(r["theirs"], np.float64)[a:b])
+        steps.append(_unpacked(r["words"], np.uint64)[c:d].copy())
+        ns.append(_small(_unpacked(r["counts"], np.int64)[c:d]))
+    context_cut = np.cumsum([0, *map(len, kinds)])
+    kinds, step, n = np.concatenate(kinds), np.concatenate(steps), np.concatenate(ns)
+    del steps, ns
     sizes, split = kinds >> 1, (kinds & 1).astype(bool)
-    step, n = (np.concatenate([_unpacked(r[c], t) for r in rows]) for c, t in (("words", np.uint64), ("counts", np.int64)))
     first = np.cumsum(sizes) - sizes
     total = np.cumsum(step, dtype=np.uint64)
-    short = total - np.repeat(total[first] - step[first], sizes)
-    contexts, inverse = np.unique(np.concatenate(keys), return_inverse=True)
-    of = np.repeat(inverse, sizes)
-    codes, pair = np.unique(of.astype(np.uint64) << np.uint64(40) | short, return_inverse=True)
+    total -= np.repeat(total[first] - step[first], sizes)
+    del step
+    contexts, inverse = np.unique(np.concatenate([k[a:b] for _, k, a, b in rows]), return_inverse=True)
+    total |= np.repeat(inverse, sizes).astype(np.uint64) << np.uint64(40)
+    codes, pair = np.unique(total, return_inverse=True)
+    del total
     of = (codes >> np.uint64(40)).astype(np.int64)
     n = np.bincount(pair, n)
     sums = lambda x: np.bincount(of, x, minlength=len(contexts))
@@ -313,13 +376,11 @@ def _count_pairs(rows: list[dict], depth: int) -> list[tuple]:
     parted[inverse] = split
     answer = np.where(_kept(all_n, sorts, own, their) | parted, sorts, 0).astype(np.int64)
     pair_cut = np.cumsum([0, *sizes])[context_cut]
-    out = [
-        (r["chunk"], depth, r["shard"], _packed(answer[inverse[a:b]]), _packed(n[pair[c:d]].astype(np.int64)), None, None, None, None, None)
-        for r, a, b, c, d in zip(rows, context_cut[:-1].tolist(), context_cut[1:].tolist(), pair_cut[:-1].tolist(), pair_cut[1:].tolist(), strict=True)
-    ]
-    for i in np.flatnonzero(parted).tolist():
-        out.append((None, depth, None, None, None, int(contexts[i].view(np.int64)), int(all_n[i]), int(sorts[i]), float(own[i]), float(their[i])))
-    return out
+    n = _small(n.astype(np.int64))
+    answers = [_small(answer[inverse[a:b]]) for a, b in zip(context_cut[:-1].tolist(), context_cut[1:].tolist(), strict=True)]
+    pairs = [n[pair[c:d]] for c, d in zip(pair_cut[:-1].tolist(), pair_cut[1:].tolist(), strict=True)]
+    hot = [(int(contexts[i].view(np.int64)), int(all_n[i]), int(sorts[i]), float(own[i]), float(their[i])) for i in np.flatnonzero(parted).tolist()]
+    return answers, pairs, hot
 
 
 _STATE = "chunk bigint, ids array<{id}>, rows array<bigint>, train array<boolean>, parts array<boolean>, sizes binary, lead binary, tokens binary, known binary, base binary, done binary, at binary, contexts binary, words binary, chance binary, context_keys binary, context_n binary, word_keys binary, open bigint"
@@ -374,17 +435,17 @@ def _read(row: dict) -> _State:
 
 def _opened(row: dict, answers: list[dict], total: int, once: float, begins: int) -> tuple[_State, np.ndarray, np.ndarray, np.ndarray]:
     """The state after the empty context; and for each text its known tokens, the sum of log10(c + 1), and less()'s sums."""
-    texts, keys, tokens = _Texts(row), _summed(row["keys"]), _unpacked(row["tokens"], np.int32).astype(np.int64)
+    texts, keys, tokens = _Texts(row), _summed(row["keys"]), _unpacked(row["tokens"], np.int32)
     answers = sorted(answers, key=lambda r: r["shard"])
     c = np.concatenate([_unpacked(r["counts"], np.int64) for r in answers])
     text, own = texts.own(np.arange(len(tokens)))
     sums = lambda per: np.bincount(text[own], per[tokens[own]], minlength=len(texts.sizes))
     unseen = (once + 0.5) / (total + 1)
     chance = np.where(c > 0, (1 - unseen) * c / max(1, total), unseen)
-    contexts = np.append(len(keys), tokens[:-1])
+    contexts = np.append(np.int32(len(keys)), tokens[:-1])
     contexts[texts.begins] = len(keys)
     every = _State(
-        texts, row["chunk"], at=np.arange(len(tokens)), contexts=contexts, words=tokens, chance=chance[tokens],
+        texts, row["chunk"], at=np.arange(len(tokens), dtype=np.int32), contexts=contexts, words=tokens, chance=chance[tokens],
         context_keys=np.append(keys, _START), context_n=np.append(c, begins), word_keys=keys,
     )
     state, done = every.less(every.context_n[contexts] >= LEAST)
@@ -402,7 +463,7 @@ def _row(state: _State, left: pa.Table, known: np.ndarray, base: np.ndarray, don
 
 
 def _answered(questions: DataFrame, shards: int, answer) -> DataFrame:
-    dealt = questions.repartition(shards, "shard").sortWithinPartitions("shard")
+    dealt = questions.repartitionById(shards, "shard")  # one shard a partition: hashing would put several into one
     return written(dealt.mapInArrow(partial(_by_shard, answer=answer), _ANSWER), "answers")
 
 
@@ -419,7 +480,9 @@ def score(docs: DataFrame, train: Column, chunk: int = CHUNK, per_shard: int = P
     """doc_id, train, n_tokens, n_known, train_tokens, base_score and score for docs (doc_id, text); train: the rows to learn from."""
     spark = docs.sparkSession
     id_type = docs.schema["doc_id"].dataType.simpleString()
-    buckets = max(1, min(docs.rdd.getNumPartitions(), 50_000))
+    # a bucket is read and grouped at once, so it gets some IN_BUCKET chunks however large the partitions are
+    n_bytes = docs.agg(F.sum(F.octet_length(F.col("text").cast("string")))).first()[0] or 0
+    buckets = max(1, min(max(docs.rdd.getNumPartitions(), n_bytes // (chunk * BYTES_A_TOKEN * IN_BUCKET)), 50_000))
     chunks = bucketed(_chunked(docs, train, chunk), "chunks", "chunk", buckets)
     n_words, size = (int(x or 0) for x in chunks.agg(F.sum("words"), F.sum("size")).first())
     shards = max(1, -(-n_words // per_shard))
@@ -431,6 +494,7 @@ def score(docs: DataFrame, train: Column, chunk: int = CHUNK, per_shard: int = P
     shards = max(1, -(-size // per_shard))
 
     def ask_first(left: pa.Table, right: pa.Table) -> pa.Table:
+        _trim()
         row = left.to_pylist()[0]
         state = _opened(row, right.to_pylist(), total, once, begins)[0]
         return pa.Table.from_batches([_batch(state.pairs(shards, hot).questions(row["chunk"]) if len(state.at) else [], _QUESTION)])
@@ -440,6 +504,7 @@ def score(docs: DataFrame, train: Column, chunk: int = CHUNK, per_shard: int = P
     shared = spark.sparkContext.broadcast(_hot_sums(first))  # at most 2**20 pairs of numbers
 
     def open_first(left: pa.Table, right: pa.Table) -> pa.Table:
+        _trim()
         row, answers = left.to_pylist()[0], right.to_pylist()
         state, known, base, done = _opened(row, [a for a in answers if not a["depth"]], total, once, begins)
         state, more = state.longer([a for a in answers if a["depth"]], shards, hot, shared.value)
@@ -486,11 +551,13 @@ def _deeper(state: DataFrame, depth: int, shards: int, hot: int, schema: str, bu
                 row = batch.slice(i, 1).to_pylist()[0]
                 if row["open"]:
                     yield _batch(_read(row).pairs(shards, hot).questions(row["chunk"]), _QUESTION)
+                    _trim()
 
     answers = _answered(state.mapInArrow(ask, _QUESTION), shards, partial(_count_pairs, depth=depth))
     shared = state.sparkSession.sparkContext.broadcast(_hot_sums(answers))  # at most 2**20 pairs of numbers
 
     def step(left: pa.Table, right: pa.Table) -> pa.Table:
+        _trim()
         row = left.to_pylist()[0]
         after, more = _read(row).longer(right.to_pylist(), shards, hot, shared.value)
         known, base, done = (_unpacked(row[c], np.float64) for c in ("known", "base", "done"))

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import math
 import re
+import tracemalloc
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -99,3 +101,33 @@ def test_more_text_keeps_more(spark):
         tree = Plain(texts, [True] * n)
         sizes.append(sum(len(kept) for _, kept in tree.levels))
     assert sizes[1] > 2 * sizes[0]
+
+
+def shard_of_questions(messages: int, size: int) -> list[dict]:
+    """A shard's messages, each of size pairs of some contexts and words."""
+    rng = np.random.RandomState(1)
+    names = [f.split(" ")[0] for f in suffixtree._QUESTION.split(", ")]
+    rows = []
+    for chunk in range(messages):
+        context_keys, word_keys = (np.sort(rng.randint(0, 1 << 62, size // n, np.int64).astype(np.uint64) * np.uint64(4)) for n in (10, 20))
+        shared = np.uint64(4) * np.arange(size // 10, dtype=np.uint64) << np.uint64(32)  # half of the contexts are in every message
+        context_keys[::2] = shared[::2]
+        pairs = suffixtree._Pairs(
+            rng.randint(0, len(context_keys), size), rng.randint(0, len(word_keys), size), np.full(size, 0.1), np.ones(size, bool),
+            context_keys, np.full(len(context_keys), 50), word_keys, 1, 20,
+        )
+        rows += [dict(zip(names, q, strict=True)) for q in pairs.questions(chunk)]
+    return rows
+
+
+def test_a_shard_is_counted_in_ranges(monkeypatch):
+    rows = shard_of_questions(4, 250_000)
+    whole = suffixtree._count_pairs(rows, 1, 1 << 40)
+    tracemalloc.start()
+    parts = suffixtree._count_pairs(rows, 1, 1 << 16)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    order = lambda rows: sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[5] or 0))
+    for a, b in zip(order(whole), order(parts), strict=True):
+        assert a[:8] == b[:8] and (a[0] is not None or np.allclose(a[8:], b[8:]))
+    assert most < 60 * 1_000_000  # in one piece, a million questions take more than 100 MB
