@@ -15,7 +15,8 @@ emits a spanning forest of its links instead of all pairs: a breadth-first searc
 each reached fingerprint with those not reached yet. A bucket beyond BLOCK fingerprints is
 cut into blocks and every pair of blocks searched on its own, which loses no link and
 bounds each search. Components are then found over the forest edges by repeated hooking
-to the smallest neighbour, with each round written to the shared folder.
+to the smallest neighbour, with each round written to the shared folder, until every node is joined
+to the smallest of its component.
 
 Cases: null and wordless texts have fingerprint zero and are linked like any other; a text
 shorter than a shingle has one shingle of all its words; a null id is its own document and
@@ -90,12 +91,13 @@ def one_of_each(docs: DataFrame, words: int = 5) -> DataFrame:
 
 
 def _by_print(marks: DataFrame) -> DataFrame:
-    """Edges (a, b) that connect the nodes of each class of fingerprints."""
+    """Edges (a, b) that connect the nodes of each class of fingerprints: those of one fingerprint, and one of each two that are linked."""
     nodes = written(marks.select("print", "node").distinct(), "prints")
-    tree = _rooted(components(links(nodes.select("print").distinct()))).withColumnRenamed("node", "print")
-    rooted = written(nodes.join(tree, "print", "left").select(F.coalesce("root", "print").alias("root"), "node"), "print-classes")
-    heads = rooted.groupBy("root").agg(F.min("node").alias("a"), F.max("node").alias("last")).where(F.col("a") < F.col("last")).select("root", "a")
-    return rooted.join(heads, "root").select("a", F.col("node").alias("b"))
+    heads = written(nodes.groupBy("print").agg(F.min("node").alias("a"), F.max("node").alias("last")), "print-heads")
+    same = nodes.join(heads.where(F.col("a") < F.col("last")).select("print", "a"), "print").select("a", F.col("node").alias("b"))
+    end = lambda print_, head: heads.select(F.col("print").alias(print_), F.col("a").alias(head))
+    linked = links(heads.select("print")).select(F.col("a").alias("p"), F.col("b").alias("q"))
+    return same.unionByName(linked.join(end("p", "a"), "p").join(end("q", "b"), "q").select("a", "b"))
 
 
 def sketches(words: int):
@@ -286,15 +288,21 @@ def links(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
     return found.distinct()
 
 
+def _stars(edges: DataFrame) -> bool:
+    """Do distinct edges (a, b) with a < b join every node to the smallest of its component: is no b below two nodes or above another?"""
+    low, high = (edges.select(F.col(c).alias("node"), F.lit(int(c == "b")).alias("below"), F.lit(c == "a").alias("above")) for c in "ba")
+    ends = low.unionByName(high).groupBy("node").agg(F.sum("below").alias("below"), F.max("above").alias("above"))
+    return ends.where((F.col("below") > 1) | (F.col("below") == 1) & F.col("above")).isEmpty()
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) for each node of edges (a, b): root is the smallest node of its component.
 
     Every node keeps the smallest node known to be reachable. A round hooks each node's root to the
     smallest root among its neighbours and then shortens the paths; long chains halve with each round.
     """
-    pairs = written(edges.where(F.col("a") != F.col("b")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
-    star = pairs
-    while True:
+    star = written(edges.where(F.col("a") != F.col("b")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
+    while not _stars(star):
         # large star, then small star: each connects a node's neighbours to the smallest of them
         both = star.unionByName(star.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
@@ -304,11 +312,7 @@ def components(edges: DataFrame) -> DataFrame:
         low = down.groupBy("a").agg(F.min("b").alias("m"))
         small = down.join(low, "a").select(F.col("b").alias("x"), "a", "m")
         next_ = small.select(F.col("x").alias("a"), F.col("m").alias("b")).unionByName(low.select("a", F.col("m").alias("b")))
-        next_ = written(next_.where(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("b"), F.least("a", "b").alias("a")).distinct(), "star")
-        changed = next_.select("a", "b").exceptAll(star.select("a", "b")).isEmpty() and star.select("a", "b").exceptAll(next_.select("a", "b")).isEmpty()
-        star = next_
-        if changed:
-            break
+        star = written(next_.where(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("b"), F.least("a", "b").alias("a")).distinct(), "star")
     return star.select(F.col("b").alias("node"), F.col("a").alias("root"))
 
 

@@ -27,7 +27,6 @@ empty table gives no rows; extra columns are left out.
 
 from __future__ import annotations
 
-import ctypes
 from collections.abc import Iterator
 from functools import partial
 
@@ -39,7 +38,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import bucketed, release, written
+from quire.llm.common import bucketed, release, trim, written
 
 LEAST = 8  # occurrences of a context
 DEVIATIONS = 4.0
@@ -54,7 +53,6 @@ SEED = 42
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _START = np.uint64(0x9E3779B97F4A7C15)  # the key of the context before a text
 _ODD = np.uint64(0xD6E8FEB86659FD93)
-_LIBC = ctypes.CDLL(None)
 _PIECE = 4 << 20  # bytes of a text that are split at a time
 
 
@@ -177,7 +175,7 @@ def _chunked(docs: DataFrame, train: Column, chunk: int) -> DataFrame:
                     yield close()
         if meta:
             yield close()
-        _trim()
+        trim()
 
     return docs.select("doc_id", F.col("text").cast("string").alias("text"), train.alias("train")).mapInArrow(run, _CHUNK.format(id=id_type))
 
@@ -227,13 +225,13 @@ def _by_shard(batches: Iterator[pa.RecordBatch], answer) -> Iterator[pa.RecordBa
             if row["shard"] != at and waiting:
                 yield _batch(answer(waiting), _ANSWER)
                 waiting = []
-                _trim()
+                trim()
             at = row["shard"]
             waiting.append(row)
     if waiting:
         yield _batch(answer(waiting), _ANSWER)
         del waiting
-        _trim()
+        trim()
 
 
 def _count_words(rows: list[dict]) -> list[tuple]:
@@ -334,13 +332,6 @@ def _count_pairs(rows: list[dict], depth: int, together: int = TOGETHER) -> list
     return [(r["chunk"], depth, r["shard"], joined(kinds[j]), joined(counts[j]), None, None, None, None, None) for j, r in enumerate(rows)] + sums
 
 
-def _trim() -> None:
-    """Give freed memory back, which an idle worker would keep while the next stage's JVM side grows."""
-    pa.default_memory_pool().release_unused()
-    if hasattr(_LIBC, "malloc_trim"):
-        _LIBC.malloc_trim(0)
-
-
 def _small(n: np.ndarray) -> np.ndarray:
     return n.astype(np.int32) if not len(n) or n.max() < 1 << 31 else n
 
@@ -494,7 +485,7 @@ def score(docs: DataFrame, train: Column, chunk: int = CHUNK, per_shard: int = P
     shards = max(1, -(-size // per_shard))
 
     def ask_first(left: pa.Table, right: pa.Table) -> pa.Table:
-        _trim()
+        trim()
         row = left.to_pylist()[0]
         state = _opened(row, right.to_pylist(), total, once, begins)[0]
         return pa.Table.from_batches([_batch(state.pairs(shards, hot).questions(row["chunk"]) if len(state.at) else [], _QUESTION)])
@@ -504,7 +495,7 @@ def score(docs: DataFrame, train: Column, chunk: int = CHUNK, per_shard: int = P
     shared = spark.sparkContext.broadcast(_hot_sums(first))  # at most 2**20 pairs of numbers
 
     def open_first(left: pa.Table, right: pa.Table) -> pa.Table:
-        _trim()
+        trim()
         row, answers = left.to_pylist()[0], right.to_pylist()
         state, known, base, done = _opened(row, [a for a in answers if not a["depth"]], total, once, begins)
         state, more = state.longer([a for a in answers if a["depth"]], shards, hot, shared.value)
@@ -551,13 +542,13 @@ def _deeper(state: DataFrame, depth: int, shards: int, hot: int, schema: str, bu
                 row = batch.slice(i, 1).to_pylist()[0]
                 if row["open"]:
                     yield _batch(_read(row).pairs(shards, hot).questions(row["chunk"]), _QUESTION)
-                    _trim()
+                    trim()
 
     answers = _answered(state.mapInArrow(ask, _QUESTION), shards, partial(_count_pairs, depth=depth))
     shared = state.sparkSession.sparkContext.broadcast(_hot_sums(answers))  # at most 2**20 pairs of numbers
 
     def step(left: pa.Table, right: pa.Table) -> pa.Table:
-        _trim()
+        trim()
         row = left.to_pylist()[0]
         after, more = _read(row).longer(right.to_pylist(), shards, hot, shared.value)
         known, base, done = (_unpacked(row[c], np.float64) for c in ("known", "base", "done"))

@@ -33,7 +33,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quire.llm.common import unused
+from quire.llm.common import trim, unused
 
 WINDOW, STEP = 40, 20
 SEARCH = dict(window_log=16, hash_log=14, chain_log=14, search_log=6, min_match=4, target_length=32, strategy=5)
@@ -286,7 +286,10 @@ def fit_from_labels(docs: DataFrame, labels: DataFrame, keep: Column | None = No
         texts[y].append(part)
     if min(map(len, texts)) < 4:
         return None
-    return fit(texts[1], texts[0], n_toxic / n)
+    del rows
+    model = fit(texts[1], texts[0], n_toxic / n)
+    trim()  # the driver goes on with other work
+    return model
 
 
 def scorer(spark: SparkSession, model: ToxicityModel | None) -> Callable[[Column], Column]:

@@ -83,3 +83,25 @@ def test_fingerprints_find_candidates(spark, monkeypatch):
     assert (a ^ b).bit_count() <= simhash.RADIUS
     kept = simhash.one_of_each(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
     assert {r["doc_id"] for r in kept} == {1, 3}
+
+
+def test_components_end_with_stars(spark, monkeypatch):
+    """Edges that already join every node to the smallest of its component take no round, others only those that they need."""
+    names = []
+    monkeypatch.setattr(simhash, "written", lambda df, name, f=simhash.written: names.append(name) or f(df, name))
+    table = lambda edges: spark.createDataFrame(edges, "a bigint, b bigint")
+    roots = lambda edges: {r["node"]: r["root"] for r in simhash.components(table(edges)).collect()}
+    assert roots([(1, 2), (1, 3), (5, 9), (-4, -3), (3, 1), (7, 7)]) == {2: 1, 3: 1, 9: 5, -3: -4} and names == ["edges"]
+    assert roots([]) == {} and names == ["edges"] * 2
+    assert roots([(1, 3), (2, 3), (4, 5)]) == {2: 1, 3: 1, 5: 4} and "star" in names
+    for edges in ([(1, 2), (2, 3)], [(1, 3), (2, 3)]):
+        assert not simhash._stars(table(edges))
+
+
+def test_learning_gives_the_drivers_memory_back(spark, monkeypatch):
+    from quire.llm import toxicity
+
+    given = []
+    monkeypatch.setattr(toxicity, "trim", lambda: given.append(1), raising=False)
+    docs = spark.createDataFrame([(i, f"text number {i} of some words " * 3) for i in range(40)], "doc_id bigint, text string")
+    assert toxicity.fit_from_labels(docs, docs.select("doc_id", (F.col("doc_id") % 2).alias("toxic"))) is not None and given
