@@ -48,6 +48,7 @@ IN_BUCKET, BYTES_A_TOKEN = 4, 5
 PER_SHARD = 2 << 20  # questions that a shard answers on average
 TOGETHER = 1 << 19  # questions that a shard counts at a time
 HOT = 1 << 20
+GRAIN = float(1 << 20)  # a chunk rounds its sums of logarithms to parts of this size
 END = b" "  # the end symbol, which is no word
 SEED = 42
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -279,6 +280,7 @@ class _Pairs:
     def questions(self, chunk: int) -> list[tuple]:
         sizes = np.diff(np.append(self.first, len(self.n)))
         theirs = np.bincount(self.run, self.n * np.log(np.maximum(self.parent, 1e-300)), minlength=len(self.first))
+        theirs = np.rint(-theirs * GRAIN).astype(np.int64)  # small numbers, as most contexts are rare in a chunk: their planes are mostly zeros
         keys = self.context_keys[self.context[self.first]]
         split = self.context_n[self.context[self.first]] >= 2 * self.hot
         step = np.diff(self.short, prepend=np.uint64(0))
@@ -343,7 +345,7 @@ def _count_range(rows: list[tuple[dict, np.ndarray, int, int]]) -> tuple[list[np
         own = _unpacked(r["kinds"], np.int64)
         c, d = int((own[:a] >> 1).sum()), int((own[:b] >> 1).sum())
         kinds.append(own[a:b])
-        theirs.append(_unpacked(r["theirs"], np.float64)[a:b])
+        theirs.append(_unpacked(r["theirs"], np.int64)[a:b] / -GRAIN)
         steps.append(_unpacked(r["words"], np.uint64)[c:d].copy())
         ns.append(_small(_unpacked(r["counts"], np.int64)[c:d]))
     context_cut = np.cumsum([0, *map(len, kinds)])
@@ -420,8 +422,24 @@ class _State:
         return _State(self.texts, self.chunk, at=self.at, contexts=p.of[before], words=self.words, chance=chance[p.of], context_keys=keys, context_n=n, word_keys=self.word_keys).less(stay)
 
 
+def _codes(contexts: np.ndarray, words_: np.ndarray, n_words: int) -> np.ndarray:
+    return contexts.astype(np.int64) * n_words + words_
+
+
+def _stored(state: _State) -> dict[str, bytes]:
+    """The columns of a state: places by their differences, and probabilities, to 36 bits, once for each (context, word), which they depend on."""
+    open_ = {c: np.asarray(getattr(state, c), t) for c, t in _OPEN.items()}
+    first = np.unique(_codes(state.contexts, state.words, len(state.word_keys)), return_index=True)[1]
+    open_["at"] = np.diff(open_["at"], prepend=np.int32(0))
+    open_["chance"] = ((open_["chance"][first].view(np.uint64) + np.uint64(1 << 15)) >> np.uint64(16) << np.uint64(16)).view(np.float64)
+    return {c: _packed(x) for c, x in open_.items()}
+
+
 def _read(row: dict) -> _State:
-    return _State(_Texts(row), row["chunk"], **{k: _unpacked(row[k], t) for k, t in _OPEN.items()})
+    open_ = {k: _unpacked(row[k], t) for k, t in _OPEN.items()}
+    open_["at"] = np.cumsum(open_["at"], dtype=np.int32)
+    open_["chance"] = open_["chance"][np.unique(_codes(open_["contexts"], open_["words"], len(open_["word_keys"])), return_inverse=True)[1]]
+    return _State(_Texts(row), row["chunk"], **open_)
 
 
 def _opened(row: dict, answers: list[dict], total: int, once: float, begins: int) -> tuple[_State, np.ndarray, np.ndarray, np.ndarray]:
@@ -447,8 +465,7 @@ def _row(state: _State, left: pa.Table, known: np.ndarray, base: np.ndarray, don
     """A chunk's row of the next state."""
     same = {c: left[c] for c in ("chunk", "ids", "rows", "train", "parts", "sizes", "lead")}
     own = {c: _packed(np.asarray(x, np.float64)) for c, x in (("known", known), ("base", base), ("done", done))}
-    open_ = {c: _packed(np.asarray(getattr(state, c), t)) for c, t in _OPEN.items()}
-    columns = {**same, "tokens": [None], **own, **open_}
+    columns = {**same, "tokens": [None], **own, **_stored(state)}
     columns = {c: pa.array([x], pa.binary()) if isinstance(x, bytes) else pa.array(x, pa.binary()) if isinstance(x, list) else x for c, x in columns.items()}
     return pa.table({**columns, "open": pa.array([len(state.at)], pa.int64())})
 

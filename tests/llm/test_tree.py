@@ -131,3 +131,28 @@ def test_a_shard_is_counted_in_ranges(monkeypatch):
     for a, b in zip(order(whole), order(parts), strict=True):
         assert a[:8] == b[:8] and (a[0] is not None or np.allclose(a[8:], b[8:]))
     assert most < 60 * 1_000_000  # in one piece, a million questions take more than 100 MB
+
+
+def test_a_state_is_stored_in_few_bytes():
+    """A probability stands once for each (context, word); what is read back is the state."""
+    rng = np.random.RandomState(2)
+    n = 200_000
+    contexts, words = rng.randint(0, 200, n).astype(np.int32), rng.randint(0, 50, n).astype(np.int32)
+    sizes = suffixtree._packed(np.array([2 * n], np.int32))
+    texts = suffixtree._Texts({"sizes": sizes, "lead": suffixtree._packed(np.zeros(1, np.int32)), "train": [True]})
+    open_ = {"at": np.sort(rng.choice(2 * n, n, replace=False)), "contexts": contexts, "words": words, "chance": rng.rand(200, 50)[contexts, words]}
+    open_ |= {"context_keys": rng.randint(0, 1 << 62, 200).astype(np.uint64), "context_n": np.full(200, 9), "word_keys": np.arange(50, dtype=np.uint64)}
+    row = suffixtree._stored(suffixtree._State(texts, 1, **open_))
+    back = suffixtree._read({**row, "sizes": sizes, "lead": suffixtree._packed(np.zeros(1, np.int32)), "train": [True], "chunk": 1})
+    for c in suffixtree._OPEN:
+        assert np.allclose(getattr(back, c).astype(float), open_[c].astype(float), rtol=1e-10, atol=0), c
+    assert sum(map(len, row.values())) < 4 * n  # all columns by token took more than twice that
+
+
+def test_written_tables_leave_no_shuffle_files(spark):
+    from quire.llm.common import bucketed
+
+    blocks = lambda: spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().size()
+    before = blocks()
+    bucketed(spark.range(1000).withColumn("k", F.col("id") % 7).groupBy("k").count(), "few", "k", 2)
+    assert blocks() <= before
