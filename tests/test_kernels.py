@@ -188,3 +188,16 @@ def test_forecast_head():
     made, cells = C.forecast_head(grid, None)
     assert made[0] == ("", "通期", "前期比", "前回発表予想比", "") and cells[3].colspan == 2
     assert C.trimmed((("a", "b", ""), ("c", "", "")), None)[0] == (("a", "b"), ("c", ""))
+
+
+def test_a_faultless_grid_ends_the_search(monkeypatch):
+    """No fewer columns are tried once a grid has no fault, as none could rank higher; other pages are searched whole."""
+    from quire.kernels import grid
+
+    tried = []
+    monkeypatch.setattr(grid, "build", lambda words, k, *common, f=grid.build: tried.append(k) or f(words, k, *common))
+    page = [(40.0 + 160 * c, 12.0 * r, 64.0 + 160 * c, 12.0 * r + 10, f"{r}{c}") for r in range(10) for c in range(5)]
+    best = grid.best_for_page(page)
+    assert tried == [6, 5] and best.columns == 5 and len(best.cells) == 50
+    tried.clear()
+    assert grid.best_for_page(page[:-1]).columns == 5 and tried == [6, 5, 4, 3, 2]
