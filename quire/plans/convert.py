@@ -32,7 +32,8 @@ def convert_pages(pages: DataFrame, words: DataFrame, config: EngineConfig, retr
     """
     page = ["doc_id", "page_number"]
     likely = P.table_likelihood(words).select(*page, "n_words", "likelihood")
-    own = dealt(pages.join(P.page_words(words), page, "left").join(likely, page, "left"), *page)
+    # dealt by a hash of the keys: dealing by the keys themselves is dropped as soon as a join has dealt by them, and that one is merged to few tasks by bytes
+    own = dealt(pages.join(P.page_words(words), page, "left").join(likely, page, "left"), F.xxhash64(*page))
     own = own.withColumn("words", F.coalesce("words", F.array().cast(own.schema["words"].dataType))).withColumn("likelihood", F.coalesce("likelihood", F.lit(0.0)))
     first = read_pass(own, config)
     if retry is not None:
