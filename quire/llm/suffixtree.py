@@ -14,7 +14,8 @@ by chunk. For each depth a chunk asks once for each distinct (context, word) tha
 training count. Questions are dealt by the hash of the context, those of a context with HOT
 occurrences or more by the word's as well; a shard adds up, tests and answers, and the answers, which are counts in the
 order of the questions, go back to the chunk. Numbers travel as compressed arrays. Chunks stay where they are; tokens whose
-context can't grow leave the state with their probability. The sums of the hot contexts are all that is broadcast: as contexts of one
+context can't grow leave the state with their probability. A state only holds what a chunk's tokens don't tell: contexts, words and their
+keys are made from these again. The sums of the hot contexts are all that is broadcast: as contexts of one
 depth share the training tokens and HOT is a 2**20th of these at least, there are 2**20 at most.
 
 Words are told apart by 64 bits of a hash, contexts too, successors of a context by 40.
@@ -266,7 +267,7 @@ class _Pairs:
         order = np.argsort(context_keys, kind="stable")
         rank = np.empty(len(order), np.uint64)
         rank[order] = np.arange(len(order), dtype=np.uint64)
-        order = np.argsort(rank[c] << np.uint64(40) | short, kind="stable")
+        order = np.argsort(rank[c] << np.uint64(40) | short)  # pairs that are equal here are one for their shard
         order = order[np.argsort(shard[order], kind="stable")]
         back = np.empty(len(order), np.int32)
         back[order] = np.arange(len(order), dtype=np.int32)
@@ -376,7 +377,8 @@ def _count_range(rows: list[tuple[dict, np.ndarray, int, int]]) -> tuple[list[np
     return answers, pairs, hot
 
 
-_STATE = "chunk bigint, ids array<{id}>, rows array<bigint>, train array<boolean>, parts array<boolean>, sizes binary, lead binary, tokens binary, known binary, base binary, done binary, at binary, contexts binary, words binary, chance binary, context_keys binary, context_n binary, word_keys binary, open bigint"
+_STATE = "chunk bigint, known binary, base binary, done binary, at binary, chance binary, context_n binary, open bigint"
+_OF_CHUNK = ("train", "sizes", "lead", "tokens", "keys")  # what reading a state takes from its chunk
 _OPEN = {"at": np.int32, "contexts": np.int32, "words": np.int32, "chance": np.float64, "context_keys": np.uint64, "context_n": np.int64, "word_keys": np.uint64}
 
 
@@ -396,11 +398,12 @@ class _State:
         """The tokens that stay, and for each text the sum of log10 of the other tokens' probabilities."""
         out = self.own & ~stay
         done = np.bincount(self.text[out], np.log10(np.maximum(self.chance[out], 1e-300)), minlength=len(self.texts.sizes))
-        contexts, c = np.unique(self.contexts[stay], return_inverse=True)
-        words_, w = np.unique(self.words[stay], return_inverse=True)
+        used = np.zeros(len(self.context_keys), bool)
+        used[self.contexts[stay]] = True
+        number = np.cumsum(used, dtype=np.int32) - np.int32(1)
         kept = _State(
-            self.texts, self.chunk, at=self.at[stay], contexts=c, words=w, chance=self.chance[stay],
-            context_keys=self.context_keys[contexts], context_n=self.context_n[contexts], word_keys=self.word_keys[words_],
+            self.texts, self.chunk, at=self.at[stay], contexts=number[self.contexts[stay]], words=self.words[stay], chance=self.chance[stay],
+            context_keys=self.context_keys[used], context_n=self.context_n[used], word_keys=self.word_keys,
         )
         return kept, done
 
@@ -426,20 +429,46 @@ def _codes(contexts: np.ndarray, words_: np.ndarray, n_words: int) -> np.ndarray
     return contexts.astype(np.int64) * n_words + words_
 
 
-def _stored(state: _State) -> dict[str, bytes]:
-    """The columns of a state: places by their differences, and probabilities, to 36 bits, once for each (context, word), which they depend on."""
+def _context_keys(texts: _Texts, tokens: np.ndarray, keys: np.ndarray, at: np.ndarray, length: int) -> np.ndarray:
+    """The keys of the contexts of so many words before the tokens at these places, as longer() makes them."""
+    first = at - length
+    before = first < texts.begins[texts.own(at)[0]]
+    made = np.where(before, _START, keys[tokens[np.maximum(first, 0)]])
+    for i in range(1, length):
+        made = _mixed(made * _ODD + keys[tokens[first + i]])
+    return made
+
+
+def _stored(state: _State, deduced: bool = False) -> dict[str, bytes]:
+    """The columns of a state: places by their differences, and probabilities, to 36 bits, once for each (context, word), which they depend on.
+
+    deduced: without what the chunk's tokens tell, with contexts in the order of their keys.
+    """
     open_ = {c: np.asarray(getattr(state, c), t) for c, t in _OPEN.items()}
-    first = np.unique(_codes(state.contexts, state.words, len(state.word_keys)), return_index=True)[1]
+    if deduced:
+        keys, number = np.unique(open_["context_keys"], return_inverse=True)
+        n = np.zeros(len(keys), np.int64)
+        n[number] = open_["context_n"]
+        open_["contexts"], open_["context_n"] = number.astype(np.int32)[open_["contexts"]], n
+    codes = _codes(open_["contexts"], open_["words"], len(open_["word_keys"]))
+    order = np.argsort(codes)
+    first = order[np.diff(codes[order], prepend=-1) != 0]
     open_["at"] = np.diff(open_["at"], prepend=np.int32(0))
     open_["chance"] = ((open_["chance"][first].view(np.uint64) + np.uint64(1 << 15)) >> np.uint64(16) << np.uint64(16)).view(np.float64)
-    return {c: _packed(x) for c, x in open_.items()}
-
-
-def _read(row: dict) -> _State:
-    open_ = {k: _unpacked(row[k], t) for k, t in _OPEN.items()}
-    open_["at"] = np.cumsum(open_["at"], dtype=np.int32)
+    return {c: _packed(x) for c, x in open_.items() if not deduced or c in ("at", "chance", "context_n")}
+
+
+def _read(row: dict, length: int | None = None) -> _State:
+    """The state of stored columns; length: that of its contexts, where the row has the chunk's columns instead of what is deduced from them."""
+    open_ = {k: _unpacked(row[k], t) for k, t in _OPEN.items() if k in row}
+    open_["at"] = at = np.cumsum(open_["at"], dtype=np.int32)
+    texts = _Texts(row)
+    if length is not None:
+        tokens, keys = _unpacked(row["tokens"], np.int32), _summed(row["keys"])
+        context_keys, contexts = np.unique(_context_keys(texts, tokens, keys, at, length), return_inverse=True)
+        open_ |= {"contexts": contexts.astype(np.int32), "words": tokens[at], "context_keys": context_keys, "word_keys": keys}
     open_["chance"] = open_["chance"][np.unique(_codes(open_["contexts"], open_["words"], len(open_["word_keys"])), return_inverse=True)[1]]
-    return _State(_Texts(row), row["chunk"], **open_)
+    return _State(texts, row["chunk"], **open_)
 
 
 def _opened(row: dict, answers: list[dict], total: int, once: float, begins: int) -> tuple[_State, np.ndarray, np.ndarray, np.ndarray]:
@@ -461,13 +490,16 @@ def _opened(row: dict, answers: list[dict], total: int, once: float, begins: int
     return state, sums(c > 0), sums(np.log10(c + 1.0)), done
 
 
-def _row(state: _State, left: pa.Table, known: np.ndarray, base: np.ndarray, done: np.ndarray) -> pa.Table:
+def _row(state: _State, known: np.ndarray, base: np.ndarray, done: np.ndarray) -> pa.Table:
     """A chunk's row of the next state."""
-    same = {c: left[c] for c in ("chunk", "ids", "rows", "train", "parts", "sizes", "lead")}
     own = {c: _packed(np.asarray(x, np.float64)) for c, x in (("known", known), ("base", base), ("done", done))}
-    columns = {**same, "tokens": [None], **own, **_stored(state)}
-    columns = {c: pa.array([x], pa.binary()) if isinstance(x, bytes) else pa.array(x, pa.binary()) if isinstance(x, list) else x for c, x in columns.items()}
-    return pa.table({**columns, "open": pa.array([len(state.at)], pa.int64())})
+    columns = {c: pa.array([x], pa.binary()) for c, x in {**own, **_stored(state, deduced=True)}.items()}
+    return pa.table({"chunk": pa.array([state.chunk], pa.int64()), **columns, "open": pa.array([len(state.at)], pa.int64())})
+
+
+def _with_chunk(state: DataFrame, chunks: DataFrame, *more: str) -> DataFrame:
+    """A state beside its chunks' columns; both are bucketed alike, so that no row moves."""
+    return chunks.select("chunk", *more, *_OF_CHUNK).join(state.hint("merge"), "chunk")
 
 
 def _answered(questions: DataFrame, shards: int, answer) -> DataFrame:
@@ -516,25 +548,24 @@ def score(docs: DataFrame, train: Column, chunk: int = CHUNK, per_shard: int = P
         row, answers = left.to_pylist()[0], right.to_pylist()
         state, known, base, done = _opened(row, [a for a in answers if not a["depth"]], total, once, begins)
         state, more = state.longer([a for a in answers if a["depth"]], shards, hot, shared.value)
-        return _row(state, left, known, base, done + more)
+        return _row(state, known, base, done + more)
 
-    schema = _STATE.format(id=id_type)
     both = of_chunk(counted.unionByName(first))
-    state = bucketed(chunks.groupBy("chunk").cogroup(both).applyInArrow(open_first, schema), "tokens", "chunk", buckets)
-    for table in (chunks, counted, first):
+    state = bucketed(chunks.groupBy("chunk").cogroup(both).applyInArrow(open_first, _STATE), "tokens", "chunk", buckets)
+    for table in (counted, first):
         release(table)
     for depth in range(2, DEEPEST + 1):
         size = int(state.agg(F.sum("open")).first()[0] or 0)
         if not size:
             break
-        state = _deeper(state, depth, max(1, -(-size // per_shard)), hot, schema, buckets, of_chunk)
+        state = _deeper(state, chunks, depth, max(1, -(-size // per_shard)), hot, buckets, of_chunk)
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
                 row = batch.slice(i, 1)
                 at = row.to_pylist()[0]
-                state = _read(at)
+                state = _read(at, DEEPEST + 1)  # only the last depth leaves open tokens
                 done = _unpacked(at["done"], np.float64) + state.less(np.zeros(len(state.at), bool))[1]
                 t, known, base = state.texts, _unpacked(at["known"], np.float64), _unpacked(at["base"], np.float64)
                 flat = [row[c].flatten() for c in ("ids", "rows", "train", "parts")]
@@ -542,7 +573,7 @@ def score(docs: DataFrame, train: Column, chunk: int = CHUNK, per_shard: int = P
                     [*flat, pa.array(t.sizes - t.lead), pa.array(known.astype(np.int64)), pa.array(base), pa.array(done)], ["doc_id", "row", "train", "part", "n_tokens", "n_known", "base", "score"]
                 )
 
-    scored = state.mapInArrow(finish, f"doc_id {id_type}, row bigint, train boolean, part boolean, n_tokens bigint, n_known bigint, base double, score double")
+    scored = _with_chunk(state, chunks, "ids", "rows", "parts").mapInArrow(finish, f"doc_id {id_type}, row bigint, train boolean, part boolean, n_tokens bigint, n_known bigint, base double, score double")
     numbers = ["n_tokens", "n_known", "base", "score"]
     cut = scored.where("part").groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.first("train").alias("train"), *(F.sum(c).alias(c) for c in numbers))
     whole = scored.where(~F.col("part")).select("doc_id", "train", *numbers).unionByName(cut.select("doc_id", "train", *numbers))
@@ -550,28 +581,29 @@ def score(docs: DataFrame, train: Column, chunk: int = CHUNK, per_shard: int = P
     return whole.select("doc_id", "train", "n_tokens", "n_known", F.lit(total).cast("bigint").alias("train_tokens"), base.alias("base_score"), "score")
 
 
-def _deeper(state: DataFrame, depth: int, shards: int, hot: int, schema: str, buckets: int, of_chunk) -> DataFrame:
-    """The state one word deeper; the state before is released."""
+def _deeper(state: DataFrame, chunks: DataFrame, depth: int, shards: int, hot: int, buckets: int, of_chunk) -> DataFrame:
+    """The state one word deeper; the state before, whose contexts have depth words, is released."""
+    both = _with_chunk(state, chunks)
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
                 row = batch.slice(i, 1).to_pylist()[0]
                 if row["open"]:
-                    yield _batch(_read(row).pairs(shards, hot).questions(row["chunk"]), _QUESTION)
+                    yield _batch(_read(row, depth).pairs(shards, hot).questions(row["chunk"]), _QUESTION)
                     trim()
 
-    answers = _answered(state.mapInArrow(ask, _QUESTION), shards, partial(_count_pairs, depth=depth))
+    answers = _answered(both.mapInArrow(ask, _QUESTION), shards, partial(_count_pairs, depth=depth))
     shared = state.sparkSession.sparkContext.broadcast(_hot_sums(answers))  # at most 2**20 pairs of numbers
 
     def step(left: pa.Table, right: pa.Table) -> pa.Table:
         trim()
         row = left.to_pylist()[0]
-        after, more = _read(row).longer(right.to_pylist(), shards, hot, shared.value)
+        after, more = _read(row, depth).longer(right.to_pylist(), shards, hot, shared.value)
         known, base, done = (_unpacked(row[c], np.float64) for c in ("known", "base", "done"))
-        return _row(after, left, known, base, done + more)
+        return _row(after, known, base, done + more)
 
-    out = bucketed(state.groupBy("chunk").cogroup(of_chunk(answers)).applyInArrow(step, schema), "tokens", "chunk", buckets)
+    out = bucketed(both.groupBy("chunk").cogroup(of_chunk(answers)).applyInArrow(step, _STATE), "tokens", "chunk", buckets)
     release(state)
     release(answers)
     return out

@@ -156,3 +156,25 @@ def test_written_tables_leave_no_shuffle_files(spark):
     before = blocks()
     bucketed(spark.range(1000).withColumn("k", F.col("id") % 7).groupBy("k").count(), "few", "k", 2)
     assert blocks() <= before
+
+
+def test_a_state_is_read_from_its_chunk():
+    """Contexts, words and their keys aren't stored: a chunk's tokens tell them."""
+    rng = np.random.RandomState(3)
+    n = 300_000
+    sizes = np.array([1, 7, n - 8], np.int32)
+    tokens, keys = rng.randint(0, 500, n).astype(np.int32) * rng.randint(0, 2, n).astype(np.int32), np.sort(rng.randint(0, 1 << 62, 500)).astype(np.uint64)
+    row = {"chunk": 1, "train": [True] * 3, "sizes": suffixtree._packed(sizes), "lead": suffixtree._packed(np.zeros(3, np.int32)), "tokens": suffixtree._packed(tokens), "keys": suffixtree._steps(keys)}
+    texts = suffixtree._Texts(row)
+    # contexts of two words, with what is before a text as one: those of all tokens but a text's first
+    at = np.setdiff1d(np.arange(n), texts.begins).astype(np.int32)
+    last = np.where(np.isin(at - 1, texts.begins), 500, tokens[at - 2])
+    code, contexts = np.unique(last * 500 + tokens[at - 1], return_inverse=True)
+    context_keys = suffixtree._mixed(np.append(keys, suffixtree._START)[code // 500] * suffixtree._ODD + keys[code % 500])
+    chance = rng.rand(len(code), 500)[contexts, tokens[at]]
+    state = suffixtree._State(texts, 1, at=at, contexts=contexts, words=tokens[at], chance=chance, context_keys=context_keys, context_n=code + 9, word_keys=keys)
+    stored = suffixtree._stored(state, deduced=True)
+    back = suffixtree._read({**row, **stored}, 2)
+    assert np.array_equal(back.context_keys[back.contexts], context_keys[contexts]) and np.array_equal(back.context_n[back.contexts], code[contexts] + 9)
+    assert np.array_equal(back.word_keys[back.words], keys[tokens[at]]) and np.array_equal(back.at, at) and np.allclose(back.chance, chance, rtol=1e-10, atol=0)
+    assert sum(map(len, stored.values())) < 0.6 * sum(map(len, suffixtree._stored(state).values()))
